@@ -11,6 +11,7 @@ from strandline.llm.common import table
 from strandline.llm.pieces import encode_documents
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_counts import token_counts
+from strandline.llm.toxicity import toxicity
 
 MODEL = "piece_bpe_32k.model"
 
@@ -24,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), MODEL, limit=4096)
 
@@ -31,6 +36,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
