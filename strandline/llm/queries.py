@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.chat import format_turns, read_back
+from strandline.llm.common import stored, table
 from strandline.llm.pii import find as find_pii
 from strandline.llm.pieces import encode_documents
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_counts import token_counts
 from strandline.llm.toxicity import toxicity
+from strandline.llm.warc import marked, read_archives, train_dictionary, write_archives
 
 MODEL = "piece_bpe_32k.model"
 
@@ -30,10 +32,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
+    return read_back(format_turns(given.union(probe)))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = stored(write_archives(marked(pages), train_dictionary(pages)), codec="none")
+    return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), MODEL, limit=4096)
 
@@ -42,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op6_chat": op6_chat,
     "op7_pii": op7_pii,
+    "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
 }
 
