@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.llm.chat import format_turns, read_back
 from strandline.llm.common import stored, table
 from strandline.llm.pii import find as find_pii
+from strandline.llm.decontamination import leaks
 from strandline.llm.pieces import encode_documents
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_counts import token_counts
@@ -23,6 +24,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), MODEL, ids=False)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
