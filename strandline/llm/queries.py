@@ -11,6 +11,7 @@ from strandline.llm.chat import format_turns, read_back
 from strandline.llm.common import stored, table
 from strandline.llm.pii import find as find_pii
 from strandline.llm.decontamination import leaks
+from strandline.llm.jaccard import near_duplicates
 from strandline.llm.pieces import encode_documents
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_counts import token_counts
@@ -28,6 +29,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +65,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
+    "op2_jaccard": op2_jaccard,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op6_chat": op6_chat,
