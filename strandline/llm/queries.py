@@ -12,6 +12,7 @@ from strandline.llm.common import stored, table
 from strandline.llm.pii import find as find_pii
 from strandline.llm.decontamination import leaks
 from strandline.llm.jaccard import near_duplicates
+from strandline.llm.media import media_columns
 from strandline.llm.pieces import encode_documents
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_counts import token_counts
@@ -42,6 +43,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionary = train_dictionary(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")), size=1 << 16)
+    return media_columns(docs, dictionary)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "</s>[INST] ok [/INST]"
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
     "op6_chat": op6_chat,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
