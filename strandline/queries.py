@@ -247,8 +247,8 @@ _LINKED = f"""(SELECT *, {_KIND} AS kind,
 _CRITICAL = f"CASE WHEN event_type = 'purchase' AND id - armed <= {WITHIN} AND (hit IS NULL OR hit < armed) THEN 1 ELSE 0 END"
 _CANDIDATE = f"CASE WHEN event_type = 'purchase' AND id - cast_id <= {WITHIN} THEN cast_s END"
 _TARGET = "CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b END"
-_MEASURES = f"""count(*) AS events, coalesce(sum(CASE WHEN kind = 'damage' THEN n END), 0) AS damage, 0 AS resisted, 0 AS xp, sum(crit) AS crits,
-  coalesce(sum(CASE WHEN kind = 'damage' AND crit = 1 THEN n END), 0) AS crit_damage, count(CASE WHEN kind = 'save' THEN 1 END) AS saves, 0 AS failed, min(CASE WHEN kind = 'save' THEN n END) AS worst_save"""
+_MEASURES = f"""count(*) AS events, CAST(coalesce(sum(CASE WHEN kind = 'damage' THEN n END), 0) AS BIGINT) AS damage, CAST(0 AS BIGINT) AS resisted, CAST(0 AS BIGINT) AS xp, CAST(sum(crit) AS BIGINT) AS crits,
+  CAST(coalesce(sum(CASE WHEN kind = 'damage' AND crit = 1 THEN n END), 0) AS BIGINT) AS crit_damage, count(CASE WHEN kind = 'save' THEN 1 END) AS saves, CAST(0 AS BIGINT) AS failed, min(CASE WHEN kind = 'save' THEN n END) AS worst_save"""
 _WITH_CRIT = f"(SELECT *, {_CRITICAL} AS crit FROM {_LINKED} l)"
 
 
@@ -295,7 +295,7 @@ _LOO = f"""WITH x AS {_PART_KEPT}, c AS (SELECT opcode, category, count(*) AS n
  SELECT count(*) FILTER (predicted = category) AS correct, count(*) FILTER (predicted <> category) AS wrong, count(*) FILTER (predicted IS NULL) AS abstained FROM t"""
 
 ORACLE_SQL: dict[str, str] = {
-    "damage_by_actor": f"SELECT a AS key, count(*) AS events, sum(n) AS damage, sum(crit) AS crits, coalesce(sum(CASE WHEN crit = 1 THEN n END), 0) AS crit_damage FROM {_WITH_CRIT} c WHERE kind = 'damage' GROUP BY a",
+    "damage_by_actor": f"SELECT a AS key, count(*) AS events, CAST(sum(n) AS BIGINT) AS damage, CAST(sum(crit) AS BIGINT) AS crits, CAST(coalesce(sum(CASE WHEN crit = 1 THEN n END), 0) AS BIGINT) AS crit_damage FROM {_WITH_CRIT} c WHERE kind = 'damage' GROUP BY a",
     "classify_lines": f"SELECT id, {_KIND} AS kind, a AS actor, {_TARGET} AS target, CASE WHEN event_type = 'purchase' THEN n END AS amount, CASE WHEN event_type = 'error' THEN n END AS roll, CASE event_type WHEN 'view' THEN s WHEN 'purchase' THEN 'magic' WHEN 'signup' THEN 'Hit' WHEN 'error' THEN 'Spell' END AS detail FROM ({FIGHT}) f",
     "classify_histogram": f"SELECT {_KIND} AS kind, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS share FROM ({FIGHT}) f GROUP BY 1",
     "link_critical": f"SELECT id, crit AS critical FROM {_WITH_CRIT} c WHERE kind = 'damage'",
