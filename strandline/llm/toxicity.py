@@ -137,24 +137,28 @@ def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.n
     return SentenceModel(vocabulary, theta[:k], float(theta[k]))
 
 
+def scored_batch(batch: pa.RecordBatch, model: SentenceModel) -> tuple[Sentences, np.ndarray, np.ndarray]:
+    """The sentences of a batch, their log-odds, and the score of each document."""
+    found = Sentences(text_column(batch))
+    each = np.zeros(len(found.words.hash))
+    if len(model.hashes):
+        at = np.minimum(np.searchsorted(model.hashes, found.words.hash), len(model.hashes) - 1)
+        each = np.where(model.hashes[at] == found.words.hash, model.weights[at], 0.0)
+    odds = np.bincount(found.of_word, weights=each, minlength=len(found.first)) + model.bias
+    return found, odds, -np.expm1(-np.bincount(found.doc, weights=np.logaddexp(0, odds), minlength=batch.num_rows))
+
+
 def score(docs: DataFrame, model: SentenceModel, threshold: float = 0.3, sentence_threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences.
 
     ``offending``: start and end (code points, of the first to the last word) and score
     of each sentence with at least ``sentence_threshold``.
     """
-    hashes, weights, bias = model.hashes, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BATCH_BYTES):
-            found = Sentences(text_column(batch))
+            found, s, doc_score = scored_batch(batch, model)
             words = found.words
-            each = np.zeros(len(words.hash))
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, words.hash), len(hashes) - 1)
-                each = np.where(hashes[at] == words.hash, weights[at], 0.0)
-            s = np.bincount(found.of_word, weights=each, minlength=len(found.first)) + bias
-            doc_score = -np.expm1(-np.bincount(found.doc, weights=np.logaddexp(0, s), minlength=batch.num_rows))
             p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             last = np.append(found.first[1:], len(words.start)) - 1
@@ -176,3 +180,14 @@ def score(docs: DataFrame, model: SentenceModel, threshold: float = 0.3, sentenc
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Fit on the labelled documents that are not held out, then score all documents."""
     return score(docs, fit(docs, labels, **how))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; rows are dropped in the scan, nothing is shuffled."""
+    model = fit(docs, labels, **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, BATCH_BYTES):
+            yield batch.filter(pa.array(scored_batch(batch, model)[2] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
