@@ -34,7 +34,7 @@ BATCH_BYTES = 1 << 22
 BLOCK = 192
 LEAST, MASK_BITS, MOST = 1 << 11, 13, 1 << 16
 RATE = 8000
-LEVEL = 6
+LEVEL = 12
 _GEAR = mix64(np.arange(256, dtype=np.uint64), 55).astype(np.uint32)
 
 
