@@ -83,4 +83,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A control string or backslash gets one character more when it is escaped.
+_ESCAPED = r"length(regexp_replace({}, '(\\|<\||\|>|</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '\1.', 'g'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, text), '')) AS loss_sha256,
+  CAST(3 + sum(8 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS rewritten_turns
+ FROM c GROUP BY conv_id""",
+    "op8_warc": """SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to
+ FROM (SELECT page_id, html, first, coalesce(strlen(html) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first, FALSE) AS later
+       FROM (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM pages) f) l""",
+}
