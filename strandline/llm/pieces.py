@@ -23,6 +23,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,6 +246,13 @@ class Codec:
         return decode_ids(ids, self.vocab).removeprefix(" ")
 
 
+def _id_lists(joined: list[str], n: list[int]) -> pa.Array:
+    """Lists of ids from decimals joined by commas; ``n`` has the length of every list, also of empty ones."""
+    values = pc.split_pattern(pa.array([",".join(joined)] if joined else [], pa.large_string()), ",")
+    offsets = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.flatten().cast(pa.int32()))
+
+
 def encode_documents(docs: DataFrame, model: str, ids: bool = True, verify: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array of int, if asked for), ids_sha256, decoded_sha256.
 
@@ -258,17 +266,17 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True, verify: bool
         if not made:
             made.append(codec)
         for batch in by_bytes(batches, BATCH_BYTES):
-            n, lists, first, second = [], [], [], []
+            n, texts, first, second = [], [], [], []
             for joined, back in codec.batch(text_column(batch).to_pylist()):
                 n.append(joined.count(",") + 1 if joined else 0)
                 first.append(hashlib.sha256(joined.encode()).hexdigest())
                 second.append(hashlib.sha256(back.encode()).hexdigest())
-                if ids:
-                    lists.append([int(i) for i in joined.split(",")] if joined else [])
+                if ids and joined:
+                    texts.append(joined)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                columns.append(_id_lists(texts, n))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
