@@ -112,14 +112,19 @@ def group_measures() -> list[Column]:
     ]
 
 
-def groups(events: DataFrame, by: str, q: Query = Query(), limit: object = None, offset: int = 0) -> dict:
-    """Measures by one column over a window of the newest matching events."""
+def all_groups(matched: DataFrame, by: str) -> DataFrame:
+    """Measures by one column over all rows given."""
     if by not in GROUPED:
         raise ValueError(f"cannot group by {by!r}")
+    return matched.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("(none)")).alias("key")).agg(*group_measures())
+
+
+def groups(events: DataFrame, by: str, q: Query = Query(), limit: object = None, offset: int = 0) -> dict:
+    """Measures by one column over a window of the newest matching events."""
     n = positive(limit, PAGE, GROUP_MOST)
     matched = events.where(predicate(q))
     window = page(matched, [F.col("session").desc(), F.col("id").desc()], n, offset)
-    rows = window.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("(none)")).alias("key")).agg(*group_measures()).orderBy(F.desc("events"), "key")
+    rows = all_groups(window, by).orderBy(F.desc("events"), "key")
     total = matched.count()
     return {"by": by, "rows": rows, "matched": total, "windowed": max(0, min(n, total - max(offset, 0))), "limit": n, "offset": max(offset, 0)}
 

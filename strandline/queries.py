@@ -71,9 +71,9 @@ def _events(spark: SparkSession, sf_dir: str, sql: str = FIGHT) -> DataFrame:
 
 
 def damage_by_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damage dealt by actor: the flagship query."""
-    found = api.groups(_events(spark, sf_dir), "actor", api.Query(equals={"kind": "damage"}), limit=1_000_000)
-    return found["rows"].select("key", "events", "damage", "crits", "crit_damage")
+    """Damage dealt by actor, over all events: the flagship query."""
+    matched = _events(spark, sf_dir).where(api.predicate(api.Query(equals={"kind": "damage"})))
+    return api.all_groups(matched, "actor").orderBy(F.desc("events"), "key").select("key", "events", "damage", "crits", "crit_damage")
 
 
 def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from strandline.plans import api
 from strandline.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -30,3 +31,10 @@ def test_same_rows(spark, duck, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     assert ours == sorted([plain(r[names.index(c)]) for c in columns] for r in found.fetchall())
+
+
+def test_flagship_has_no_window(spark, duck, monkeypatch):
+    monkeypatch.setattr(api, "GROUP_MOST", 20)
+    ours = sorted(tuple(r) for r in QUERIES["damage_by_actor"](spark, DIR).collect())
+    assert sum(r[1] for r in ours) > 20
+    assert ours == sorted(duck.execute(f"SELECT key, events, damage, crits, crit_damage FROM ({ORACLE_SQL['damage_by_actor']})").fetchall())
