@@ -184,7 +184,8 @@ def deobfuscated(text: str) -> Rewritten | None:
     out.replace(bracketed)
     now = out.text
     worded = []
-    if " dot " in now or " at " in now or " @ " in now:
+    lower = now.lower()
+    if " at " in lower or " @ " in lower:
         for m in _WORDED.finditer(now):
             if " dot " in m[0].lower() or " @ " in m[0]:
                 worded += [(s.start(), s.end(), signs[(s[1] or "dot").lower()]) for s in _WORD_SIGN.finditer(now, m.start(), m.end())]

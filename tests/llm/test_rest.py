@@ -129,6 +129,14 @@ def test_disguises(text, found):
     assert found not in pii.redacted(text)
 
 
+@pytest.mark.parametrize("text", ["JANE AT EXAMPLE DOT COM", "jane At example Dot com", "jane @ EXAMPLE DOT com", "JANE [AT] EXAMPLE [DOT] COM"])
+@pytest.mark.parametrize("around", ["{}", "WRITE TO: {}, NOW", "look at this: {}"])
+def test_disguises_in_any_case(text, around):
+    whole = around.format(text)
+    assert [whole[a:b] for a, b, _ in pii.all_spans(whole)[1]] == [text]
+    assert pii.redacted(whole) == around.format("[EMAIL]")
+
+
 def test_pii_rows(make, odd):
     docs = [*odd, (30, "a@b.cc 4111 1111 1111 1111")]
     got = {r.doc_id: r for r in pii.find(make(docs)).collect()}
