@@ -5,9 +5,11 @@ each turn the operator renders the turns up to it, and the same without it; what
 longer string adds is the turn's span.  Where the shorter string is not a prefix of the
 longer one, the template has rewritten history, and the turn is marked.  Where the
 text sits inside its span is found by rendering the turn once more with a sentinel
-as its text.  At most ``window`` turns are rendered together, so a conversation of
-any length costs a bounded amount per turn; rows stream through in order and no
-conversation is held whole.
+as its text.  All earlier turns are rendered, so a turn costs as much as its prefix is
+long and a conversation is held whole.  A template that renders each turn in the same
+way whatever stands before it may say so with a true attribute ``turn_local``: then at
+most ``window`` turns are rendered together, which gives the same spans at a bounded
+cost per turn, and no conversation is held whole.
 
 Null texts and roles are empty.  Turns with equal numbers are ordered by role, then
 text; null turn numbers come first, and rows without a conv_id form one conversation.
@@ -51,6 +53,9 @@ def marked_turns(messages: list[Message]) -> str:
     return "<s>" + "".join([f"<|{escape(role)}|>{escape(text)}</s>" for role, text in messages])
 
 
+marked_turns.turn_local = True
+
+
 def span(before: list[Message], turn: Message, template: Template) -> tuple[str, int, int, bool]:
     """What ``turn`` adds after ``before``, where its text begins and ends in that, and whether history changed."""
     shorter = template(before) if before else ""
@@ -72,13 +77,16 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, lo
     """One row per turn, in order within partitions: conv_id, position, piece, text_start, text_end, in_loss, rewritten.
 
     ``piece`` is the formatted text that the turn adds; all pieces of a conversation in
-    order are the formatted conversation.  The text between text_start and text_end
+    order are the formatted conversation, unless a turn is ``rewritten``.  ``window``
+    bounds the turns of a render for templates that are ``turn_local`` only.  The text between text_start and text_end
     (code points of the piece) is under the loss mask where ``in_loss``.
     """
 
+    held = window - 1 if getattr(template, "turn_local", False) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple = ()
-        before: deque[Message] = deque(maxlen=window - 1)
+        before: deque[Message] = deque(maxlen=held)
         position = 0
         for batch in batches:
             rows = []

@@ -98,6 +98,19 @@ def test_template_that_rewrites_history(spark):
     assert [r.rewritten for r in rows] == [False, True, False]
 
 
+def test_template_that_reads_the_whole_conversation(spark):
+    def numbered(messages):
+        return "".join(f"[{i}:{t}{'!' if i == 0 and len(messages) > 70 else ''}]" for i, (_, t) in enumerate(messages))
+
+    table = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(80)], "conv_id long, turn long, role string, text string")
+    rows = chat.format_turns(table, numbered).orderBy("position").collect()
+    assert [r.position for r in rows if r.rewritten] == [70]
+    assert all(r.piece == f"[{r.position}:t{r.position}]" and r.piece[r.text_start : r.text_end] == f"t{r.position}" for r in rows if r.position != 70)
+    marked = spark.createDataFrame([(1, i, "user", "x" * i) for i in range(80)], "conv_id long, turn long, role string, text string")
+    few, every = (chat.format_turns(marked, window=w).orderBy("position").collect() for w in (3, 200))
+    assert few == every
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
