@@ -4,9 +4,10 @@ Texts become sequences of words in which numbers, units after numbers, and names
 (words inside a sentence with a capital before small letters) are typed placeholders.  Windows of five such
 words are hashed.  Windows of documents that may equal a benchmark window (a bitset of
 fixed size decides that inside the scan) are joined with the benchmark windows on the
-hash.  A document holds an item where at least ``coverage`` of the item's window
-positions occur in it, and the values in the placeholders agree: along one alignment
-of the two texts, each value of the item stands for one value of the document.  So an
+hash.  A document holds an item where along one alignment of the two texts at least
+``coverage`` of the item's window positions occur in it, and the values in the
+placeholders agree: each value of the item stands for one value of the document.  An
+alignment may go on at another shift after words put in or left out.  So an
 item with other numbers and names is found too, a text that merely has the same shape
 with values at random is not.
 
@@ -19,6 +20,7 @@ empty tables on either side give no rows; other columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,10 @@ BATCH_BYTES = 1 << 20
 WORDS = 5
 LEAST_PLAIN = 3
 FILTER_BITS = 24
+#: Shifts this far apart are one passage with a few words put in or left out.
+NEAR = 8
+#: For how many shifts of a document with an item windows at any distance are tried.
+LARGEST = 64
 NUMBER, UNIT, NAME = 1, 2, 3
 _HOLDERS = mix64(np.arange(4, dtype=np.uint64), 77)
 _WORD = np.zeros(256, dtype=bool)
@@ -162,34 +168,131 @@ def candidate_windows(docs: DataFrame, kept: np.ndarray, bits: int = FILTER_BITS
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null and id is not null").mapInArrow(run, _SCHEMA).withColumnRenamed("id", "doc_id")
 
 
+def _judged(position: np.ndarray, slots: np.ndarray, theirs: np.ndarray) -> dict:
+    """matched, slots, changed, consistent of the windows of one alignment."""
+    held = slots != 0
+    values, which = np.unique(slots[held], return_inverse=True)
+    each = np.unique(np.stack([which.astype(np.int64), theirs[held]], axis=1), axis=0) if len(values) else np.zeros((0, 2), np.int64)
+    single = np.bincount(each[:, 0], minlength=len(values)) == 1
+    changed = len(np.unique(each[each[:, 1] != values[each[:, 0]], 0]))
+    return {"matched": len(np.unique(position)), "slots": len(values), "changed": changed, "consistent": float(single.mean()) if len(values) else 1.0}
+
+
+def _longest(position: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a longest chain in which both the positions and the places in the document grow."""
+    order = np.lexsort((-position, at))
+    tops: list[int] = []
+    rows: list[int] = []
+    before = np.full(len(order), -1, dtype=np.int64)
+    for r, p in zip(order.tolist(), position[order].tolist()):
+        i = bisect_left(tops, p)
+        if i:
+            before[r] = rows[i - 1]
+        if i == len(tops):
+            tops.append(p)
+            rows.append(r)
+        else:
+            tops[i], rows[i] = p, r
+    out = []
+    r = rows[-1] if rows else -1
+    while r >= 0:
+        out.append(r)
+        r = int(before[r])
+    return np.array(out, dtype=np.int64)
+
+
+def _agree(slots: np.ndarray, theirs: np.ndarray, values: np.ndarray, stands_for: np.ndarray) -> np.ndarray:
+    """Rows with no value (of the sorted ``values``) that stands for another one in the document."""
+    if not len(values):
+        return np.ones(len(slots), dtype=bool)
+    i = np.minimum(np.searchsorted(values, slots), len(values) - 1)
+    return ((values[i] != slots) | (stands_for[i] == theirs)).all(axis=1)
+
+
+def best_chain(position: np.ndarray, at: np.ndarray, slots: np.ndarray, theirs: np.ndarray, least: int, consistency: float) -> dict | None:
+    """What ``leaks`` tells of the best alignment of a document with an item, or None.
+
+    First each single shift is judged by itself.  If none passes, words may have been put
+    in or left out: windows of other shifts join those of a shift where both texts go
+    on in order and no value contradicts the shift's own.  Near shifts are tried first,
+    then those up to the item's length away, then all for the largest shifts.
+    """
+    shift = at - position
+    order = np.argsort(shift, kind="stable")
+    position, at, slots, theirs, shift = position[order], at[order], slots[order], theirs[order], shift[order]
+    shifts, starts = np.unique(shift, return_index=True)
+    ends = np.append(starts[1:], len(shift))
+
+    def passing(rows: np.ndarray | slice) -> dict | None:
+        if len(position[rows]) < least:
+            return None
+        got = _judged(position[rows], slots[rows], theirs[rows])
+        return got if got["matched"] >= least and got["consistent"] >= consistency else None
+
+    def rank(got: dict) -> tuple:
+        return got["matched"], got["consistent"], -got["changed"], got["slots"]
+
+    single = [got for a, b in zip(starts, ends) if (got := passing(slice(a, b)))]
+    if single:
+        return max(single, key=rank)
+    if len(shifts) == 1 or len(np.unique(position)) < least:
+        return None
+
+    def chained(low: int, high: int, fits: np.ndarray) -> dict | None:
+        rows = low + np.flatnonzero(fits)
+        return passing(rows[_longest(position[rows], at[rows])]) if len(rows) >= least else None
+
+    if got := chained(0, len(shift), ((slots == 0) | (slots == theirs)).all(axis=1)):
+        return got
+    largest = np.lexsort((shifts, starts - ends))
+    for reach, some in ((NEAR, largest), (int(position.max()) + WORDS, largest), (None, largest[:LARGEST])):
+        found = []
+        for s in some:
+            own = slice(starts[s], ends[s])
+            low = 0 if reach is None else int(np.searchsorted(shift, shifts[s] - reach))
+            high = len(shift) if reach is None else int(np.searchsorted(shift, shifts[s] + reach, side="right"))
+            if high - low < least or high - low == own.stop - own.start:
+                continue
+            held = slots[own] != 0
+            pairs, count = np.unique(np.stack([slots[own][held], theirs[own][held]], axis=1), axis=0, return_counts=True) if held.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            pairs = pairs[np.lexsort((-count, pairs[:, 0]))]
+            values, first = np.unique(pairs[:, 0], return_index=True)
+            fits = _agree(slots[low:high], theirs[low:high], values, pairs[first, 1])
+            fits[own.start - low : own.stop - low] = True
+            if got := chained(low, high, fits):
+                found.append(got)
+        if found:
+            return max(found, key=rank)
+    return None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consistency: float = 0.8) -> DataFrame:
     """doc_id, item_id, windows, matched, share, slots, changed, consistent for each item that a document holds.
 
-    ``share`` is matched / windows; ``slots`` counts the distinct placeholder values of
-    the item that were compared, ``changed`` those with another value in the document,
-    ``consistent`` the share of those that have one value throughout.
+    All of it is of the best alignment.  ``share`` is matched / windows; ``slots`` counts
+    the distinct placeholder values of the item that were compared, ``changed`` those with
+    another value in the document, ``consistent`` the share of those that have one value
+    throughout.
     """
     items = item_windows(benchmark)
     found = candidate_windows(docs, window_filter(items))
     sizes = items.groupBy("item_id").agg(F.countDistinct("position").alias("windows"))
     pairs = found.withColumnRenamed("position", "at").withColumnRenamed("slots", "theirs").join(items, "window")
-    # a window may repeat in a document or an item: one row for each alignment and position
-    aligned = pairs.select("doc_id", "item_id", "position", (F.col("at") - F.col("position")).alias("shift"), "slots", "theirs")
+    aligned = pairs.select("doc_id", "item_id", "position", "at", "slots", "theirs")
+    # no alignment covers more positions than all of them together
     matched = aligned.groupBy("doc_id", "item_id").agg(F.countDistinct("position").alias("matched"))
     enough = matched.join(sizes, "item_id").where(F.col("matched") >= F.ceil(F.lit(coverage) * F.col("windows")))
-    values = (
-        aligned.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-        .select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "theirs")).alias("v"))
-        .where("v.slots != 0")
-        .groupBy("doc_id", "item_id", "shift", "v.slots")
-        .agg(F.countDistinct("v.theirs").alias("n"), F.max((F.col("v.theirs") != F.col("v.slots")).cast("int")).alias("other"))
-    )
-    checked = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.sum("other").alias("changed"), F.avg((F.col("n") == 1).cast("double")).alias("consistent"))
-    out = enough.join(checked, ["doc_id", "item_id"], "left").select(
-        "doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("share"),
-        F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce("consistent", F.lit(1.0)).alias("consistent"),
-    )
-    return out.where(F.col("consistent") >= consistency)
+    rows = aligned.join(enough.select("doc_id", "item_id", "windows"), ["doc_id", "item_id"])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        position, at, windows = (table.column(c).to_numpy() for c in ("position", "at", "windows"))
+        slots, theirs = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, WORDS) for c in ("slots", "theirs"))
+        best = best_chain(position, at, slots, theirs, -int(-coverage * windows[0] // 1), consistency)
+        found = [] if best is None else [{"doc_id": key[0].as_py(), "item_id": key[1].as_py(), "windows": int(windows[0]), **best, "share": best["matched"] / int(windows[0])}]
+        return pa.Table.from_pylist(found, schema=names)
+
+    names = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "windows", "matched")] + [("share", pa.float64()), ("slots", pa.int64()), ("changed", pa.int64()), ("consistent", pa.float64())])
+    return rows.groupBy("doc_id", "item_id").applyInArrow(run, "doc_id long, item_id long, windows long, matched long, share double, slots long, changed long, consistent double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

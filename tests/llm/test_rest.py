@@ -193,6 +193,24 @@ def test_decontamination(spark, make, odd):
     assert leaks(make([]), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_one_alignment(spark, make):
+    item = "A train leaves the station with 40 cars at noon and then Maria pays 12 dollars for the tickets while 40 cars wait behind the old bridge near the river and Maria waves"
+    random.seed(3)
+
+    def like():
+        return re.sub("40|12|Maria", lambda m: "Otto" + random.choice("abcdefgh") if m[0] == "Maria" else str(random.randint(100, 999)), item)
+
+    lines = "\n".join(like() for _ in range(20))
+    put_in = item.replace("for the tickets", "for all of the nice little tickets")
+    far = item.replace("for the tickets", "for " + "quite other words " * 30 + "the tickets")
+    docs = {1: item, 2: f"{item}\n{lines}", 3: f"{lines}\n{item}\n{lines}", 4: lines, 5: f"{lines}\n{put_in}\n{lines}", 6: far, 7: f"{lines}\n" + put_in.replace("40", "75").replace("12", "19").replace("Maria", "Otto")}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in leaks(make(list(docs.items())), bench).collect()}
+    assert set(got) == {1, 2, 3, 5, 6, 7}
+    assert all(got[i].changed == 0 and got[i].consistent == 1.0 for i in (1, 2, 3, 5, 6))
+    assert got[1].matched == got[2].matched == got[3].matched == got[1].windows and got[7].changed > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
