@@ -18,6 +18,9 @@ a linear number of comparisons.  Sets of the other keys are compared in blocks w
 the tile: first with the closest few of other classes, twice, then with whatever is
 left.  No pair that may link is left out.
 
+Numbers of links need all pairs of a class, not only those that connect it: its sets
+are compared exactly in blocks, of which only the counts leave a task.
+
 Each comparison bounds the overlap from above by bit counts: a signature holds the
 parity of the set's hashes in each position, and two signatures differ in no more bits
 than the sets do in shingles.  Only pairs that pass are intersected exactly, as sorted
@@ -51,6 +54,9 @@ BLOCK = 1024
 PAIRED = 6
 #: With how many of the closest sets of other classes a set is compared in each round before the last.
 CLOSEST = (2, 4)
+#: Most shingles in a block of sets whose links are counted, and how many of them are compared at once.
+BLOCK_SHINGLES = 1 << 20
+COLUMNS = 4096
 
 
 # --- sets -------------------------------------------------------------------
@@ -447,14 +453,92 @@ def linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
+# --- numbers of links ---------------------------------------------------------
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if len(left) * len(right) <= 16:
+        for i, s in enumerate(left):
+            out[i] = [overlap(s, t) for t in right]
+        return out
+    of = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    values = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*values)
+    keep = [np.isin(v, both) for v in values]
+    at = [np.searchsorted(both, v[k]) for v, k in zip(values, keep)]
+    of = [o[k] for o, k in zip(of, keep)]
+    order = [np.argsort(a, kind="stable") for a in at]
+    at, of = [a[o] for a, o in zip(at, order)], [x[o] for x, o in zip(of, order)]
+    for start in range(0, len(both), COLUMNS):
+        held = []
+        for side, a, o in zip((left, right), at, of):
+            low, high = np.searchsorted(a, [start, start + COLUMNS])
+            m = np.zeros((len(side), min(COLUMNS, len(both) - start)), dtype=np.float32)
+            m[o[low:high], a[low:high] - start] = 1
+            held.append(m)
+        out += (held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(classes: DataFrame, found: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """id, linked: with how many documents of other sets each set of a class links.
+
+    All links are inside classes.  A class of many sets is cut into blocks, each pair of
+    blocks is a task's work, and only counts leave it.
+    """
+    members = classes.join(found, "id").join(copies, "id")
+    shingles = F.octet_length("set") / 8
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
+    rows = members.join(members.groupBy("class").agg(F.count("*").alias("c"), blocks.alias("blocks")).where("c > 1").select("class", "blocks"), "class")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "set")
+
+    def counted(unit: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+        sides = [[r for r in held if r[0] == own] for own in dict.fromkeys(unit[1:])]
+        if len(sides) == 2 and not (sides[0] and sides[1]):
+            return []
+        left, right = sides[0], sides[-1]
+        sets = [[np.frombuffer(r[3].as_buffer(), np.uint64) for r in side] for side in (left, right)]
+        both = _overlaps(*sets)
+        total = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]])[None, :]
+        links = (100 * both >= percent * (total - both)).astype(np.int64)
+        if len(sides) == 1:
+            np.fill_diagonal(links, 0)
+        out = list(zip([r[1] for r in left], (links @ np.array([r[2] for r in right])).tolist()))
+        if len(sides) == 2:
+            out += zip([r[1] for r in right], (np.array([r[2] for r in left]) @ links).tolist())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+        for batch in _with_end(batches):
+            done = []
+            if batch is not None:
+                group, i, j, own, ids, copy = (batch.column(c).to_pylist() for c in range(6))
+                for now, *row in zip(zip(group, i, j), own, ids, copy, batch.column(6)):
+                    if now != unit:
+                        done += counted(unit, held) if held else []
+                        unit, held = now, []
+                    held.append(tuple(row))
+            elif held:
+                done += counted(unit, held)
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64())], ["id", "linked"])
+
+    dealt = rows.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "id")
+    return dealt.mapInArrow(run, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
 # --- the join ---------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK, count: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the class) and n_links.
 
-    ``n_links`` counts the verified comparisons that linked the document's set with
-    others; they connect the class, they are not all its pairs.
+    ``n_links`` is the number of other documents that the document links with, those
+    with an equal set among them; without ``count`` it is null.
     """
     named = stored(set_ids(docs, k))
     sets = stored(set_signatures(docs, k, percent), codec="none")
@@ -469,15 +553,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
             # with a limit, tested pairs may have taken the places; without one, no pair is left
             continue
         more = stored(linked(fresh, found, percent))
-        links, tested = links.union(more), tested.union(fresh)
+        tested = tested.union(fresh)
         classes = stored(_merged(classes, more))
     reached = sets.select("id", "h2", "doc").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     smallest = reached.groupBy("class").agg(F.min("doc").alias("component_id"))
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    labels = stored(reached.join(smallest, "class").join(degree, "id", "left").select(F.col("id").alias("h1"), "h2", "component_id", "n_links"))
+    labels = reached.join(smallest, "class").select("id", F.col("id").alias("h1"), "h2", "component_id")
+    if count:
+        copies = named.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"))
+        linked_to = link_counts(classes, found, copies.select(F.col("h1").alias("id"), "copies"), percent, block)
+        labels = labels.join(copies, ["h1", "h2"]).join(linked_to, "id", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
+    else:
+        labels = labels.withColumn("n_links", F.lit(None).cast("long"))
+    labels = stored(labels.select("h1", "h2", "component_id", "n_links"))
     out = named.where("n > 0").join(labels, ["h1", "h2"]).select("doc_id", "n", "component_id", "n_links")
-    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("n_links"))
-    return out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0 if count else None).cast("long").alias("n_links"))
+    return out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -497,5 +587,5 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each class: that with the smallest id, and all without an id or a set."""
-    named = near_duplicates(docs, k, percent).where("component_id != doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    named = near_duplicates(docs, k, percent, count=False).where("component_id != doc_id").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(named, docs["doc_id"].cast("long") == named["_copy"], "left_anti")

@@ -50,6 +50,30 @@ def test_families(make, k, percent):
     assert got == brute(pairs, k, percent)
 
 
+def brute_links(pairs, k, percent):
+    sets = []
+    for _, t in pairs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    link = lambda s, t: bool(s & t) and 100 * len(s & t) >= percent * len(s | t)
+    return sorted((pairs[a][0], sum(a != b and link(sets[a], sets[b]) for b in range(len(pairs)))) for a in range(len(pairs)))
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_number_of_links(make, block):
+    random.seed(7)
+    words = [f"w{i}" for i in range(300)]
+    pairs = [(i, "a b c d e f") for i in range(5)] + [(5, ""), (6, None), (7, "alone here by itself")]
+    for size in (12, 60, 60, 200):
+        base = random.choices(words, k=size)
+        for _ in range(12):
+            text = [random.choice(words) if random.random() < random.choice([0, 0.01, 0.03]) else w for w in base]
+            pairs.append((len(pairs), " ".join(text)))
+    got = sorted((r.doc_id, r.n_links) for r in near_duplicates(make(pairs), 3, 80, block=block).collect())
+    assert got == brute_links(pairs, 3, 80)
+    assert dict(got)[0] == 4 and max(n for _, n in got) > 5
+
+
 def test_odd_rows(make, odd):
     got = near_duplicates(make(odd), 3, 90).collect()
     assert len(got) == len(odd)
