@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder under the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    The folder named in ``spark.checkpoint.dir`` is used where it is set.  Only
-    without that setting (tests, a laptop) a folder below the warehouse is taken.
+    Without that setting only a local master (tests, a laptop) gets a folder, below its
+    warehouse; on a cluster that might be a disk of one machine, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
@@ -34,10 +38,94 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     This cuts the lineage: whatever is lost later is read again from the shared
     folder, not recomputed, and every reader sees the same rows.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
+    return _written(df, shared_dir(df.sparkSession), codec)
+
+
+def _written(df: DataFrame, path: str, codec: str) -> DataFrame:
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that one run of an operator writes for itself, in the shared folder.
+
+    ``drop`` deletes them, so nothing may read them any more by then: an operator drops
+    what it needed on the way, and stores what it returns apart.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, shared_dir(spark), 0
+
+    def stored(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.folder}/{self.n}", codec)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+LEAST_BITS, MOST_BITS = 16, 27
+
+
+@dataclass
+class HashFilter:
+    """A bitset over the first ``bits`` bits of 64-bit hashes: no false negatives, few false positives."""
+
+    bits: int
+    words: np.ndarray
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def hash_filter(hashes: DataFrame) -> Broadcast[HashFilter]:
+    """A filter of the one column of ``hashes``: about sixteen bits for each, at most 2**27 bits (16 MiB) in all."""
+    spark, name = hashes.sparkSession, hashes.columns[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * hashes.count()).bit_length()))
+    at = hashes.select(F.shiftrightunsigned(name, 64 - bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("set"))
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for r in words.toLocalIterator():
+        out[r.word] = r.set & (2**64 - 1)
+    return spark.sparkContext.broadcast(HashFilter(bits, out))
+
+
+ROW_KEY = ("_row_id", "_row_hash")
+
+
+def row_key() -> list[Column]:
+    """What names a row of a table of documents: its id (which may be null) and a hash of its text."""
+    return [F.col("doc_id").cast("long").alias(ROW_KEY[0]), F.xxhash64("text").alias(ROW_KEY[1])]
+
+
+def without_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``marks`` names (the columns of ``row_key`` and ``_row_once``, one row a key).
+
+    Where ``_row_once`` holds, one of the rows with that key stays, any of them.  Nearly
+    all rows that stay pass a bitset in the scan and are not shuffled; what the bitset
+    holds back is joined exactly.
+    """
+    spread = hash_filter(marks.select(F.xxhash64(*ROW_KEY).alias("hash")))
+    placed = docs.select("*", *row_key())
+    hashed = placed.withColumn("_row_at", F.xxhash64(*ROW_KEY))
+
+    def side(wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = spread.value.hits(batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.filter(pa.array(hit == wanted)).select(list(range(batch.num_columns - 1)))
+
+        return run
+
+    clear = hashed.mapInArrow(side(False), placed.schema).select(*docs.columns)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ROW_KEY]
+    met = hashed.mapInArrow(side(True), placed.schema).alias("d").join(marks.alias("m"), same[0] & same[1], "left").select("d.*", "m._row_once")
+    out = clear.union(met.where("_row_once is null").select(*docs.columns))
+    if marks.where("_row_once").isEmpty():
+        return out
+    return out.union(met.where("_row_once").dropDuplicates(list(ROW_KEY)).select(*docs.columns))
 
 
 def crc32_text(text: Column) -> Column:

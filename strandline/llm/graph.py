@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,15 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """``id`` and the smallest id reachable from it, for all ids of ``links`` (a, b: long).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing
     changes.  Smallest neighbours are aggregated before they are shuffled, and joins on
     them can be split where an id has very many neighbours.  Each round is written to
-    the shared folder, so a lost executor costs one round.
+    the shared folder by ``store``, so a lost executor costs one round.
     """
-    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = store(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _signature(edges)
     if not before[0]:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -32,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below point at the smallest of those
         low = large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m"))
         small = large.join(low, large["a"] == low["at"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(low.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct())
+        edges = store(small.union(low.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct())
         now = _signature(edges)
         if now == before:
             break

@@ -3,20 +3,27 @@
 A document's set holds the hashes of its distinct word shingles.  Two sets link when
 ``100 * intersection >= percent * union``.  Equal sets are one set from the start.
 
-Tiles.  Sets that may link differ in at most d shingles, where d follows from the
-sizes.  Sizes are cut into bands; a tile holds the sets of a band and those of the band
-below that can reach it.  In a tile with bound d each set is split by hash into more
-than d parts: sets that link agree in one part at least (in two, where the sets are
-small and a key is made of two parts).  So sets that share no key of a tile need no
-comparison, and a key stands for several shingles that must all agree: frequent words
-and passages alone bring few sets together.
+Keys.  The hashes of a set in order give an order that all sets share.  Linked sets have
+so many shingles in common that f + 1 of these at least are among the first of both, if
+the first n - ceil(percent * n / 100) + f + 1 are taken of a set of n: these are its keys.
+
+Tiles.  Sizes are cut into bands; a tile holds the sets of a band and those of the band
+below that can reach it, so sets of one key meet only where their sizes allow a link.
+
+Frequent keys.  How many sets have a key is counted over all of them.  In each tile a
+set leaves out its most frequent keys, those above its own bound, at most f of them.
+Linked sets share f + 1 keys, and both go by the same counts, so all of these that
+either leaves out are left out by the one with the lower bound: one key stays on both
+sides.  Thus passages that many documents share bring few sets together, and a set that
+shares f keys or fewer with all others meets none.
 
 Rounds.  Keys are dealt by range of (key, set), so a key of any frequency spreads over
-tasks.  First each set is compared with the first set of its run of a key.  Keys whose
-sets are now all in one class are done; that takes care of large groups of copies in
-a linear number of comparisons.  Sets of the other keys are compared in blocks within
-the tile: first with the closest few of other classes, twice, then with whatever is
-left.  No pair that may link is left out.
+tasks.  First each set is compared with the first set of its key.  Keys whose sets are
+now all in one class are done; that takes care of large groups of copies in a linear
+number of comparisons.  Sets of the other keys are compared in blocks: first with the
+closest few of other classes, then with whatever is left.  A key that leaves more pairs
+than it has sets sends its sets themselves to the blocks, which are compared there, and
+only a spanning forest of their links comes back.  No pair that may link is left out.
 
 Numbers of links need all pairs of a class, not only those that connect it: its sets
 are compared exactly in blocks, of which only the counts leave a task.
@@ -24,37 +31,36 @@ are compared exactly in blocks, of which only the counts leave a task.
 Each comparison bounds the overlap from above by bit counts: a signature holds the
 parity of the set's hashes in each position, and two signatures differ in no more bits
 than the sets do in shingles.  Only pairs that pass are intersected exactly, as sorted
-arrays.
+arrays (of 64-bit hashes, which stand for the shingles throughout).
 
 Null, empty and blank texts have an empty set and link with nothing; with fewer words
 than a shingle needs, the whole sequence is one shingle.  Rows with equal ids are
-separate rows of one class name.  Rows with a null id get the class of their set if
-another row has it, else null.  An empty table gives an empty table; other columns are
-not read.
+separate rows of one class name.  Rows with a null id link like others and get the
+smallest id of their class, null if it has none.  An empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ASCII_LOWER, NOT_BLANK, Words, by_bytes, byte_view, chain, mix64, stored, text_column
+from strandline.llm.common import ASCII_LOWER, NOT_BLANK, ROW_KEY, Scratch, Words, by_bytes, byte_view, chain, hash_filter, mix64, row_key, stored, text_column, without_rows
 from strandline.llm.graph import components
 
 BATCH_BYTES = 1 << 22
 #: Bytes of text hashed at once, within a batch.
 HASH_BYTES = 1 << 20
 BLOCK = 1024
-#: Largest difference for which keys are made of two parts.
-PAIRED = 6
-#: With how many of the closest sets of other classes a set is compared in each round before the last.
-CLOSEST = (2, 4)
-#: Most shingles in a block of sets whose links are counted, and how many of them are compared at once.
+#: With how many of the closest sets of other classes a set is compared before the last round.
+CLOSEST = 2
+#: Most shingles in a block of sets that are compared exactly, and how many of them are compared at once.
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 4096
 
@@ -101,49 +107,20 @@ def bands(percent: int) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=1 << 14)
-def tile_parts(tile: int, percent: int) -> tuple[int, int, int]:
-    """Parts, parts to a key, and how many of the smallest parts a set may leave out, in a tile."""
-    high = bands(percent)[tile][1]
-    d = max(total - 2 * least_overlap(total, percent) for total in range(max(2, 2 * high - 6), 2 * high + 1))
-    if d == 0:
-        return 0, 0, 0
-    together, spare = (2, 1) if d <= PAIRED else (1, 2 + d // 8)
-    return d + together + spare, together, spare
+def spare(tile: int, percent: int) -> int:
+    """How many of its most frequent keys a set may leave out in a tile; linked sets there share more shingles than that."""
+    return bands(percent)[tile][0] // 8
 
 
 @lru_cache(maxsize=1 << 16)
-def tiles_of(size: int, percent: int) -> list[int]:
-    """Tiles that a set of this size is in."""
+def key_range(size: int, percent: int) -> tuple[int, bool, int, int]:
+    """Own tile of a set, whether it is in the next one too, and how many keys it has in the own and in the next tile."""
     ladder = bands(percent)
     own = int(np.searchsorted([b[0] for b in ladder], size, side="right")) - 1
-    reach = [own + 1] if size * 100 // percent >= ladder[own + 1][0] else []
-    return [t for t in [own, *reach] if tile_parts(t, percent)[0]]
-
-
-def set_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of one set, over all its tiles."""
-    out = []
-    spread, value = mix64(hashes, 101), mix64(hashes, 102)
-    for tile in tiles_of(len(hashes), percent):
-        m, together, spare = tile_parts(tile, percent)
-        part = (spread % np.uint64(m)).astype(np.int64)
-        counts = np.bincount(part, minlength=m)
-        sums = np.zeros(m, dtype=np.uint64)
-        np.add.at(sums, part, value)
-        with np.errstate(over="ignore"):
-            sums = mix64(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 103 + tile)
-        # Linked sets agree in spare + together parts.  Each leaves out all parts up to some
-        # size, at most ``spare`` of them; of the two sets' bounds the larger one leaves out
-        # all that either does, so ``together`` equal parts stay on both sides.
-        bound = np.sort(counts)[spare]
-        sums = sums[counts >= bound]
-        if together == 2:
-            i, j = np.triu_indices(len(sums), 1)
-            out.append(chain([sums[i], sums[j]]))
-        else:
-            out.append(sums)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    reach = size * 100 // percent >= ladder[own + 1][0]
+    base = size + percent * -size // 100 + 1
+    near, far = (min(size, base + spare(t, percent)) for t in (own, own + 1))
+    return own, reach, near, far if reach else near
 
 
 def signature(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -168,115 +145,126 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix64(s, salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (105, 106))
 
 
-def set_ids(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, h1, h2: size of each document's set and two digests that name it."""
+def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The row key, n, h1, h2 of each document's set (its size and two digests that name it), its signature and keys.
+
+    Signature and keys come once for each set of an Arrow batch, and never for empty sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BATCH_BYTES):
             sets = shingle_sets(text_column(batch), k)
-            h = np.array([_digests(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "n", "h1", "h2"])
+            h = [_digests(s) for s in sets]
+            new = {d: i for i, d in reversed(list(enumerate(h))) if len(sets[i])}
+            bits, keys = [None] * len(h), [None] * len(h)
+            for i in new.values():
+                bits[i] = signature(sets[i], percent).tobytes()
+                keys[i] = sets[i][: key_range(len(sets[i]), percent)[3]].tobytes()
+            columns = [batch.column(1), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in h], pa.int64()), pa.array([d[1] for d in h], pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*ROW_KEY, "n", "h1", "h2", "bits", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    schema = ", ".join(f"{c} long" for c in (*ROW_KEY, "n", "h1", "h2")) + ", bits binary, keys binary"
+    return docs.select("text", *row_key()).mapInArrow(run, schema)
 
 
-def set_signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """id (first digest), h2, doc (smallest doc_id), n, bits of each distinct set that is not empty.
+def distinct_sets(named: DataFrame) -> DataFrame:
+    """id (first digest), h2, doc (smallest id), text (hash of one text), n, bits of each distinct set that is not empty."""
+    own = [F.min(ROW_KEY[0]).alias("doc"), F.min(ROW_KEY[1]).alias("text"), F.first("n").alias("n"), F.first("bits", True).alias("bits")]
+    return named.where("n > 0").groupBy(F.col("h1").alias("id"), "h2").agg(*own)
 
-    Equal sets meet in the tasks that read them before anything is shuffled.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, BATCH_BYTES):
-            sets = shingle_sets(text_column(batch), k)
-            rows = [i for i, s in enumerate(sets) if len(s)]
-            h = np.array([_digests(sets[i]) for i in rows], dtype=np.int64).reshape(-1, 2)
-            columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(pa.array(rows, pa.int64())), pa.array([len(sets[i]) for i in rows], pa.int64()), pa.array([signature(sets[i], percent).tobytes() for i in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h2", "doc_id", "n", "bits"])
-
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, h2 long, doc_id long, n long, bits binary")
-    return each.groupBy("id", "h2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+def keyed_sets(named: DataFrame, percent: int) -> DataFrame:
+    """key, id, kind of every key of every set; kind is 4 * own tile + 2 * (next tile too) + (next tile only).
 
-
-def keyed_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, id of every set, once for each Arrow batch that holds the set."""
+    Equal sets come as often as there are Arrow batches that hold them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, BATCH_BYTES):
-            distinct = {_digests(s): s for s in shingle_sets(text_column(batch), k) if len(s)}
-            keys = [set_keys(s, percent).view(np.int64) for s in distinct.values()]
-            ids = np.repeat(np.array([h[0] for h in distinct], dtype=np.int64), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(ids)], ["key", "id"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                own, reach, near, far = np.array([key_range(n, percent) for n in part.column(1).to_pylist()], dtype=np.int64).reshape(-1, 4).T
+                place = np.arange(far.sum()) - np.repeat(np.cumsum(far) - far, far)
+                kind = np.repeat(4 * own + 2 * reach, far) + (place >= np.repeat(near, far))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), far)), pa.array(kind.astype(np.int32))], ["key", "id", "kind"])
 
-    return docs.select("text").mapInArrow(run, "key long, id long")
+    return named.where("keys is not null").select("h1", "n", "keys").mapInArrow(run, "key long, id long, kind int")
 
 
 # --- candidates -------------------------------------------------------------
 
 
 def key_runs(keyed: DataFrame) -> DataFrame:
-    """key, id, pivot for sets (key, id) that share a key; pivot is the first id of the run of a key in its partition.
+    """key, id, kind, c for keys that several sets have; c is their number.
 
-    The first and last run of a partition may go on in the next one and are always kept.
+    Where the run of a key may go on in another partition, c is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "pivot"]
-        held_key, held_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pivot, first = None, True
+        held: list[np.ndarray] | None = None
+        first, flowing = True, None  # the key of which a part has been given out
 
-        def made(key: np.ndarray, ids: np.ndarray, last: bool) -> pa.RecordBatch:
-            """Rows of complete runs; ``pivot`` is that of the first run if it began earlier."""
+        def made(rows: list[np.ndarray], last: bool) -> pa.RecordBatch:
             nonlocal first
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            starts = np.flatnonzero(new)
+            key = rows[0]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
-            heads = ids[starts].copy()
-            keep = sizes > 1
-            if len(starts):
-                if pivot is not None:
-                    heads[0] = pivot
-                    keep[0] = True
-                if first:
-                    keep[0] = True
-                    first = False
-                if last:
-                    keep[-1] = True
-            kept = np.repeat(keep, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(ids[kept]), pa.array(np.repeat(heads, sizes)[kept])], names)
+            open_ = np.zeros(len(starts), dtype=bool)
+            open_[0] = first or key[0] == flowing
+            open_[-1] |= last
+            first = False
+            kept = np.repeat((sizes > 1) | open_, sizes)
+            counts = pa.array(np.repeat(sizes, sizes)[kept], mask=np.repeat(open_, sizes)[kept])
+            return pa.RecordBatch.from_arrays([*[pa.array(c[kept]) for c in rows], counts], ["key", "id", "kind", "c"])
 
-        for batch in batches:
-            key = np.concatenate([held_key, batch.column(0).to_numpy()])
-            ids = np.concatenate([held_id, batch.column(1).to_numpy()])
-            if not len(key):
+        for batch in _with_end(batches):
+            now = [c.to_numpy() for c in batch.columns] if batch is not None else None
+            rows = held if now is None else now if held is None else [np.concatenate(c) for c in zip(held, now)]
+            if rows is None or not len(rows[0]):
+                continue
+            new = np.ones(len(rows[0]), dtype=bool)  # a set that several batches held counts once
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            rows = [c[new] for c in rows]
+            if batch is None:
+                yield made(rows, True)
                 continue
-            again = np.zeros(len(key), dtype=bool)  # a set that several batches held
-            again[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])
-            key, ids = key[~again], ids[~again]
-            begin = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-            if begin == 0 and len(key) > 1 << 16:
-                # one long run: all but its last row can go, the pivot stays
-                head = int(ids[0]) if pivot is None else pivot
-                yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), pa.array(ids[:-1]), pa.array(np.full(len(ids) - 1, head))], names)
-                first, pivot, begin = False, head, len(key) - 1
+            begin = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on in the next batch
+            if begin == 0 and len(rows[0]) > 1 << 16:  # a long run goes out in parts
+                yield made([c[:-1] for c in rows], True)
+                flowing, begin = rows[0][-1], len(rows[0]) - 1
             elif begin:
-                yield made(key[:begin], ids[:begin], False)
-                pivot = None
-            held_key, held_id = key[begin:], ids[begin:]
-        if len(held_key):
-            yield made(held_key, held_id, True)
+                yield made([c[:begin] for c in rows], False)
+            held = [c[begin:] for c in rows]
 
     spread = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return spread.mapInArrow(run, "key long, id long, pivot long")
+    return spread.mapInArrow(run, "key long, id long, kind int, c long")
+
 
+def rare_keys(runs: DataFrame, percent: int) -> DataFrame:
+    """key (with its tile), id: the keys that each set keeps, without its most frequent ones."""
+    open_ = runs.where("c is null").drop("c")
+    totals = open_.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    counted = runs.where("c is not null").select("id", "kind", "key", "c").union(open_.join(totals, "key").select("id", "kind", "key", "c"))
+    own = F.call_function("div", F.col("kind"), F.lit(4)).cast("int")
+    last = F.col("kind") % 4
+    tiles = F.when(last == 0, F.array(own)).when(last == 2, F.array(own, own + 1)).otherwise(F.array(own + 1))
+    ranked = counted.select("id", F.explode(tiles).alias("tile"), "key", "c").groupBy("id", "tile").agg(F.sort_array(F.collect_list(F.struct("c", "key")), asc=False).alias("keys"))
+    # a key that no other set has is rarer than all of these, so where no more are shared than may be left out none stays
+    most = F.array(*[F.lit(spare(t, percent)).cast("long") for t in range(len(bands(percent)))])[F.col("tile")]
+    some = ranked.withColumn("most", most).where(F.size("keys") > F.col("most")).withColumn("bound", F.element_at("keys", (F.col("most") + 1).cast("int"))["c"])
+    return some.select(F.explode(F.transform(F.filter("keys", lambda k: k["c"] <= F.col("bound")), lambda k: F.xxhash64(k["key"], F.col("tile")))).alias("key"), "id")
 
-def first_pairs(runs: DataFrame) -> DataFrame:
-    """Each set with its pivot, and pivots of one key with each other's first."""
-    stars = runs.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    heads = runs.groupBy("key").agg(F.min("pivot").alias("b"), F.max("pivot").alias("top")).where("b != top").select("key", "b")
-    across = runs.where("id = pivot").select("key", F.col("pivot").alias("a")).join(heads, "key").where("a != b").select("a", "b")
-    return stars.union(across).distinct()
+
+def with_pivots(kept: DataFrame) -> DataFrame:
+    """key, id, pivot of keys that several sets keep; ``pivot`` is the first of them."""
+    pivots = kept.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
+    return kept.join(pivots, "key").select("key", "id", "pivot")
+
+
+def first_pairs(kept: DataFrame) -> DataFrame:
+    """Each set with the first set of each of its keys."""
+    return kept.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
@@ -308,22 +296,33 @@ def passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, closest: int | None, block: int = BLOCK) -> DataFrame:
-    """Pairs of sets of different classes that share a key and whose signatures allow a link.
+def mixed_keys(kept: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, id, class, c of keys whose c sets are in several classes; of keys with the same sets one stays."""
+    placed = kept.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    sets = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)])
+    one = sets.where("lo != hi").groupBy("c", "x0", "x1").agg(F.min("key").alias("key"))
+    return placed.join(one.select("key", "c"), "key").select("key", "id", "class", "c")
+
+
+def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """``rows`` of each group dealt into ``blocks`` blocks and copied to each pair (i, j) of blocks they take part in."""
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "id")
+
 
-    ``closest``: at most so many for a set in a block, those with the nearest signatures;
-    None: all.
+def block_pairs(mixed: DataFrame, sets: DataFrame, percent: int, closest: int | None, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of sets of different classes that share a key and whose signatures allow a link.
+
+    ``closest``: at most so many for a set in a block, those with the nearest signatures.
+    None: all, but a block with more pairs than sets gives only its key (``dense``).
     """
-    placed = members.select("key", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("key", "c")
-    # a key of c sets has ceil(c / block) blocks; each pair of blocks is a task's work
     blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-    rows = placed.join(mixed, "key").join(sets.select("id", "n", "bits"), "id").withColumn("blocks", blocks)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "class", "n", "bits")
+    dealt = in_blocks(mixed.join(sets.select("id", "n", "bits"), "id"), "key", blocks)
+    names = ["a", "b", "dense"]
 
-    def compare(own: np.ndarray, ids: np.ndarray, group: np.ndarray, n: np.ndarray, bits: list[bytes], edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    def compare(own: np.ndarray, ids: np.ndarray, group: np.ndarray, n: np.ndarray, bits: list[bytes], edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs of rows (x, y), those that may link."""
         ok = (group[x] != group[y]) & (ids[x] != ids[y]) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent) & (edge[x] | (own[x] != own[y]))
         x, y = x[ok], y[ok]
@@ -347,9 +346,14 @@ def block_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent
             new[1:] = ids[x][1:] != ids[x][:-1]
             rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
             x, y = x[rank < closest], y[rank < closest]
+        return x, y
+
+    def given(ids: np.ndarray, x: np.ndarray, y: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
         a, b = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
         pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        nothing = pa.nulls(len(dense), pa.int64())
+        left = [pa.concat_arrays([pa.array(pairs[:, c]), nothing]) for c in range(2)]
+        return pa.RecordBatch.from_arrays([*left, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(dense)])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -358,7 +362,7 @@ def block_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent
             now = part if held is None else held if part is None else pa.concat_tables([held, part])
             if now is None or not now.num_rows:
                 continue
-            tile = np.stack([now.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            tile = np.stack([now.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
             new = np.ones(len(tile), dtype=bool)
             new[1:] = (tile[1:] != tile[:-1]).any(axis=1)
             starts = np.flatnonzero(new)
@@ -371,22 +375,30 @@ def block_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent
             edge = tile[:stop, 1] == tile[:stop, 2]
             starts = starts[starts < stop]
             sizes = np.diff(np.append(starts, stop))
-            place = np.arange(stop) - np.repeat(starts, sizes)
-            left = np.repeat(sizes, sizes) - place  # rows of the tile from this one on
-            x, y, gathered = [], [], 0
-            for d in range(1, int(sizes.max())):
-                at = np.flatnonzero(left > d)
-                x.append(at)
-                y.append(at + d)
-                gathered += len(at)
-                if gathered > 1 << 20:
-                    yield compare(own, ids, group, n, bits, edge, np.concatenate(x), np.concatenate(y))
+            unit = np.repeat(np.arange(len(starts)), sizes)
+            left = sizes[unit] - (np.arange(stop) - starts[unit])  # rows of the tile from this one on
+            passed = np.zeros(len(starts), dtype=np.int64)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            x, y, gathered, widest = [], [], 0, int(sizes.max())
+            for d in range(1, widest + 1):
+                if d < widest:
+                    at = np.flatnonzero(left > d)
+                    x.append(at)
+                    y.append(at + d)
+                    gathered += len(at)
+                if gathered > 1 << 20 or gathered and d == widest:
+                    p, q = compare(own, ids, group, n, bits, edge, np.concatenate(x), np.concatenate(y))
+                    if closest is None:
+                        passed += np.bincount(unit[p], minlength=len(starts))
+                        found = [(u[f], v[f]) for u, v in [*found, (p, q)] if (f := passed[unit[u]] <= sizes[unit[u]]).any()]
+                    elif len(p):
+                        yield given(ids, p, q, np.zeros(0, np.int64))
                     x, y, gathered = [], [], 0
-            if x:
-                yield compare(own, ids, group, n, bits, edge, np.concatenate(x), np.concatenate(y))
+            if closest is None:
+                p, q = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+                yield given(ids, p, q, np.unique(tile[starts[passed > sizes], 0]))
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, dense long").distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -408,33 +420,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def needed_sets(runs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, bits: int = 24) -> DataFrame:
+def needed_sets(kept: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """id, set of every set that shares a key, built again from one text each.
 
-    Texts are filtered in the scan by a bitset of fixed size, whatever the number of ids,
-    and then joined exactly.
+    Texts are filtered in the scan by a bitset of bounded size and then joined exactly.
     """
-    wanted = sets.select("id", "doc").join(runs.select("id").distinct(), "id", "left_semi").where("doc is not null")
-    at = wanted.select(F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("set"))
-    kept = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for r in words.toLocalIterator():
-        kept[r.word] = r.set & (2**64 - 1)
-    spread = docs.sparkSession.sparkContext.broadcast(kept)
+    wanted = sets.select("id", "text").join(kept.select("id").distinct(), "id", "left_semi")
+    spread = hash_filter(wanted.select("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitset = spread.value
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            hit = ((bitset[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            hit = spread.value.hits(batch.column(1).to_numpy())
             for part in by_bytes([batch.filter(pa.array(hit))], BATCH_BYTES):
-                found = shingle_sets(text_column(part), k)
-                columns = [pa.array([_digests(s)[0] for s in found], pa.int64()), part.column(0), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "set"])
+                found = {_digests(s)[0]: s for s in shingle_sets(text_column(part), k)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["id", "set"])
 
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    placed = named.select("doc", "text", F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits).alias("place"))
-    return placed.mapInArrow(build, "id long, doc long, set binary").join(wanted, ["id", "doc"], "left_semi").select("id", "set").dropDuplicates(["id"])
+    built = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(build, "id long, set binary")
+    return built.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -482,21 +484,19 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def link_counts(classes: DataFrame, found: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """id, linked: with how many documents of other sets each set of a class links.
+def exact_blocks(members: DataFrame, percent: int, block: int, answer: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Compares all sets of a group (group, id, weight, set) exactly, in blocks of bounded size.
 
-    All links are inside classes.  A class of many sets is cut into blocks, each pair of
-    blocks is a task's work, and only counts leave it.
+    ``answer`` gets ids and weights of both sides of a pair of blocks, the matrix of their
+    links, and whether the sides are one block; its rows have the columns of ``schema``.
     """
-    members = classes.join(found, "id").join(copies, "id")
     shingles = F.octet_length("set") / 8
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
-    rows = members.join(members.groupBy("class").agg(F.count("*").alias("c"), blocks.alias("blocks")).where("c > 1").select("class", "blocks"), "class")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "set")
+    sized = members.groupBy("group").agg(F.count("*").alias("c"), blocks.alias("n_blocks")).where("c > 1").select("group", "n_blocks")
+    dealt = in_blocks(members.join(sized, "group"), "group", F.col("n_blocks")).select("group", "i", "j", "own", "id", "weight", "set")
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def counted(unit: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+    def compared(unit: tuple, held: list[tuple]) -> list[tuple]:
         sides = [[r for r in held if r[0] == own] for own in dict.fromkeys(unit[1:])]
         if len(sides) == 2 and not (sides[0] and sides[1]):
             return []
@@ -504,88 +504,167 @@ def link_counts(classes: DataFrame, found: DataFrame, copies: DataFrame, percent
         sets = [[np.frombuffer(r[3].as_buffer(), np.uint64) for r in side] for side in (left, right)]
         both = _overlaps(*sets)
         total = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]])[None, :]
-        links = (100 * both >= percent * (total - both)).astype(np.int64)
+        links = 100 * both >= percent * (total - both)
         if len(sides) == 1:
-            np.fill_diagonal(links, 0)
-        out = list(zip([r[1] for r in left], (links @ np.array([r[2] for r in right])).tolist()))
-        if len(sides) == 2:
-            out += zip([r[1] for r in right], (np.array([r[2] for r in left]) @ links).tolist())
-        return out
+            np.fill_diagonal(links, False)
+        ids, weights = ([[r[c] for r in side] for side in (left, right)] for c in (1, 2))
+        return answer(ids, weights, links, len(sides) == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
         for batch in _with_end(batches):
             done = []
             if batch is not None:
-                group, i, j, own, ids, copy = (batch.column(c).to_pylist() for c in range(6))
-                for now, *row in zip(zip(group, i, j), own, ids, copy, batch.column(6)):
+                group, i, j, own, ids, weight = (batch.column(c).to_pylist() for c in range(6))
+                for now, *row in zip(zip(group, i, j), own, ids, weight, batch.column(6)):
                     if now != unit:
-                        done += counted(unit, held) if held else []
+                        done += compared(unit, held) if held else []
                         unit, held = now, []
                     held.append(tuple(row))
             elif held:
-                done += counted(unit, held)
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64())], ["id", "linked"])
+                done += compared(unit, held)
+            yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], pa.int64()) for c in range(len(names))], names)
 
-    dealt = rows.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "id")
-    return dealt.mapInArrow(run, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return dealt.mapInArrow(run, schema)
+
+
+def link_counts(classes: DataFrame, found: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """id, linked: with how many documents of other sets each set of a class links; all links are inside classes."""
+
+    def counted(ids: list, weights: list, links: np.ndarray, same: bool) -> list[tuple]:
+        out = list(zip(ids[0], (links @ np.array(weights[1])).tolist()))
+        return out if same else out + list(zip(ids[1], (np.array(weights[0]) @ links).tolist()))
+
+    members = classes.withColumnRenamed("class", "group").join(found, "id").join(copies, "id").withColumnRenamed("copies", "weight")
+    return exact_blocks(members, percent, block, counted, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def link_forests(keys: DataFrame, kept: DataFrame, found: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect whatever the links between the sets of a key connect, for all ``keys``."""
+
+    def forest(ids: list, weights: list, links: np.ndarray, same: bool) -> list[tuple]:
+        if not same:
+            names, n = ids[0] + ids[1], len(ids[0])
+            near = np.zeros((len(names), len(names)), dtype=bool)
+            near[:n, n:], near[n:, :n] = links, links.T
+        else:
+            names, near = ids[0], links
+        fresh, out = np.ones(len(names), dtype=bool), []
+        for root in range(len(names)):
+            stack = [root] if fresh[root] else []
+            fresh[root] = False
+            while stack:
+                at = stack.pop()
+                found = np.flatnonzero(near[at] & fresh)
+                fresh[found] = False
+                stack += found.tolist()
+                out += [(names[at], names[x]) for x in found]
+        return out
+
+    members = kept.join(keys, "key").select(F.col("key").alias("group"), "id", F.lit(1).cast("long").alias("weight")).join(found, "id")
+    return exact_blocks(members, percent, block, forest, "a long, b long").distinct()
 
 
 # --- the join ---------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK, count: bool = True) -> DataFrame:
+@dataclass
+class Found:
+    """Rows with their sets (named), distinct sets, what was compared exactly (found), and class of each set that has links."""
+
+    named: DataFrame
+    sets: DataFrame
+    found: DataFrame
+    classes: DataFrame
+
+
+def linked_classes(docs: DataFrame, k: int, percent: int, block: int, work: Scratch) -> Found:
+    """The classes of linked sets; their tables are in ``work``."""
+    first = Scratch(docs.sparkSession)
+    try:
+        whole = first.stored(described(docs, k, percent), codec="none")
+        sets = work.stored(distinct_sets(whole), codec="none")
+        runs = work.stored(key_runs(keyed_sets(whole, percent)))
+        named = work.stored(whole.select(*ROW_KEY, "n", "h1", "h2"))
+    finally:
+        first.drop()
+    kept = work.stored(with_pivots(work.stored(rare_keys(runs, percent))))
+    tested = work.stored(passing(first_pairs(kept), sets, percent))
+    found = work.stored(needed_sets(kept, docs, sets, k), codec="none")
+    links = work.stored(linked(tested, found, percent))
+    classes = work.stored(components(links, work.stored).withColumnRenamed("component", "class"))
+    for closest in (CLOSEST, None):
+        pairs = work.stored(block_pairs(mixed_keys(kept, classes), sets, percent, closest, block))
+        fresh = pairs.where("dense is null").select("a", "b").join(_ordered(tested), ["a", "b"], "left_anti")
+        dense = pairs.where("dense is not null").select(F.col("dense").alias("key")).distinct()
+        if pairs.isEmpty():
+            continue
+        more = linked(fresh, found, percent)
+        if closest is None and not dense.isEmpty():
+            more = more.union(link_forests(dense, kept, found, percent, block))
+        more = work.stored(more)
+        tested = tested.union(fresh)
+        if not more.isEmpty():
+            classes = work.stored(_merged(classes, more, work.stored))
+    return Found(named, sets, found, classes)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the class) and n_links.
 
     ``n_links`` is the number of other documents that the document links with, those
-    with an equal set among them; without ``count`` it is null.
+    with an equal set among them.  The result is stored in the shared folder.
     """
-    named = stored(set_ids(docs, k))
-    sets = stored(set_signatures(docs, k, percent), codec="none")
-    runs = stored(key_runs(keyed_sets(docs, k, percent)))
-    found = stored(needed_sets(runs, docs, sets, k), codec="none")
-    tested = stored(passing(first_pairs(runs), sets, percent))
-    links = stored(linked(tested, found, percent))
-    classes = components(links).withColumnRenamed("component", "class")
-    for closest in (*CLOSEST, None):
-        fresh = stored(block_pairs(runs, sets, classes, percent, closest, block).join(_ordered(tested), ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            # with a limit, tested pairs may have taken the places; without one, no pair is left
-            continue
-        more = stored(linked(fresh, found, percent))
-        tested = tested.union(fresh)
-        classes = stored(_merged(classes, more))
-    reached = sets.select("id", "h2", "doc").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    smallest = reached.groupBy("class").agg(F.min("doc").alias("component_id"))
-    labels = reached.join(smallest, "class").select("id", F.col("id").alias("h1"), "h2", "component_id")
-    if count:
-        copies = named.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"))
-        linked_to = link_counts(classes, found, copies.select(F.col("h1").alias("id"), "copies"), percent, block)
-        labels = labels.join(copies, ["h1", "h2"]).join(linked_to, "id", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
-    else:
-        labels = labels.withColumn("n_links", F.lit(None).cast("long"))
-    labels = stored(labels.select("h1", "h2", "component_id", "n_links"))
-    out = named.where("n > 0").join(labels, ["h1", "h2"]).select("doc_id", "n", "component_id", "n_links")
-    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0 if count else None).cast("long").alias("n_links"))
-    return out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    work = Scratch(docs.sparkSession)
+    try:
+        got = linked_classes(docs, k, percent, block, work)
+        reached = got.sets.select("id", "h2", "doc").join(got.classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        smallest = reached.groupBy("class").agg(F.min("doc").alias("component_id"))
+        copies = got.named.where("n > 0").groupBy(F.col("h1").alias("id"), "h2").agg(F.count("*").alias("copies"))
+        linked_to = link_counts(got.classes, got.found, copies.select("id", "copies"), percent, block)
+        labels = reached.join(smallest, "class").join(copies, ["id", "h2"]).join(linked_to, "id", "left")
+        labels = labels.select(F.col("id").alias("h1"), "h2", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        rows = got.named.select(F.col(ROW_KEY[0]).alias("doc_id"), "n", "h1", "h2")
+        out = rows.where("n > 0").join(labels, ["h1", "h2"]).select("doc_id", "n", "component_id", "n_links")
+        alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        return stored(out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"))
+    finally:
+        work.drop()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(classes: DataFrame, links: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Classes after more links between their members."""
     for side in ("a", "b"):
         of = classes.select(F.col("id").alias(side), F.col("class").alias(f"class_{side}"))
         links = links.join(of, side, "left").withColumn(f"class_{side}", F.coalesce(f"class_{side}", side))
-    joined = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).withColumnRenamed("id", "class")
+    joined = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), store).withColumnRenamed("id", "class")
     alone = joined.select(F.col("class").alias("id"), "class")  # sets that were no class of several before
     every = classes.union(alone).distinct()
     return every.join(joined, "class", "left").select("id", F.coalesce("component", "class").alias("class"))
 
 
+def copies_to_drop(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """Marks for ``without_rows``: all rows of each class but that with the smallest id, and all but one of rows equal to it.
+
+    Null ids come last; rows with one id go by a hash of their text.
+    """
+    work = Scratch(docs.sparkSession)
+    try:
+        got = linked_classes(docs, k, percent, block, work)
+        rows = got.named.where("n > 0").select(*ROW_KEY, F.col("h1").alias("id")).join(got.classes, "id", "left")
+        each = rows.groupBy(F.coalesce("class", "id").alias("class"), *ROW_KEY).agg(F.count("*").alias("rows"))
+        order = F.struct(F.col(ROW_KEY[0]).isNull().alias("last"), *ROW_KEY)
+        stays = each.groupBy("class").agg(F.min(order).alias("stays"), F.sum("rows").alias("all")).where("all > 1").select("class", "stays")
+        marks = each.join(stays, "class").withColumn("_row_once", F.col("stays").eqNullSafe(order))
+        return stored(marks.where("not _row_once or rows > 1").select(*ROW_KEY, "_row_once"))
+    finally:
+        work.drop()
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest id, and all without an id or a set."""
-    named = near_duplicates(docs, k, percent, count=False).where("component_id != doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(named, docs["doc_id"].cast("long") == named["_copy"], "left_anti")
+    """``docs`` with one row of each class: that with the smallest id; rows without words all stay."""
+    return without_rows(docs, copies_to_drop(docs, k, percent))
