@@ -1,9 +1,10 @@
 """Operator 10: benchmark decontamination by template windows.
 
 Texts become sequences of words in which numbers, units after numbers, and names
-(words inside a sentence with a capital before small letters) are typed placeholders.  Windows of five such
-words are hashed.  Windows of documents that may equal a benchmark window (a bitset of
-fixed size decides that inside the scan) are joined with the benchmark windows on the
+(words inside a sentence with a capital before small letters, in Latin, Greek and
+Cyrillic letters) are typed placeholders.  Windows of five such words are hashed.
+Windows of documents that may equal a benchmark window (a bitset of bounded size decides
+that inside the scan) are written once and joined with the benchmark windows on the
 hash.  A document holds an item where along one alignment of the two texts at least
 ``coverage`` of the item's window positions occur in it, and the values in the
 placeholders agree: each value of the item stands for one value of the document.  An
@@ -11,11 +12,20 @@ alignment may go on at another shift after words put in or left out.  So an
 item with other numbers and names is found too, a text that merely has the same shape
 with values at random is not.
 
-A window needs three plain words to count.  The first word of an item is read both as
-the start of a sentence and as a word inside one, since it may stand in either place.
-Items of fewer than five words have no window and match nothing.  Null and empty texts
-match nothing.  Equal documents each give their rows, for rows with equal ids once;
-empty tables on either side give no rows; other columns are not read.
+Each item looks for documents with its rarest windows only, as many as make sure that a
+document which holds enough of the others has one of these; so a window that many items
+and documents share brings nothing together by itself.
+
+A window needs three plain words to count.  An item without such a window (a short one,
+or one made of numbers and names) is one window as a whole, of whatever length, and its
+values must all be the same.  The first word of an item is read both as the start of a
+sentence and as a word inside one, since it may stand in either place.
+
+In German every noun reads as a name; it must then agree like one.  Null texts and texts
+without words match nothing.  Rows of documents are told apart by id (which may be null)
+and a hash of the text; rows equal in both give their results once, equal texts with
+several ids each.  Items go by id: rows of one id are read as one item, rows without an
+id are left out.  Empty tables on either side give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ASCII_LOWER, Words, by_bytes, byte_view, chain, mix64, text_column
+from strandline.llm.common import ASCII_LOWER, ROW_KEY, HashFilter, Scratch, Words, by_bytes, byte_view, chain, hash_filter, mix64, row_key, stored, text_column, without_rows
 
 BATCH_BYTES = 1 << 20
 WORDS = 5
 LEAST_PLAIN = 3
-FILTER_BITS = 24
 #: Shifts this far apart are one passage with a few words put in or left out.
 NEAR = 8
 #: For how many shifts of a document with an item windows at any distance are tried.
@@ -46,9 +56,21 @@ _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
-# Units of measurement and money, and number words.
-UNITS = "mm cm m km kg g mg lb lbs oz ml l liter liters litre litres meter meters metre metres mile miles foot feet inch inches second seconds minute minutes hour hours day days week weeks month months year years percent % $ dollar dollars cent cents euro euros pound pounds degree degrees mph kmh".split()
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+# Units of measurement and money, and number words, in English, German, Spanish and French.
+UNITS = """
+mm cm m km kg g mg lb lbs oz ml l mph kmh h s min % $
+liter liters litre litres meter meters metre metres mile miles foot feet inch inches pound pounds degree degrees gram grams kilogram kilograms kilometer kilometers
+second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros
+meilen fuß zoll pfund grad gramm kilogramm kilometer sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent
+metro metros milla millas pie pies libra libras grado grados gramo gramos kilogramo kilogramos kilómetro kilómetros litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares céntimo céntimos
+mètre mètres pied pieds livre livres degré degrés gramme grammes kilogramme kilogrammes kilomètre kilomètres seconde secondes heure heures jour jours semaine semaines mois an ans année années centime centimes
+""".split()
+NUMBER_WORDS = """
+one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen
+dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille millions
+""".split()
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -63,21 +85,40 @@ def _within(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
 
 
+def _wide_capitals(data: np.ndarray) -> np.ndarray:
+    """Marks, shifted by none, on the second bytes of two-byte capitals: U+00C0-00DE, Greek U+0391-03A9, Cyrillic U+0410-042F."""
+    out = np.zeros(len(data) + 1, dtype=bool)
+    lead, then = data[:-1], data[1:]
+    latin = (lead == 0xC3) & (then >= 0x80) & (then <= 0x9E) & (then != 0x97)
+    greek = (lead == 0xCE) & (then >= 0x91) & (then <= 0xA9)
+    cyrillic = (lead == 0xD0) & (then >= 0x90) & (then <= 0xAF)
+    out[1:-1] = latin | greek | cyrillic
+    return out
+
+
+def _lower_wide(lower: np.ndarray, data: np.ndarray, after: np.ndarray) -> None:
+    """Puts the small letter in place of each two-byte capital; ``after`` marks the byte before the second one."""
+    first = np.flatnonzero(after[: len(data)])
+    lead, then = data[first], data[first + 1].astype(np.int64)
+    point = np.where(lead == 0xC3, 0xC0, np.where(lead == 0xCE, 0x380, 0x400)) + (then & 0x3F) + 32
+    lower[first] = 0xC0 | point >> 6
+    lower[first + 1] = 0x80 | point & 0x3F
+
+
 class Templates:
     """Words of a batch with their kinds (0 plain) and the hashes of their canonical forms."""
 
     def __init__(self, texts: pa.Array):
         data, offsets = byte_view(texts)
         lower = ASCII_LOWER[data]
-        large = np.zeros(len(data) + 1, dtype=bool)  # second bytes of the capitals from U+00C0 to U+00DE
-        large[1:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        lower[large[:-1]] += 32
+        large = _wide_capitals(data)
+        _lower_wide(lower, data, large[1:])
         self.words = words = Words(lower, offsets, _WORD)
         n = len(words.start)
         kind = np.zeros(n, dtype=np.int8)
         if n:
             ascii_capital = (data[words.start] >= 65) & (data[words.start] <= 90)
-            wide_capital = large[words.start + 1]
+            wide_capital = large[words.start + 1]  # marks are on second bytes
             # a name goes on in small letters, so words in capitals only are plain words
             then = np.minimum(words.start + np.where(wide_capital, 2, 1), len(data) - 1)
             small = ((data[then] >= 97) & (data[then] <= 122)) | ((data[then] >= 128) & ~large[np.minimum(then + 1, len(data))])
@@ -105,21 +146,33 @@ class Templates:
         at = np.flatnonzero((doc[:n] == doc[WORDS - 1 :]) & (plain[WORDS:] - plain[:n] >= LEAST_PLAIN))
         return at, chain([self.form[at + i] for i in range(WORDS)])
 
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each run of so many words, placeholders not used."""
+        at, hashes = self.words.windows(length)
+        return at, mix64(hashes, length)
+
     def slots(self, at: np.ndarray) -> pa.Array:
         """For each window the hashes of its words at placeholders, 0 at plain words."""
         each = np.stack([np.where(self.kind[at + i] > 0, self.words.hash[at + i], 0) for i in range(WORDS)], axis=1) if len(at) else np.zeros((0, WORDS), np.uint64)
-        offsets = np.arange(0, len(at) * WORDS + 1, WORDS, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(each.astype(np.uint64).view(np.int64).ravel()))
+        return _slot_lists(each.astype(np.uint64).view(np.int64))
 
 
-def _rows(batch: pa.RecordBatch, found: Templates, at: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    doc = found.words.doc[at]
-    first = np.searchsorted(found.words.doc, doc)
-    columns = [batch.column(0).take(pa.array(doc)), pa.array((at - first).astype(np.int64)), pa.array(hashes.view(np.int64)), found.slots(at)]
-    return pa.RecordBatch.from_arrays(columns, ["id", "position", "window", "slots"])
+def _slot_lists(each: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, each.size + 1, WORDS, dtype=np.int32)), pa.array(each.ravel()))
 
 
-_SCHEMA = "id long, position long, window long, slots array<long>"
+_NAMES = ["position", "window", "slots", "length"]
+_SCHEMA = "position long, window long, slots array<long>, length int"
+
+
+def _rows(batch: pa.RecordBatch, found: Templates, at: np.ndarray, hashes: np.ndarray, length: int | None = None) -> pa.RecordBatch:
+    """Windows with all columns of the batch but its text, the last; ``length`` for runs of whole items."""
+    doc = found.words.doc[at]
+    first = np.searchsorted(found.words.doc, doc)
+    slots = found.slots(at) if length is None else _slot_lists(np.zeros((len(at), WORDS), np.int64))
+    own = [c.take(pa.array(doc)) for c in batch.columns[:-1]]
+    lengths = pa.array(np.full(len(at), length or 0, np.int32), mask=np.full(len(at), length is None))
+    return pa.RecordBatch.from_arrays([*own, pa.array((at - first).astype(np.int64)), pa.array(hashes.view(np.int64)), slots, lengths], [*batch.schema.names[:-1], *_NAMES])
 
 
 def _inside(text: Column) -> Column:
@@ -128,44 +181,42 @@ def _inside(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, position, window, slots of the benchmark's windows."""
+    """item_id, position, window, slots of the benchmark's windows; ``length`` is set for items that are one window as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BATCH_BYTES):
             found = Templates(text_column(batch))
-            yield _rows(batch, found, *found.windows())
-
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("text is not null and id is not null")
-    opening = items.mapInArrow(run, _SCHEMA)
+            at, hashes = found.windows()
+            yield _rows(batch, found, at, hashes)
+            n = np.bincount(found.words.doc, minlength=batch.num_rows)
+            n[found.words.doc[at]] = 0
+            for length in np.unique(n[n > 0]).tolist():
+                whole = np.searchsorted(found.words.doc, np.flatnonzero(n == length))
+                starts, runs = found.runs(length)
+                yield _rows(batch, found, whole, runs[np.searchsorted(starts, whole)], length)
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    opening = items.mapInArrow(run, f"item_id long, {_SCHEMA}")
     # position 0 is the word put before the text
-    inner = items.select("id", _inside(F.col("text")).alias("text")).mapInArrow(run, _SCHEMA).where("position = 1").withColumn("position", F.lit(0).cast("long"))
-    return opening.union(inner).distinct().withColumnRenamed("id", "item_id")
+    inner = items.select("item_id", _inside(F.col("text")).alias("text")).mapInArrow(run, f"item_id long, {_SCHEMA}").where("position = 1 and length is null").withColumn("position", F.lit(0).cast("long"))
+    return opening.union(inner).distinct()
 
 
-def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitset of 2**bits positions, set where a benchmark window falls; its size does not depend on the table."""
-    at = windows.select(F.shiftrightunsigned("window", 64 - bits).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("set"))
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for r in words.toLocalIterator():
-        out[r.word] = r.set & (2**64 - 1)
-    return out
-
-
-def candidate_windows(docs: DataFrame, kept: np.ndarray, bits: int = FILTER_BITS) -> DataFrame:
-    """Windows of the documents that pass the bitset."""
-    spread = docs.sparkSession.sparkContext.broadcast(kept)
+def candidate_windows(docs: DataFrame, kept: Broadcast[HashFilter], lengths: list[int]) -> DataFrame:
+    """The row key and position, window, slots of the windows of documents that pass the bitset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitset = spread.value
+        passes = kept.value.hits
         for batch in by_bytes(batches, BATCH_BYTES):
             found = Templates(text_column(batch))
-            at, hashes = found.windows()
-            top = hashes >> np.uint64(64 - bits)
-            hit = ((bitset[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1)).astype(bool)
-            yield _rows(batch, found, at[hit], hashes[hit])
+            for length in (None, *lengths):
+                at, hashes = found.windows() if length is None else found.runs(length)
+                hit = passes(hashes)
+                if hit.any():
+                    yield _rows(batch, found, at[hit], hashes[hit], length)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null and id is not null").mapInArrow(run, _SCHEMA).withColumnRenamed("id", "doc_id")
+    columns = ", ".join(f"{c} long" for c in ROW_KEY)
+    return docs.where("text is not null").select(*row_key(), "text").mapInArrow(run, f"{columns}, {_SCHEMA}")
 
 
 def _judged(position: np.ndarray, slots: np.ndarray, theirs: np.ndarray) -> dict:
@@ -266,36 +317,61 @@ def best_chain(position: np.ndarray, at: np.ndarray, slots: np.ndarray, theirs:
     return None
 
 
+def _row_name() -> Column:
+    """The row key as one text, which joins where the id is null too."""
+    return F.concat_ws(":", F.coalesce(F.col(ROW_KEY[0]).cast("string"), F.lit("-")), F.col(ROW_KEY[1]).cast("string"))
+
+
+def probes(items: DataFrame, found: DataFrame, coverage: float) -> DataFrame:
+    """item_id, window: the rarest windows of each item, one of which a document has if it has enough of all."""
+    sizes = items.groupBy("item_id").agg(F.countDistinct("position").alias("windows"))
+    frequent = found.groupBy("window").agg(F.count("*").alias("c"))
+    cost = items.join(frequent, "window", "left").groupBy("item_id", "position").agg(F.sum(F.coalesce("c", F.lit(0))).alias("c"))
+    ranked = cost.join(sizes, "item_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("c", "position")))
+    rare = ranked.where(F.col("rank") <= F.col("windows") - F.ceil(F.lit(coverage) * F.col("windows")) + 1)
+    return items.join(rare.select("item_id", "position"), ["item_id", "position"]).select("item_id", "window").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consistency: float = 0.8) -> DataFrame:
-    """doc_id, item_id, windows, matched, share, slots, changed, consistent for each item that a document holds.
+    """doc_id, text_hash, item_id, windows, matched, share, slots, changed, consistent for each item that a document holds.
 
     All of it is of the best alignment.  ``share`` is matched / windows; ``slots`` counts
     the distinct placeholder values of the item that were compared, ``changed`` those with
     another value in the document, ``consistent`` the share of those that have one value
-    throughout.
+    throughout.  The result is stored in the shared folder.
     """
-    items = item_windows(benchmark)
-    found = candidate_windows(docs, window_filter(items))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("position").alias("windows"))
-    pairs = found.withColumnRenamed("position", "at").withColumnRenamed("slots", "theirs").join(items, "window")
-    aligned = pairs.select("doc_id", "item_id", "position", "at", "slots", "theirs")
-    # no alignment covers more positions than all of them together
-    matched = aligned.groupBy("doc_id", "item_id").agg(F.countDistinct("position").alias("matched"))
-    enough = matched.join(sizes, "item_id").where(F.col("matched") >= F.ceil(F.lit(coverage) * F.col("windows")))
-    rows = aligned.join(enough.select("doc_id", "item_id", "windows"), ["doc_id", "item_id"])
+    work = Scratch(docs.sparkSession)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         position, at, windows = (table.column(c).to_numpy() for c in ("position", "at", "windows"))
         slots, theirs = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, WORDS) for c in ("slots", "theirs"))
         best = best_chain(position, at, slots, theirs, -int(-coverage * windows[0] // 1), consistency)
-        found = [] if best is None else [{"doc_id": key[0].as_py(), "item_id": key[1].as_py(), "windows": int(windows[0]), **best, "share": best["matched"] / int(windows[0])}]
+        found = [] if best is None else [{"row": key[0].as_py(), "item_id": key[1].as_py(), "windows": int(windows[0]), **best, "share": best["matched"] / int(windows[0])}]
         return pa.Table.from_pylist(found, schema=names)
 
-    names = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "windows", "matched")] + [("share", pa.float64()), ("slots", pa.int64()), ("changed", pa.int64()), ("consistent", pa.float64())])
-    return rows.groupBy("doc_id", "item_id").applyInArrow(run, "doc_id long, item_id long, windows long, matched long, share double, slots long, changed long, consistent double")
+    names = pa.schema([("row", pa.string()), *((c, pa.int64()) for c in ("item_id", "windows", "matched")), ("share", pa.float64()), ("slots", pa.int64()), ("changed", pa.int64()), ("consistent", pa.float64())])
+    try:
+        items = work.stored(item_windows(benchmark))
+        lengths = [r.length for r in items.where("length is not null").select("length").distinct().collect()]
+        passed = candidate_windows(docs, hash_filter(items.select("window").distinct()), sorted(lengths)).select(_row_name().alias("row"), "position", "window", "slots")
+        found = work.stored(passed.dropDuplicates(["row", "position", "window"]))
+        sizes = items.groupBy("item_id").agg(F.countDistinct("position").alias("windows"))
+        pairs = found.select("row", "window").join(probes(items, found, coverage), "window").select("row", "item_id").distinct()
+        theirs = found.select("row", "window", F.col("position").alias("at"), F.col("slots").alias("theirs"))
+        aligned = pairs.join(items.drop("length"), "item_id").join(theirs, ["row", "window"]).select("row", "item_id", "position", "at", "slots", "theirs")
+        aligned = work.stored(aligned)
+        # no alignment covers more positions than all of them together
+        matched = aligned.groupBy("row", "item_id").agg(F.countDistinct("position").alias("matched"))
+        enough = matched.join(sizes, "item_id").where(F.col("matched") >= F.ceil(F.lit(coverage) * F.col("windows")))
+        rows = aligned.join(enough.select("row", "item_id", "windows"), ["row", "item_id"])
+        told = rows.groupBy("row", "item_id").applyInArrow(run, "row string, item_id long, windows long, matched long, share double, slots long, changed long, consistent double")
+        part = F.split("row", ":")
+        return stored(told.select(part[0].try_cast("long").alias("doc_id"), part[1].cast("long").alias("text_hash"), *told.columns[1:]))
+    finally:
+        work.drop()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    dirty = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].cast("long") == dirty["_dirty"], "left_anti")
+    """``docs`` without the rows that hold a benchmark item; rows are dropped in the scan."""
+    dirty = leaks(docs, benchmark, **how).select(F.col("doc_id").alias(ROW_KEY[0]), F.col("text_hash").alias(ROW_KEY[1])).distinct()
+    return without_rows(docs, dirty.withColumn("_row_once", F.lit(False)))

@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def _ips(text: str) -> Iterator[Span]:
     for run in _DOTTED.finditer(text):
         if run[0].count(".") >= 3:
             for m in _IP.finditer(text, run.start(), run.end()):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                if all(len(q) <= 3 and int(q or 0) <= 255 for q in [p.lstrip("0") for p in m.groups()]):
                     yield m.start(), m.end(), 1
 
 
@@ -137,32 +138,32 @@ _WORD_SIGN = re.compile(r" (at|@|dot) | ?\. ?", re.I)
 
 
 class Rewritten:
-    """A text after replacements, with the source span of each of its characters."""
+    """A text after replacements, with the source span of each of its characters as arrays."""
 
     def __init__(self, text: str):
         self.text = text
-        self.start = range(len(text))
-        self.end = range(1, len(text) + 1)
+        self.start = self.end = None  # arrays once something has been replaced
 
     def replace(self, changes: list[tuple[int, int, str]]) -> None:
         """Put other characters in place of spans; changes are in order and do not overlap."""
         if not changes:
             return
+        if self.start is None:
+            self.start = np.arange(len(self.text))
+            self.end = self.start + 1
         out, start, end, done = [], [], [], 0
         for a, b, new in changes:
             if a < done:
                 continue
             out += [self.text[done:a], new]
-            start += [*self.start[done:a], *[self.start[a]] * len(new)]
-            end += [*self.end[done:a], *[self.end[b - 1]] * len(new)]
+            start += [self.start[done:a], np.full(len(new), self.start[a])]
+            end += [self.end[done:a], np.full(len(new), self.end[b - 1])]
             done = b
         out.append(self.text[done:])
-        start += self.start[done:]
-        end += self.end[done:]
-        self.text, self.start, self.end = "".join(out), start, end
+        self.text, self.start, self.end = "".join(out), np.concatenate([*start, self.start[done:]]), np.concatenate([*end, self.end[done:]])
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
 
 
 def deobfuscated(text: str) -> Rewritten | None:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import chat, media, pii, sharding, warc
-from strandline.llm.decontamination import leaks
+from strandline.llm.decontamination import NUMBER_WORDS, UNITS, leaks
 from strandline.llm.toxicity import toxicity
 
 
@@ -118,7 +118,7 @@ CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().
 def brute_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     out = [(m.start(), m.end(), 0) for m in EMAIL.finditer(t)]
-    out += [(m.start(), m.end(), 1) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), m.end(), 1) for m in IP.finditer(t) if all(re.fullmatch("0*[0-9]{1,3}", x) and int(x[-3:]) <= 255 for x in m[0].split("."))]
     out += [(m.start(), m.end(), 2) for m in CARD.finditer(t) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
     out += [(m.start(), m.end(), 3) for m in PHONE.finditer(t) if 10 <= len(digits(m)) <= 15]
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
@@ -132,6 +132,12 @@ def test_plain_identifiers():
     assert pii.plain_spans("x" * 5000 + "@a.b") == [(0, 5004, 0)]
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + "1.2.3.4", "9" * 5000 + ".2.3.4", "1.2.3." + "0" * 6000, "1 " * 5000, "+" + "1" * 9000, "٣" * 5000 + ".1.1.1", "one " * 5000 + "at x dot com", "1.2.3.0256 1.2.3.00255"])
+def test_long_runs_of_digits(text):
+    assert pii.plain_spans(text) == brute_spans(text)
+    pii.all_spans(text), pii.redacted(text)
+
+
 @pytest.mark.parametrize("text,found", [
     ("é mail jane.doe [at] example [dot] org now", "jane.doe [at] example [dot] org"), ("jane at example dot com", "jane at example dot com"), ("1９２.168.0.1", "1９２.168.0.1"),
     ("call plus one five five five one two three four five six seven ok", "plus one five five five one two three four five six seven"),
@@ -211,6 +217,92 @@ def test_decontamination_of_one_alignment(spark, make):
     assert got[1].matched == got[2].matched == got[3].matched == got[1].windows and got[7].changed > 0
 
 
+def slow_words(text):
+    """Words of a text with their kinds, by a pattern and a loop."""
+    out, opens, number = [], True, False
+    for m in re.finditer(r"[0-9A-Za-z%$\u0080-\uffff]+|[.!?\n]", text):
+        w = m[0]
+        if w in ".!?\n":
+            opens = True
+            continue
+        kind = "name" if w[0].isupper() and w[1:2].islower() and not opens else ""
+        before, number = number, bool(re.search("[0-9]", w)) or w.lower() in NUMBER_WORDS
+        kind = "number" if number else kind
+        if before and w.lower() in UNITS:
+            kind = "unit"
+        out.append((kind, w.lower()))
+        opens = False
+    return out
+
+
+def slow_windows(words):
+    return {i: [k or w for k, w in words[i : i + 5]] for i in range(len(words) - 4) if sum(not k for k, _ in words[i : i + 5]) >= 3}
+
+
+def slow_leaks(docs, items):
+    """All pairs, all shifts: item held if 0.8 of its windows are at one shift and 0.8 of its values stand for one value."""
+    out = set()
+    for item_id, item in items:
+        opening, inner = slow_words(item), slow_words("x " + item)[1:]
+        mine, first = slow_windows(opening), slow_windows(inner).get(0)
+        for doc_id, text in docs:
+            words = slow_words(text or "")
+            if not mine:
+                n = len(opening)
+                if n and any([w for _, w in words[i : i + n]] == [w for _, w in opening] for i in range(len(words) - n + 1)):
+                    out.add((doc_id, item_id, 1, 1))
+                continue
+            theirs = slow_windows(words)
+            for shift in range(-len(opening), len(words)):
+                hit = [p for p in mine if (got := theirs.get(p + shift)) is not None and (got == mine[p] or p == 0 and got == first)]
+                stands = {}
+                for p in hit:
+                    read = opening if theirs[p + shift] == mine[p] else inner
+                    for i in range(5):
+                        if read[p + i][0]:
+                            stands.setdefault(read[p + i][1], set()).add(words[p + shift + i][1])
+                if len(hit) >= -(-8 * len(mine) // 10) and (not stands or np.mean([len(v) == 1 for v in stands.values()]) >= 0.8):
+                    out.add((doc_id, item_id, len(mine), len(hit)))
+    return out
+
+
+def test_decontamination_against_all_pairs(spark, make):
+    random.seed(9)
+    small = "red blue green stone river house walks sings eats under over with and the of to".split()
+    pick = lambda n: " ".join(random.choice(small) if random.random() < 0.75 else random.choice(["Anna", "Otto", "Ödön", "Иван", "12", "drei", "40", "5 km", "seven"]) for _ in range(n))
+    items = [(i, pick(random.choice([3, 6, 12, 20, 40]))) for i in range(24)] + [(90, "Anna Otto 12"), (91, "7 8 9 10 11 12 13"), (92, "zebra"), (93, ""), (94, items_of := "red Anna " + pick(14)), (95, items_of)]
+    docs = [(i, pick(random.randint(0, 60))) for i in range(40)]
+    for i in range(60):
+        item = random.choice(items)[1]
+        if random.random() < 0.5:
+            item = re.sub("Anna|12", lambda m: {"Anna": "Karl", "12": "77"}[m[0]], item)
+        elif random.random() < 0.3:
+            item = re.sub("Anna|Otto|40", lambda m: random.choice(["Karl", "Emil", "99", "Ines"]), item)
+        docs.append((100 + i, f"{pick(random.randint(0, 9))}. {item} {pick(random.randint(0, 9))}"))
+    docs += [(100, docs[50][1]), (300, None), (301, "")] + docs[60:63]
+    table = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, window string")
+    got = {(r.doc_id, r.item_id): (r.windows, r.matched) for r in leaks(make(docs), table).collect()}
+    want = {}
+    for d, i, n, m in slow_leaks(docs, items):
+        want[d, i] = max(want.get((d, i), (0, 0)), (n, m))
+    assert want.keys() <= got.keys() and all(got[k] == v for k, v in want.items())
+    # what else is found goes on at another shift, so no single one has enough
+    assert len(want) > 40 and all(got[k][1] >= 0.8 * got[k][0] for k in got.keys() - want.keys())
+    assert {k[1] for k in want} >= {90, 91, 94, 95} or len({k[1] for k in want}) > 15
+
+
+def test_rows_with_equal_and_null_ids(spark, make):
+    from strandline.llm.decontamination import decontaminate
+
+    item = "a train leaves the station with 40 cars at noon and then Maria pays 12 dollars for the tickets"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (1, "a clean text"), (None, f"so {item}"), (None, "clean too"), (2, item), (2, item), (3, None), (4, "")]
+    kept = decontaminate(make(rows), bench)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", "a clean text"), ("3", "None"), ("4", ""), ("None", "clean too")]
+    assert len(leaks(make(rows), bench).collect()) == 3
+    assert decontaminate(make(rows), bench.limit(0)).count() == len(rows) and decontaminate(make([]), bench).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
