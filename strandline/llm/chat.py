@@ -65,11 +65,14 @@ def span(before: list[Message], turn: Message, template: Template) -> tuple[str,
     if rewritten:  # the common prefix is all that can be told
         cut = next((i for i, (a, b) in enumerate(zip(shorter, longer)) if a != b), min(len(shorter), len(longer)))
     piece = longer[cut:]
-    probe = template([*before, (turn[0], SENTINEL)])[cut:]
-    head = probe.find(SENTINEL)
+    sentinel = SENTINEL
+    while sentinel in longer:  # a text or role has it too
+        sentinel += SENTINEL[0] * len(sentinel)
+    probe = template([*before, (turn[0], sentinel)])[cut:]
+    head = probe.find(sentinel)
     if head < 0:  # the template leaves such texts out
         return piece, 0, 0, rewritten
-    tail = len(probe) - head - len(SENTINEL)
+    tail = len(probe) - head - len(sentinel)
     return piece, head, len(piece) - tail, rewritten
 
 

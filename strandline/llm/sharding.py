@@ -1,8 +1,8 @@
 """Operator 3: sharding by a keyed permutation of global row numbers.
 
-Rows get global numbers 0..n-1: they are dealt into hash buckets of their id, counted
-there, and numbered inside each bucket by id; a running sum over the bucket counts
-gives each bucket's first number.  A Feistel network over pairs (l, r) with
+Rows get global numbers 0..n-1: equal rows are counted, and groups of them dealt into
+hash buckets, large ones in parts; each bucket numbers its groups by id, and a running
+sum over the bucket sizes gives each bucket's first number.  A Feistel network over pairs (l, r) with
 l < a, r < b, a * b >= n permutes the numbers.  A value outside 0..n-1 is permuted
 again until it is inside (cycle walking); at most a * b - n values are outside, so
 that many steps always suffice.  Row p of the shuffle goes to shard p mod k, slot
@@ -14,8 +14,9 @@ size and checksum and is not shuffled.
 
 Null texts have size 1 and the checksum of no bytes.  Null ids are numbered before
 others of their bucket; rows with equal ids are ordered by size and checksum, and
-rows equal in all three are alike, so any order of them gives the same table.  An
-empty table gives an empty table.
+rows equal in all three are alike, so a count stands for them until they get their
+numbers, and no id, null or not, is too frequent for a task.  An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from strandline.llm.common import crc32_text
 
 ROUNDS = 6
 #: Primes below 2**31, so products of two values below them fit 64 bits, and factors.
-_PRIME = 2147483647
 _STEPS = ((2147483647, 1588635695), (2147483629, 1117695901), (2147483587, 2027892911))
-_ROWS_PER_BUCKET = 1 << 16
+_ROWS_PER_BUCKET, _BUCKETS_PER_RANGE = 1 << 16, 1 << 12
 
 
 def mixed(x: Column, key: int) -> Column:
@@ -114,20 +114,22 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = 0) -> int:
     return p
 
 
-def row_numbers(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """``rows`` with a gapless ``row_number`` from 0; ``order`` starts with the id."""
-    buckets = max(1, -(-n // _ROWS_PER_BUCKET))
-    buckets = 1 << max(5, (buckets - 1).bit_length())
-    key = F.coalesce(F.col(order[0]), F.lit(0)).cast("long")
-    spread = mixed(F.pmod(key, F.lit(_PRIME).cast("long")) + F.pmod(F.shiftright(key, 31), F.lit(_PRIME).cast("long")), 11)
-    dealt = rows.withColumn("_bucket", F.pmod(spread, F.lit(buckets).cast("long")).cast("int"))
-    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # one row for each bucket: their number is fixed before, and never that of the rows
-    first = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_bucket", first.alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(c) for c in order]))
-    numbered = dealt.withColumn("_at", inside - F.lit(1))
-    return numbered.join(F.broadcast(starts), "_bucket").withColumn("row_number", F.col("_first") + F.col("_at")).drop("_bucket", "_first", "_at")
+def row_numbers(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (columns that have an order, ids first), ``n`` in all, with a gapless ``row_number`` from 0."""
+    order = rows.columns
+    most = F.lit(_ROWS_PER_BUCKET).cast("long")
+    buckets = 1 << max(5, (-(-n // _ROWS_PER_BUCKET) - 1).bit_length())
+    groups = rows.groupBy(*order).agg(F.count("*").alias("_n"))
+    parts = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("_n") - 1, most))))
+    parts = parts.withColumn("_n", F.least(most, F.col("_n") - F.col("_part") * most)).withColumn("_bucket", F.pmod(F.xxhash64(*order, "_part"), F.lit(buckets).cast("long")))
+    # sizes of buckets shrink to those of ranges of buckets before one task sums them up
+    sizes = parts.groupBy("_bucket").agg(F.sum("_n").alias("_size")).withColumn("_range", F.call_function("div", F.col("_bucket"), F.lit(_BUCKETS_PER_RANGE).cast("long")))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("_range").agg(F.sum("_size").alias("_size")).select("_range", before("_size", Window.orderBy("_range")).alias("_start"))
+    firsts = sizes.withColumn("_inside", before("_size", Window.partitionBy("_range").orderBy("_bucket"))).join(ranges, "_range").select("_bucket", (F.col("_start") + F.col("_inside")).alias("_first"))
+    own = Window.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(c) for c in order], "_part")
+    numbered = parts.withColumn("_at", before("_n", own)).join(firsts, "_bucket")
+    return numbered.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(*order, (F.col("_first") + F.col("_at") + F.col("_i")).alias("row_number"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240229) -> DataFrame:
@@ -138,6 +140,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240229) -> D
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(1)).alias("size"),
         crc32_text(F.col("text")).alias("text_crc32"),
     )
-    placed = row_numbers(rows, ["doc_id", "size", "text_crc32"], n).withColumn("position", permuted(F.col("row_number"), n, seed))
+    placed = row_numbers(rows, n).withColumn("position", permuted(F.col("row_number"), n, seed))
     k = F.lit(shards).cast("long")
     return placed.select("doc_id", "size", "text_crc32", "row_number", "position", F.pmod("position", k).cast("int").alias("shard"), F.call_function("div", F.col("position"), k).alias("slot"))

@@ -6,13 +6,15 @@ labels, and the sentence model is fitted through the noisy-or, so it learns whic
 sentences make a document toxic and can point at them afterwards.
 
 The fit takes at most ``sample`` labelled documents, those with the smallest hashed
-ids, and the words whose share among toxic documents differs clearly from that among
-others.  Its labels may be wrong in a share ``noise`` of the cases either way.
-Scoring reads every whole text, in Arrow batches, by whole-array operations.
+ids, leaves out texts above ``longest`` bytes, and uses the words whose share among
+toxic documents differs most clearly from that among others, at most ``most_words``.
+Spark counts the words; only sentences as lists of those words reach the driver.  Labels
+may be wrong in a share ``noise`` of the cases either way.  Scoring reads every whole
+text, in Arrow batches, by whole-array operations.
 
 Null and empty texts have no sentences and the score 0.  Documents that occur twice,
-in the input or in the labels, are scored once per row; of several labels of an id
-the largest counts.  Without usable labels every score is near 0.  Empty tables give
+in the input or in the labels, are scored once per row and learned from once (by the
+text with the smallest hash); of several labels of an id the largest counts.  Without usable labels every score is near 0.  Empty tables give
 empty tables; other columns are not read.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ASCII_LOWER, Words, by_bytes, byte_view, text_column
+from strandline.llm.common import ASCII_LOWER, Scratch, Words, by_bytes, byte_view, text_column
 
 BATCH_BYTES = 1 << 20
 _WORD = np.zeros(256, dtype=bool)
@@ -64,58 +66,79 @@ def split_side(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
+    """doc_id, toxic, text of the documents to learn from: one row an id."""
     marked = labels.where("doc_id is not null and toxic is not null").where(split_side() != 2)
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` short rows
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    short = docs.where(F.octet_length("text") <= longest).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192, least: int = 5, clear: float = 4.0, noise: float = 0.02, rounds: int = 200, decay: float = 1e-3) -> SentenceModel:
-    """Fit the sentence model; ``least``: documents that must have a word, ``clear``: its z-score."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes of each document and the sentence of each word."""
+    for batch in by_bytes(batches, BATCH_BYTES):
+        found = Sentences(text_column(batch))
+        cuts = np.searchsorted(found.words.doc, np.arange(batch.num_rows + 1))
+        rows = [(found.words.hash[a:b].tobytes(), (found.of_word[a:b] - found.of_word[a : a + 1]).astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        columns = [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "words", "sentences"])
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, BATCH_BYTES):
-            found = Sentences(text_column(batch))
-            cuts = np.searchsorted(found.words.doc, np.arange(batch.num_rows + 1))
-            rows = [(found.words.hash[a:b].tobytes(), found.of_word[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])]
-            columns = [batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "words", "sentences"])
-
-    chosen = _sample(docs, labels, sample)
-    # words are counted in Spark; only those that tell the classes apart reach the driver
-    bagged = chosen.mapInArrow(bags, "doc_id long, toxic int, words binary, sentences binary")
-    rows = sorted(((r.doc_id, r.toxic, bytes(r.words), bytes(r.sentences)) for r in bagged.toLocalIterator()), key=lambda r: (r[0], r[2]))
-    y = np.array([r[1] for r in rows], dtype=float)
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [np.unique(np.frombuffer(w.as_buffer(), np.int64)) for w in batch.column(1)]
+        toxic = np.repeat(batch.column(0).to_numpy(), [len(w) for w in words])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)), pa.array(toxic)], ["word", "toxic"])
+
+
+def _telling_words(bags: DataFrame, n: int, share: float, least: int, clear: float, most: int) -> np.ndarray:
+    """Hashes of the words that tell the classes apart, in order."""
+    seen = bags.select("toxic", "words").mapInArrow(_distinct_words, "word long, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    z = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    best = seen.where(F.col("n") >= least).select("word", z.alias("z")).where(F.col("z") >= clear).orderBy(F.desc("z"), "word").limit(most)
+    return np.sort(np.array([r.word for r in best.collect()], dtype=np.int64).view(np.uint64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192, longest: int = 1 << 16, least: int = 5, clear: float = 4.0, most_words: int = 4096, noise: float = 0.02, rounds: int = 200, decay: float = 1e-3) -> SentenceModel:
+    """Fit the sentence model; ``least``: documents that must have a word, ``clear``: its z-score."""
     nothing = SentenceModel(np.zeros(0, np.uint64), np.zeros(0), -20.0)
-    if not rows or y.min() == y.max():
-        return nothing
-    words = [np.frombuffer(r[2], np.uint64) for r in rows]
-    vocabulary, n_doc = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
-    n_toxic = np.zeros(len(vocabulary))
-    for w, toxic in zip(words, y):
-        if toxic:
-            n_toxic[np.searchsorted(vocabulary, np.unique(w))] += 1
-    share = y.mean()
-    z = (n_toxic - n_doc * share) / np.sqrt(np.maximum(n_doc * share * (1 - share), 1e-9))
-    vocabulary = vocabulary[(n_doc >= least) & (np.abs(z) >= clear)]
-    if not len(vocabulary):
-        return nothing
-    doc, sentence, feature, n = [], [], [], 0
-    for i, (w, r) in enumerate(zip(words, rows)):
-        s = np.frombuffer(r[3], np.int32)
-        if not len(s):
-            continue
-        local = s - s[0]
-        at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
-        hit = vocabulary[at] == w
-        sentence.append(local[hit] + n)
-        feature.append(at[hit])
-        doc.append(np.full(local[-1] + 1, i))
-        n += local[-1] + 1
-    if not doc:
+    work = Scratch(docs.sparkSession)
+    try:
+        bags = work.stored(_sample(docs, labels, sample, longest).mapInArrow(_bags, "doc_id long, toxic int, words binary, sentences binary"))
+        n, share = bags.agg(F.count("*"), F.avg("toxic")).first()
+        if not n or share in (0.0, 1.0):
+            return nothing
+        vocabulary = _telling_words(bags, n, share, least, clear, most_words)
+        if not len(vocabulary):
+            return nothing
+
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Number of sentences of each document, and the kept words in them."""
+            for batch in batches:
+                counts, sentence, feature = [], [], []
+                for w, s in zip(batch.column(2), batch.column(3)):
+                    w, s = np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.int32)
+                    at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
+                    hit = vocabulary[at] == w
+                    counts.append(int(s[-1]) + 1 if len(s) else 0)
+                    sentence.append(s[hit].tobytes())
+                    feature.append(at[hit].astype(np.int32).tobytes())
+                columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sentence, pa.binary()), pa.array(feature, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "n", "sentence", "feature"])
+
+        # at most ``sample`` rows of at most ``longest`` bytes each
+        rows = sorted(bags.mapInArrow(features, "doc_id long, toxic int, n long, sentence binary, feature binary").collect(), key=lambda r: r.doc_id)
+    finally:
+        work.drop()
+    sizes = np.array([r.n for r in rows])
+    first = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(rows)), sizes)
+    if not len(doc):
         return nothing
-    return _descend(np.concatenate(doc), np.concatenate(sentence), np.concatenate(feature), y, vocabulary, noise, rounds, decay)
+    sentence = np.concatenate([np.frombuffer(r.sentence, np.int32) + f for r, f in zip(rows, first)])
+    feature = np.concatenate([np.frombuffer(r.feature, np.int32) for r in rows])
+    return _descend(doc, sentence, feature, np.array([r.toxic for r in rows], dtype=float), vocabulary, noise, rounds, decay)
 
 
 def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.ndarray, vocabulary: np.ndarray, noise: float, rounds: int, decay: float) -> SentenceModel:

@@ -42,9 +42,9 @@ BATCH_BYTES = 1 << 22
 def train_dictionary(pages: DataFrame, sample: int = 256, longest: int = 1 << 16, size: int = 1 << 15) -> bytes:
     """A dictionary from at most ``sample`` pages of at most ``longest`` bytes; empty where they are too few to learn from."""
     short = pages.where(F.octet_length("html") <= longest)
-    chosen = short.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    rows = short.join(F.broadcast(chosen), "page_id").select("page_id", "html").limit(2 * sample).collect()
-    texts = [r.html.encode() for r in sorted(rows, key=lambda r: (r.page_id, r.html))]
+    chosen = short.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    one = short.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+    texts = [r.html.encode() for r in sorted(one.collect(), key=lambda r: r.page_id)]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
     except zstandard.ZstdError:

@@ -1,20 +1,23 @@
 """Sharding, toxicity, media, chat, personal data, archives, decontamination, pipeline."""
 
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import chat, media, pii, sharding, warc
 from strandline.llm.decontamination import NUMBER_WORDS, UNITS, leaks
-from strandline.llm.toxicity import toxicity
+from strandline.llm.toxicity import Sentences, fit, toxicity
 
 
-def test_sharding(make, odd):
+def test_sharding(make, odd, monkeypatch):
     rows = sharding.shard_documents(make(odd), shards=4).collect()
     n = len(odd)
     assert sorted(r.position for r in rows) == sorted(r.row_number for r in rows) == list(range(n))
@@ -23,6 +26,12 @@ def test_sharding(make, odd):
     by = {r.doc_id: (r.size, r.text_crc32) for r in rows}
     assert by[1] == by[2] == (1, 0) and by[7] == (3001, zlib.crc32(b"x" * 3000))
     assert sharding.shard_documents(make([])).count() == 0
+    monkeypatch.setattr(sharding, "_ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(sharding, "_BUCKETS_PER_RANGE", 3)
+    many = [(None, "hot")] * 60 + [(9, "hot")] * 30 + [(i, "x" * i) for i in range(50)]
+    rows = sharding.shard_documents(make(many), shards=8).collect()
+    assert sorted(r.row_number for r in rows) == sorted(r.slot * 8 + r.shard for r in rows) == list(range(len(many)))
+    assert sorted((str(r.doc_id), r.size) for r in rows) == sorted((str(i), len(t) + 1) for i, t in many)
     for n in (1, 2, 3, 50, 1009):
         assert sorted(s * 8 + h for h, s in (sharding.locate(i, n, 8) for i in range(n))) == list(range(n))
 
@@ -44,6 +53,20 @@ def test_toxicity(spark, make, odd):
     text = dict(docs)[4]
     span = got[4].offending[0]
     assert text[span.start : span.end] == "You utter idiot moron"
+    model = fit(make(docs), table)
+    weights = {}
+    for w in {w.lower() for _, t in docs[:40] for w in re.findall(r"[A-Za-z0-9']+", t)}:
+        h = int(Sentences(pa.array([w], pa.large_string())).words.hash[0])
+        at = np.flatnonzero(model.hashes == np.uint64(h))
+        weights[w] = float(model.weights[at[0]]) if len(at) else 0.0
+    for i, t in docs[:40]:  # sentence by sentence, word by word
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", t):
+            if found := re.findall(r"[A-Za-z0-9']+", sentence.lower()):
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weights[w] for w in found))))
+        assert abs(got[i].score - (1 - clean)) < 1e-9
+    twice = table.union(table.where("doc_id < 100")).union(spark.createDataFrame([(0, 0), (None, 1)], table.schema))
+    assert fit(make(docs + docs[:50] + [(None, "idiot"), (3, "x" * 70_000)]), twice).weights.tolist() == pytest.approx(model.weights.tolist())
     rows = toxicity(make(odd), table).collect()
     assert len(rows) == len(odd) and {r.doc_id: r.score for r in rows}[2] == 0.0
     assert toxicity(make([]), table).count() == 0
@@ -58,14 +81,31 @@ def test_media(make, odd):
     assert len(got) == len(docs)
     want = {(i, hashlib.sha256(media.payload_of(t or "")).hexdigest()) for i, t in docs}
     assert {(r.doc_id, r.payload_sha256) for r in got} == want
-    for r in got:
-        assert r.payload_bytes % 192 == 0 and r.media_bytes == r.payload_bytes + 44
+    told = {r.doc_id: r for r in got}
+    for i, t in docs:  # each column by itself, with the standard library's writer of such files
+        data, r = (t or "").encode(), told[i]
+        payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        file = io.BytesIO()
+        with wave.open(file, "wb") as out:
+            out.setparams((1, 1, 8000, 0, "NONE", ""))
+            out.writeframes(payload)
+        if docs.count((i, t)) == sum(j == i for j, _ in docs):
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+            assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(file.getvalue()), hashlib.sha256(file.getvalue()).hexdigest())
+            crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:]))
+            assert r.feature == f"blocks={len(payload) // 192};min={min(payload)};max={max(payload)};sum={sum(payload)};crossings={crossings}"
     lists = media.chunk_lists(make(docs))
-    store = media.write_store(make(docs), media.shared_chunks(lists)).collect()
+    written = media.write_store(make(docs), lists, media.shared_chunks(lists))
+    store = written.collect()
+    assert len(store) == len({r.payload_id for r in store}) == len({t or "" for _, t in docs})
     kept = [c.digest for r in store for c in r.chunks if c.data is not None]
     assert len(kept) == len(set(kept)) and any(c.data is None for r in store for c in r.chunks)
-    one = media.read_store(media.write_store(make(docs[:1]), media.shared_chunks(lists)), media=True).first()
+    one = media.read_store(written.where(F.col("payload_id") == store[0].payload_id), media=True).first()
     assert hashlib.sha256(one.media).hexdigest() == one.media_sha256
+    with pytest.raises(Exception):  # a medium that is not the one written
+        media.read_store(written.withColumn("media_id", F.lit(b"x" * 32))).collect()
+    with pytest.raises(ValueError):
+        media.payload_in(media.media_of(b"a" * 192) + b"b")
     assert media.media_columns(make([])).count() == 0
 
 
@@ -89,6 +129,14 @@ def test_chat(spark):
         assert chat.unescape(chat.escape(t)) == t and not any(c in chat.escape(t) for c in chat.CONTROL)
 
 
+def test_sentinel_in_texts_and_roles(spark):
+    s = chat.SENTINEL
+    rows = [(1, 0, f"user{s}", f"a{s}b"), (1, 1, s, s + s[0] * 2), (1, 2, "assistant", s)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.format_turns(table).orderBy("position").collect()
+    assert [r.piece[r.text_start : r.text_end] for r in found] == [r[3] for r in rows]
+
+
 def test_template_that_rewrites_history(spark):
     def forgetful(messages):
         return "".join(f"[{r}:{t if i == len(messages) - 1 else t[:1]}]" for i, (r, t) in enumerate(messages))
