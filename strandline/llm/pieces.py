@@ -5,8 +5,10 @@ piece they would form, then by position; it takes the best, joins the two symbol
 and puts the new neighbours on the agenda.  Since no piece of the vocabulary runs
 from a non-space into a space, a text falls into chunks (spaces and what follows)
 that are encoded apart; a bounded cache per worker keeps the chunks seen lately.
-All chunks new to the cache are checked against the sentencepiece library, for each
-Arrow batch together, ids and decoded text; a difference ends the job.
+Short chunks are encoded many at once: their agendas are the rows of a matrix, and the
+best entry of each is an array minimum instead of the top of a heap.
+Of each Arrow batch all ids and decoded texts, whole, are checked against the
+sentencepiece library; a difference ends the job.
 
 Nulls count as empty texts, which give no ids and an empty text.  The space mark
 U+2581 in a text is read as a space, as the library does.  Equal rows and ids give
@@ -28,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import by_bytes, text_column
-from strandline.llm.piece_vocab import SPACE, PieceVocab, processor, vocabulary
+from strandline.llm.piece_vocab import SPACE, PieceVocab, processor, segments, vocabulary
 
-BATCH_BYTES = 1 << 22
-CACHE_CHUNKS = 400_000
+BATCH_BYTES = 1 << 21
+#: Most chunks, and characters in them, of one generation of the cache.
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 1 << 23
+#: Characters of a text that the library gets at once.
+CHECK_CHARS = 1 << 16
 
 
 _AT = (1 << 40) - 1
@@ -188,8 +193,9 @@ def chunks(text: str) -> list[str]:
 class Codec:
     """Encodes and decodes batches of texts; keeps two generations of chunks."""
 
-    def __init__(self, model: str, most: int = CACHE_CHUNKS, verify: bool = True):
-        self.vocab, self.library, self.most, self.verify = vocabulary(model), processor(model), most, verify
+    def __init__(self, model: str, most: int = CACHE_CHUNKS, most_chars: int = CACHE_CHARS, verify: bool = True, check_chars: int = CHECK_CHARS):
+        self.vocab, self.library, self.verify, self.check_chars = vocabulary(model), processor(model), verify, check_chars
+        self.most, self.most_chars, self.chars = most, most_chars, 0
         if not self.vocab.separable or any("\n" in p for p in self.vocab.ids):
             raise ValueError(f"{model}: not a merge-type vocabulary whose pieces stop at spaces")
         self.new: dict[str, str] = {}
@@ -198,33 +204,29 @@ class Codec:
 
     def learn(self, missing: list[str]) -> None:
         found = agenda_encode_many([c.replace(" ", SPACE) for c in missing], self.vocab)
-        texts = [decode_ids(ids, self.vocab) for ids in found]
-        if self.verify:
-            self.check(missing, found, texts)
-        for c, ids, text in zip(missing, found, texts, strict=True):
+        for c, ids in zip(missing, found, strict=True):
             self.new[c] = ",".join(map(str, ids))
-            if text != c:
+            if (text := decode_ids(ids, self.vocab)) != c:
                 self.other[c] = text
-
-    def check(self, known: list[str], found: list[list[int]], texts: list[str]) -> None:
-        """Compare ids and decoded texts of chunks with the library's.
-
-        The library puts a space mark before each text.  It stands for the first space
-        of a chunk that begins with one; for others it is an id more.
-        """
-        lead = [self.vocab.ids[SPACE]]
-        theirs = self.library.encode([c[1:] if c[0] == " " else c for c in known], num_threads=1)
-        for c, ids, ours in zip(known, theirs, found, strict=True):
-            if ids != ours and (ids or c != " ") and (c[0] == " " or ids != lead + ours):
-                raise ValueError(f"{c!r}: the library has ids {ids}, the agenda {ours}")
-        for c, back, text in zip(known, self.library.decode(found), texts, strict=True):
-            if back != (text[1:] if c[0] == " " else text):
-                raise ValueError(f"{c!r}: the library decodes {back!r}, this {text!r}")
+        self.chars += sum(map(len, missing))
+
+    def check(self, texts: list[str], found: list[tuple[str, str]]) -> None:
+        """Compare ids and decoded texts with the library's; long texts go in segments that no piece crosses."""
+        cut = [segments(t, self.check_chars) for t in texts]
+        theirs = self.library.encode([s for parts in cut for s in parts], num_threads=1)
+        back = iter(zip(theirs, self.library.decode(theirs)))
+        for text, parts, (ids, decoded) in zip(texts, cut, found, strict=True):
+            rows = [next(back) for _ in parts]
+            if ids != ",".join([",".join(map(str, r)) for r, _ in rows if r]):
+                raise ValueError(f"{text[:80]!r}: the library has other ids than the agenda")
+            if decoded != " ".join([t for _, t in rows]):
+                raise ValueError(f"{text[:80]!r}: the library decodes another text")
 
     def batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids as decimals joined by commas, and the text decoded from them."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.most or self.chars > self.most_chars:
+            self.old, self.new, self.chars = self.new, {}, 0
+            self.other = {c: t for c, t in self.other.items() if c in self.old}
         new, old = self.new, self.old
         cut = [chunks(t) for t in texts]
         ids = [list(map(new.get, parts)) for parts in cut]
@@ -232,12 +234,15 @@ class Codec:
         if missing:
             kept = [c for c in missing if c in old]
             new.update((c, old[c]) for c in kept)
+            self.chars += sum(map(len, kept))
             missing.difference_update(kept)
             self.learn(list(missing))
             ids = [list(map(new.get, parts)) if None in values else values for parts, values in zip(cut, ids)]
-        if not self.other:
-            return [(",".join(values), "".join(parts)[1:]) for parts, values in zip(cut, ids)]
-        return [(",".join(values), "".join([self.other.get(c, c) for c in parts])[1:]) for parts, values in zip(cut, ids)]
+        other = self.other.get
+        out = [(",".join(values), "".join([other(c, c) for c in parts] if self.other else parts)[1:]) for parts, values in zip(cut, ids)]
+        if self.verify:
+            self.check(texts, out)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.batch([text])[0][0].split(",") if i]

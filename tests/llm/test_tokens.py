@@ -30,6 +30,12 @@ def test_random_texts():
     random.seed(5)
     texts = ["".join(random.choice("ab  the\n▁é漢😀.") for _ in range(random.randint(0, 40))) for _ in range(1500)]
     assert [codec.encode(t) for t in texts] == sp.encode(texts)
+    short = Codec(MODEL, check_chars=3, most_chars=500)
+    assert [[int(i) for i in ids.split(",") if i] for k in range(0, 1500, 100) for ids, _ in short.batch(texts[k : k + 100])] == sp.encode(texts)
+    with pytest.raises(ValueError):
+        short.check(["ab the"], [("1,2", "ab the")])
+    with pytest.raises(ValueError):
+        short.check(["ab the"], [(",".join(map(str, sp.encode("ab the"))), "ab  the")])
     assert [codec.decode(i) for i in sp.encode(texts)] == sp.decode(sp.encode(texts))
     words = ["▁" + "".join(random.choice("abcdefgh") for _ in range(random.randint(1, 90))) for _ in range(300)]
     assert agenda_encode_many(words, vocab) == [agenda_encode(w, vocab) for w in words]
