@@ -14,7 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and Python, however long its texts are.
+ARROW_BYTES = 4 << 20
+# workers live through many stages, so what a batch took goes back to the system after it
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,7 +77,7 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-LEAST_BITS, MOST_BITS = 16, 27
+LEAST_BITS, MOST_BITS = 24, 27
 
 
 @dataclass
@@ -81,7 +93,7 @@ class HashFilter:
 
 
 def hash_filter(hashes: DataFrame) -> Broadcast[HashFilter]:
-    """A filter of the one column of ``hashes``: about sixteen bits for each, at most 2**27 bits (16 MiB) in all."""
+    """A filter of the one column of ``hashes``: about sixteen bits for each, from 2**24 (2 MiB) to 2**27 bits (16 MiB) in all."""
     spark, name = hashes.sparkSession, hashes.columns[0]
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * hashes.count()).bit_length()))
     at = hashes.select(F.shiftrightunsigned(name, 64 - bits).alias("at"))

@@ -1,7 +1,8 @@
 """Operator 4: toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence has the score sigmoid(w . words + b), a
-document the noisy-or of its sentences: 1 - prod(1 - score).  Only documents carry
+A document is a bag of sentences.  A sentence has the score sigmoid(w . words + b), or 0
+if it has no word that the model knows, so that many sentences which say nothing do not
+add up; a document has the noisy-or of its sentences: 1 - prod(1 - score).  Only documents carry
 labels, and the sentence model is fitted through the noisy-or, so it learns which
 sentences make a document toxic and can point at them afterwards.
 
@@ -114,31 +115,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192, longest: int = 1
             return nothing
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Number of sentences of each document, and the kept words in them."""
+            """The kept words of each document and their sentences."""
             for batch in batches:
-                counts, sentence, feature = [], [], []
+                sentence, feature = [], []
                 for w, s in zip(batch.column(2), batch.column(3)):
                     w, s = np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.int32)
                     at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
                     hit = vocabulary[at] == w
-                    counts.append(int(s[-1]) + 1 if len(s) else 0)
                     sentence.append(s[hit].tobytes())
                     feature.append(at[hit].astype(np.int32).tobytes())
-                columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sentence, pa.binary()), pa.array(feature, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "n", "sentence", "feature"])
+                columns = [batch.column(0), batch.column(1), pa.array(sentence, pa.binary()), pa.array(feature, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "sentence", "feature"])
 
         # at most ``sample`` rows of at most ``longest`` bytes each
-        rows = sorted(bags.mapInArrow(features, "doc_id long, toxic int, n long, sentence binary, feature binary").collect(), key=lambda r: r.doc_id)
+        rows = sorted(bags.mapInArrow(features, "doc_id long, toxic int, sentence binary, feature binary").collect(), key=lambda r: r.doc_id)
     finally:
         work.drop()
-    sizes = np.array([r.n for r in rows])
-    first = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    if not len(doc):
-        return nothing
-    sentence = np.concatenate([np.frombuffer(r.sentence, np.int32) + f for r, f in zip(rows, first)])
+    place = np.concatenate([np.frombuffer(r.sentence, np.int32).astype(np.int64) + (i << 32) for i, r in enumerate(rows)])
     feature = np.concatenate([np.frombuffer(r.feature, np.int32) for r in rows])
-    return _descend(doc, sentence, feature, np.array([r.toxic for r in rows], dtype=float), vocabulary, noise, rounds, decay)
+    if not len(place):
+        return nothing
+    each, sentence = np.unique(place, return_inverse=True)
+    return _descend(each >> 32, sentence, feature, np.array([r.toxic for r in rows], dtype=float), vocabulary, noise, rounds, decay)
 
 
 def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.ndarray, vocabulary: np.ndarray, noise: float, rounds: int, decay: float) -> SentenceModel:
@@ -163,11 +161,13 @@ def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.n
 def scored_batch(batch: pa.RecordBatch, model: SentenceModel) -> tuple[Sentences, np.ndarray, np.ndarray]:
     """The sentences of a batch, their log-odds, and the score of each document."""
     found = Sentences(text_column(batch))
-    each = np.zeros(len(found.words.hash))
+    odds = np.full(len(found.first), -np.inf)
     if len(model.hashes):
         at = np.minimum(np.searchsorted(model.hashes, found.words.hash), len(model.hashes) - 1)
-        each = np.where(model.hashes[at] == found.words.hash, model.weights[at], 0.0)
-    odds = np.bincount(found.of_word, weights=each, minlength=len(found.first)) + model.bias
+        hit = model.hashes[at] == found.words.hash
+        summed = np.bincount(found.of_word, weights=np.where(hit, model.weights[at], 0.0), minlength=len(odds)) + model.bias
+        known = found.of_word[hit]
+        odds[known] = summed[known]
     return found, odds, -np.expm1(-np.bincount(found.doc, weights=np.logaddexp(0, odds), minlength=batch.num_rows))
 
 

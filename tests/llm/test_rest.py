@@ -58,12 +58,13 @@ def test_toxicity(spark, make, odd):
     for w in {w.lower() for _, t in docs[:40] for w in re.findall(r"[A-Za-z0-9']+", t)}:
         h = int(Sentences(pa.array([w], pa.large_string())).words.hash[0])
         at = np.flatnonzero(model.hashes == np.uint64(h))
-        weights[w] = float(model.weights[at[0]]) if len(at) else 0.0
+        if len(at):
+            weights[w] = float(model.weights[at[0]])
     for i, t in docs[:40]:  # sentence by sentence, word by word
         clean = 1.0
         for sentence in re.split(r"[.!?\n]", t):
-            if found := re.findall(r"[A-Za-z0-9']+", sentence.lower()):
-                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weights[w] for w in found))))
+            if found := [weights[w] for w in re.findall(r"[A-Za-z0-9']+", sentence.lower()) if w in weights]:
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(found))))
         assert abs(got[i].score - (1 - clean)) < 1e-9
     twice = table.union(table.where("doc_id < 100")).union(spark.createDataFrame([(0, 0), (None, 1)], table.schema))
     assert fit(make(docs + docs[:50] + [(None, "idiot"), (3, "x" * 70_000)]), twice).weights.tolist() == pytest.approx(model.weights.tolist())
@@ -363,3 +364,41 @@ def test_pipeline(spark):
     assert 0 < out.count() < docs.count()
     assert not any(brute_spans(r.text) for r in out.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, out, "").count() == out.count()
+
+
+def test_pipeline_with_odd_rows(spark, make, odd, tmp_path):
+    """Each stage on nulls, blanks, a long text, repeated rows and ids, clashing names; and on an empty table."""
+    import corpus_pipeline
+
+    random.seed(4)
+    prose = lambda n: " ".join(random.choice("stone river green house walks under".split()) + str(random.randint(0, 99)) for _ in range(n)) + "."
+    item = "a train leaves the station with 40 cars at noon and then Maria pays 12 dollars for the tickets"
+    clean = [(100 + i, prose(30)) for i in range(60)]
+    toxic = [(200 + i, prose(20) + " You utter idiot moron.") for i in range(20)]
+    copies = [(300, prose(60)), (301, ""), (302, None)]
+    copies += [(303, copies[0][1]), (None, copies[0][1]), (299, copies[0][1].replace("stone", "stone ", 1)), (304, clean[5][1])]
+    long = (400, prose(120_000) + " jane@example.org")
+    leaked = [(500, f"so {item} and"), (None, item), (501, item.replace("40", "77"))]
+    rows = [*odd, *clean, *toxic, *copies, long, *leaked, (600, "one"), (600, "two"), (None, "nobody 10.0.0.1")]
+    spark.createDataFrame([(i, int(i >= 200), 1) for i, _ in clean + toxic], "doc_id long, toxic int, text int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item, 5)], "item_id long, text string, doc_id int").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out, kept = make(rows), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path)).cache()
+        kept[name] = sorted((str(r.doc_id), r.text) for r in out.collect() if r.text != long[1]) if name != "personal_data" else out.collect()
+        assert out.columns == make([]).columns
+        assert stage(spark, make([]), str(tmp_path)).count() == 0
+    # by hand: what each stage drops
+    told = lambda pairs: sorted((str(i), t) for i, t in pairs if t != long[1])
+    left = [r for r in rows if r not in toxic]
+    assert [r for r in kept["toxicity"] if r[1] is None or "idiot" not in r[1]] == kept["toxicity"] and len(kept["toxicity"]) == len(left) - 1
+    for gone in (copies[0], copies[3], copies[4], copies[6], (5, odd[4][1]), leaked[1]):  # the last is a near copy of the leak before it
+        left.remove(gone)
+    assert sorted(map(str, kept["near_copies"])) == sorted(map(str, told(r for r in left)))
+    left = [r for r in left if r not in leaked]
+    assert sorted(map(str, kept["decontamination"])) == sorted(map(str, told(left)))
+    final = {str(r.doc_id): r for r in kept["personal_data"]}
+    assert final["400"].text.endswith("[EMAIL]") and final["400"].n_chars == len(final["400"].text) and final["302"].text is None
+    assert any(r.text == "nobody [IP]" for r in kept["personal_data"])
+    ids = {str(r.doc_id): r.n_tokens for r in corpus_pipeline.encode(spark, out, "").collect()}
+    assert ids["1"] == ids["301"] == 0 and ids["400"] > 120_000
