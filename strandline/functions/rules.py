@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import body, captured, clean, lenient_int, speaker
+from strandline.functions.text import body, captured, clean, computed_once, lenient_int, speaker
 
 #: Word boundaries over ASCII letters, digits and underscore, alike in every Java version.
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -83,11 +83,6 @@ def _chosen(rules: tuple[Rule, ...], name: str) -> Column:
     return chain
 
 
-def _made(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with more columns, each computed once: the optimizer does not copy expressions across a generator."""
-    return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def classify(df: DataFrame, text: str = "raw", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with kind, actor, target, amount, roll, resisted, detail of a normalised text column.
 
@@ -95,12 +90,12 @@ def classify(df: DataFrame, text: str = "raw", rules: tuple[Rule, ...] = RULES)
     """
     t = F.col(text)
     resync = t.rlike(_RESYNC)
-    split = _made(df, _resync=resync, _speaker=F.when(~resync, speaker(t)), body=body(t))
+    split = computed_once(df, _resync=resync, _speaker=F.when(~resync, speaker(t)), body=body(t))
     number = F.when(F.col("_resync"), F.lit(-2))
     for i, r in enumerate(rules):
         number = number.when(F.col("body").rlike(r.pattern), F.lit(i))
-    numbered = _made(split, rule=number.otherwise(F.lit(-1)))
-    parts = _made(
+    numbered = computed_once(split, rule=number.otherwise(F.lit(-1)))
+    parts = computed_once(
         numbered,
         **{f"_{n}": clean(_chosen(rules, n)) for n in ("target", "source", "detail")},
         **{f"_{n}": lenient_int(_chosen(rules, n)) for n in ("amount", "roll", "resisted")},
@@ -112,7 +107,7 @@ def classify(df: DataFrame, text: str = "raw", rules: tuple[Rule, ...] = RULES)
         if r.detail is not None:
             literal = F.when(F.col("rule") == i, F.lit(r.detail)).otherwise(literal)
     flipped = F.col("_source").isNotNull()
-    done = _made(
+    done = computed_once(
         parts,
         kind=F.when(F.col("rule") == -2, "resync").when(F.col("rule") == -1, fallback).otherwise(by_rule),
         actor=F.when(flipped, F.col("_source")).otherwise(F.col("_speaker")),

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = r"[\s   -     　﻿]"
+#: White space: what counts as such in lines, of ASCII and beyond.
+WHITE = " \t\n\x0b\f\r" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+SPACES = "[" + "".join(f"\\u{ord(c):04X}" for c in WHITE) + "]"
+_OTHER_SPACES = "[" + "".join(f"\\u{ord(c):04X}" for c in WHITE[1:]) + "]"
 _MARKUP = r"\^(?:0x[0-9A-Fa-f]{8}|#[0-9A-Fa-f]{6,8}|-)"
 _CONTROLS = r"[\u0000-\u001F\u007F-\u009F]"
 _NAME = r"[A-Za-z][A-Za-z'\- ]{0,29}"
 _SPEAKER = rf"^({_NAME}): ?(.+)$"
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once: the optimizer does not copy expressions across a generator."""
+    return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeezed(c: Column) -> Column:
-    return trimmed(F.regexp_replace(c, f"{SPACES}+", " "))
+    """Trimmed, with runs of white space as one space; single spaces, which are most of it, match nothing."""
+    return trimmed(F.regexp_replace(c, f" {SPACES}+|{_OTHER_SPACES}{SPACES}*", " "))
 
 
 def normalise(c: Column) -> Column:

@@ -17,12 +17,14 @@ from strandline.functions.text import contains_folded, name_key, normalise, reda
 from strandline.operators import opcodes, sides
 from strandline.operators.fold import casting, clears, fold_state, observations, resolved, saves, surviving
 from strandline.operators.knowledge import _effect_rows, declined, hand_effects, keyed, known_effects, with_effect
-from strandline.operators.links import link_events, save_targets
+from strandline.operators.links import CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN, link_events, save_targets
 from strandline.operators.upsert import last_write_wins
 from strandline.plans import api, reports
 from strandline.sources.binary import resolved as resolve_sources
 from strandline.sources.logs import events as parse_events
-from strandline.sources.tables import materialised
+from strandline.sources.logs import roster, stats
+from strandline.sources.tables import derived, spread
+from strandline.streaming.live import derive
 
 #: Link windows of the queries; the table's acts are further apart than those of a real log.
 WITHIN = 400
@@ -53,21 +55,99 @@ SELECT session, id, event_type, a, b, k, n,
 FROM ({_BASE}) base"""
 
 
+#: Three actors close together, with the link windows of real logs; ids without gaps.
+DENSE = f"""
+SELECT session, id, event_type, a, b, k, n, s, kind_of,
+       CASE event_type WHEN 'click' THEN a || ': Attacks ' || b
+            WHEN 'view' THEN a || ': Casts ' || s || ' : ' || b
+            WHEN 'purchase' THEN b || ': Takes ' || CAST(n AS string) || ' ' || kind_of || ' damage from ' || a
+            WHEN 'signup' THEN a || ': Critical ' || CASE WHEN k % 3 = 0 THEN 'Miss' ELSE 'Hit' END
+            ELSE a || ': Weapon Ineffective.' END AS text
+FROM (SELECT session, row_number() OVER (PARTITION BY session ORDER BY id) AS id, event_type, b, k, n,
+             CASE k % 12 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob' WHEN 2 THEN 'Cyd' WHEN 3 THEN 'Dee' ELSE a END AS a,
+             CASE n % 3 WHEN 0 THEN 'magic' WHEN 1 THEN 'fire' ELSE 'slashing' END AS kind_of,
+             CASE WHEN k % 2 = 0 THEN 'Fireball' ELSE 'Icelance' END AS s
+      FROM ({_BASE}) base) dense"""
+#: Lines of a party of one against everybody who meets it; rosters and stats among them.
+PARTY = f"""
+SELECT session, id, event_type, a, b, k, n,
+       CASE event_type WHEN 'click' THEN a || ': Attacks Hero'
+            WHEN 'view' THEN b || ': Casts Haste : ' || b
+            WHEN 'purchase' THEN CASE WHEN k % 5 = 0 THEN concat('A7ROSTER', chr(9), 'Hero', chr(9), ' ', chr(9)) ELSE a || ': Takes ' || CAST(n AS string) || ' fire damage from Hero' END
+            WHEN 'signup' THEN concat('A7STATS', chr(9), a, chr(9), 'Spell: ', CAST(k AS string), ' (1) | Other: 3 | breath  weapon : ', CAST(n AS string))
+            ELSE a || ': Save vs. Spell : ' || CAST(n AS string) END AS text
+FROM ({_BASE}) base"""
+#: One kind of line after another: text, kind, actor, target, amount, roll, resisted, detail as SQL; {} stands for NULL.
+KINDS_OF_LINES = [
+    ("'UNPAUSED'", "pause", "", "", "", "", "", ""),
+    ("a || ': Auto-Paused: Enemy Sighted'", "pause", "a", "", "", "", "", "'Enemy Sighted'"),
+    ("a || ': *waves to ' || b || '*'", "action", "a", "", "", "", "", "'waves to ' || b"),
+    ("a || ': Stopped singing Ballad'", "song", "a", "", "", "", "", "'Ballad'"),
+    ("b || ': Takes ' || CAST(k AS string) || ' Cold damage from ' || a || ' (' || CAST(n AS string) || ' damage resisted)'", "damage", "a", "b", "k", "", "n", "'Cold'"),
+    ("b || ': Takes ' || CAST(k AS string) || ' fire damage from ' || a || ' (9 damage bonus)'", "damage", "a", "b", "k", "", "", "'fire'"),
+    ("a || ': Damage Taken: ' || CAST(k AS string)", "damage", "a", "", "k", "", "", ""),
+    ("a || ': Suffers ' || CAST(k AS string) || ' points of damage'", "damage", "a", "", "k", "", "", ""),
+    ("a || ': ' || b || ' was immune to my damage.'", "immune", "a", "b", "", "", "", "'damage'"),
+    ("a || ': Weapon Ineffective.'", "immune", "a", "", "", "", "", "'weapon'"),
+    ("a || ': Attack Roll 6 + 2 = ' || CAST(k AS string) || ' : Hit'", "attack", "a", "", "", "k", "", "'Hit'"),
+    ("a || ': Attack Roll: ' || CAST(k AS string) || ' of 20'", "attack", "a", "", "", "k", "", ""),
+    ("a || ': Roll:' || CAST(k AS string) || ' +Luck:0 +SpecialAC:0'", "tohit", "a", "", "", "k", "", ""),
+    ("a || ': Roll:' || CAST(k AS string) || ' +DamageMod:0'", "damageroll", "a", "", "", "k", "", ""),
+    ("a || ': Attacks ' || b", "attack", "a", "b", "", "", "", ""),
+    ("a || ': Is attacking ' || b", "attack", "a", "b", "", "", "", ""),
+    ("a || ': Critical Miss'", "critical", "a", "", "", "", "", "'Miss'"),
+    ("a || ': Save vs. Breath Weapon : -' || CAST(k AS string)", "save", "a", "", "", "-k", "", "'Breath Weapon'"),
+    ("a || ': made a saving throw'", "save", "a", "", "", "", "", ""),
+    ("a || ': Death'", "death", "a", "", "", "", "", ""),
+    ("a || ': has been killed'", "death", "a", "", "", "", "", ""),
+    ("a || ': Casting Web...'", "cast_start", "a", "", "", "", "", "'Web'"),
+    ("a || ': is Casting Web : ' || b", "cast_start", "a", "b", "", "", "", "'Web'"),
+    ("a || ': is Casting Web'", "cast_start", "a", "", "", "", "", "'Web'"),
+    ("a || ': Casts Web : ' || b", "spell", "a", "b", "", "", "", "'Web'"),
+    ("a || ': Casts Web'", "spell", "a", "", "", "", "", "'Web'"),
+    ("a || ': Spell Failed: Casting Failure'", "miscast", "a", "", "", "", "", "'Casting Failure'"),
+    ("a || ': gained a level'", "level", "a", "", "", "", "", ""),
+    ("a || ': gained experience: ' || CAST(k AS string)", "xp", "a", "", "k", "", "", ""),
+    ("a || ': ' || CAST(k AS string) || ' experience'", "xp", "a", "", "k", "", "", ""),
+    ("a || ': you found ' || CAST(k AS string) || ' gold'", "gold", "a", "", "k", "", "", ""),
+    ("a || ': you acquired a sword'", "loot", "a", "", "", "", "", ""),
+    ("a || ': joined the party'", "party", "a", "", "", "", "", ""),
+    ("a || ': Bless : ' || b", "effect", "a", "b", "", "", "", "'Bless'"),
+    ("a || ': Well met!'", "dialogue", "a", "", "", "", "", ""),
+    ("a || ': Hasted'", "status", "a", "", "", "", "", ""),
+    ("'no speaker here'", "other", "", "", "", "", "", ""),
+    ("'Capture resynced: lost'", "resync", "", "", "", "", "", ""),
+]
+
+
+def _by_kind(values: list[str]) -> str:
+    return f"CASE id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v) + " END"
+
+
+RULED = f"SELECT session, id, a, b, k, n, {_by_kind([x[0] for x in KINDS_OF_LINES])} AS text FROM ({_BASE}) base"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """session, ord, line in wire format."""
-    rows = spark.sql(sql.replace("FROM events", "FROM {events}"), events=_table(spark, sf_dir, "events"))
+    """session, ord, line in wire format; rows whose text begins with a marker of its own are such lines."""
+    rows = spark.sql(sql.replace("FROM events", "FROM {events}"), events=spread(_table(spark, sf_dir, "events")))
     wire = F.concat_ws("\t", F.lit("A7LOG"), "id", F.col("id") * 60, F.col("id") * 1000, F.lit(""), F.lit(""), "text")
-    return rows.select("session", F.col("id").alias("ord"), wire.alias("line"))
+    return rows.select("session", F.col("id").alias("ord"), F.when(F.startswith("text", F.lit("A7")), F.col("text")).otherwise(wire).alias("line"))
 
 
-def _events(spark: SparkSession, sf_dir: str, sql: str = FIGHT) -> DataFrame:
-    linked = link_events(classify(parse_events(_lines(spark, sf_dir, sql))), critical_within=WITHIN, spell_within=WITHIN, target_within=WITHIN)
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("actor_side", "target_side", "summon", "target_summon")]
-    return materialised(linked.select("*", *nothing, F.lit(None).cast("int").alias("saved")))
+def _events(spark: SparkSession, sf_dir: str, sql: str = FIGHT, within: tuple[int, int, int] = (WITHIN, WITHIN, WITHIN)) -> DataFrame:
+    """The event table of these lines, derived once for all queries on it."""
+
+    def make() -> DataFrame:
+        critical, spell, target = within
+        linked = link_events(classify(parse_events(_lines(spark, sf_dir, sql))), critical_within=critical, spell_within=spell, target_within=target)
+        nothing = [F.lit(None).cast("string").alias(c) for c in ("actor_side", "target_side", "summon", "target_summon")]
+        return linked.select("*", *nothing, F.lit(None).cast("int").alias("saved"))
+
+    return derived(f"{sql}{within}", f"{sf_dir}/events.parquet", make, spark)
 
 
 def damage_by_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +196,87 @@ def facets_self_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_any_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "part")
-    hit = reduce(lambda a, b: a | b, [contains_folded(F.col(c), "ER") for c in ("p_name", "p_brand", "p_type")])
+    hit = reduce(lambda a, b: a | b, [contains_folded(F.col(c), "ED") for c in ("p_name", "p_brand", "p_type")])
     return parts.where(hit).select("p_partkey", "p_name", "p_type")
 
 
+def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that have the word in any of the columns that are searched, also the spell that a hit is linked to."""
+    found = _events(spark, sf_dir).where(api.predicate(api.Query(search="FIREb_ll", without_kinds=("attack",))))
+    return found.select("id", "kind", "detail", "spell")
+
+
+def classify_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all kinds that there is a rule for, and of those for which there is none."""
+    done = classify(parse_events(_lines(spark, sf_dir, RULED)))
+    return done.select("id", "kind", "actor", "target", "amount", "roll", "resisted", "detail")
+
+
+def kind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.capture_summary(classify(parse_events(_lines(spark, sf_dir, RULED))))
+
+
+def link_default_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links with the windows of real logs."""
+    return _dense(spark, sf_dir).select("session", "id", "target", "critical", "spell", "spell_candidate")
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, DENSE, (CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN))
+
+
+def unattributed_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.unattributed(_dense(spark, sf_dir))
+
+
+def attribution_by_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.attribution(_dense(spark, sf_dir))
+
+
+def groups_by_spell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures by a column that is mostly null, over all events."""
+    return api.all_groups(_dense(spark, sf_dir), "spell")
+
+
+def events_sorted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = api.Query(equals={"kind": "damage"}, sort=(("amount", "desc"), ("target", "asc"), ("nonsense", "asc")))
+    return api.events_page(_events(spark, sf_dir), q, limit=40, offset=7)["rows"].select("session", "id", "amount", "target")
+
+
+def top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_raw(_events(spark, sf_dir, STATE), "status", 25)
+
+
+def session_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.session_bounds(_events(spark, sf_dir, STATE))
+
+
+def coverage_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage(_events(spark, sf_dir, STATE), known_effects(spark), declined(spark))[0]
+
+
+def roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roster(_lines(spark, sf_dir, PARTY)).select("session", "ord", "name")
+
+
+def stats_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = stats(_lines(spark, sf_dir, PARTY))
+    return told.select("session", "ord", "as_of_id", "name", F.try_element_at("targets", F.lit("Spell")).alias("spell"), F.try_element_at("targets", F.lit("Breath Weapon")).alias("breath"))
+
+
+def _party(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(f"{PARTY} verdicts", f"{sf_dir}/events.parquet", lambda: derive(_lines(spark, sf_dir, PARTY), verdicts=True), spark)
+
+
+def side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides of both ends of each event: who fights the one rostered name is an opponent, others are neutral."""
+    return _party(spark, sf_dir).select("session", "id", "actor", "target", "actor_side", "target_side", "summon", "target_summon")
+
+
+def save_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _party(spark, sf_dir).where("kind = 'save'").select("session", "id", "saved")
+
+
 def sort_nulls_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = _table(spark, sf_dir, "orders").where("o_totalprice > 300000")
     joined = _table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -229,6 +386,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         damage_by_actor, classify_lines, classify_histogram, link_critical, link_cast, link_probe_target, asof_targets, group_window_page, facets_self_excluding, search_any_column,
         sort_nulls_last_page, upsert_last_wins, fold_observations, fold_combatants, fold_casting, saves_by_category, attribution_audit, edge_weights, resolve_sides, vote_purity,
         vote_classify, leave_one_out, normalise_text, redaction, effect_lookup, declined_anti, priority_resolution, roster_union,
+        search_events, classify_all_rules, kind_summary, link_default_windows, unattributed_damage, attribution_by_detail, groups_by_spell, events_sorted_page, top_texts,
+        session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts,
     )
 }
 
@@ -294,7 +453,46 @@ _LOO = f"""WITH x AS {_PART_KEPT}, c AS (SELECT opcode, category, count(*) AS n
  t AS (SELECT p_type AS category, CASE WHEN confidence >= 0.5 THEN best END AS predicted FROM part LEFT JOIN g ON item = p_partkey)
  SELECT count(*) FILTER (predicted = category) AS correct, count(*) FILTER (predicted <> category) AS wrong, count(*) FILTER (predicted IS NULL) AS abstained FROM t"""
 
+_DENSE_LINKED = f"""(SELECT *, last_value(CASE WHEN event_type = 'signup' AND k % 3 <> 0 THEN id END IGNORE NULLS) {_BEFORE} AS armed,
+  last_value(CASE WHEN event_type = 'purchase' THEN id END IGNORE NULLS) {_BEFORE} AS hit,
+  last_value(CASE WHEN event_type = 'view' THEN id END IGNORE NULLS) {_BEFORE} AS cast_id, last_value(CASE WHEN event_type = 'view' THEN s END IGNORE NULLS) {_BEFORE} AS cast_s,
+  last_value(CASE WHEN event_type = 'click' THEN id END IGNORE NULLS) {_BEFORE} AS aimed_id, last_value(CASE WHEN event_type = 'click' THEN b END IGNORE NULLS) {_BEFORE} AS aimed FROM ({DENSE}) f)"""
+_DENSE_ROWS = f"""(SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b WHEN event_type = 'error' AND id - aimed_id <= 12 THEN aimed END AS target,
+  CASE WHEN event_type = 'purchase' AND id - armed <= 10 AND (hit IS NULL OR hit < armed) THEN 1 ELSE 0 END AS crit,
+  CASE WHEN event_type = 'purchase' AND id - cast_id <= 60 THEN cast_s END AS candidate, CASE WHEN event_type = 'purchase' AND kind_of = 'magic' AND id - cast_id <= 60 THEN cast_s END AS spell FROM {_DENSE_LINKED} l)"""
+_PARTY_KIND = "CASE WHEN event_type = 'click' THEN 'attack' WHEN event_type = 'view' THEN 'spell' WHEN event_type = 'purchase' AND k % 5 <> 0 THEN 'damage' WHEN event_type = 'error' THEN 'save' END"
+_PARTY_ROWS = f"""(SELECT *, CASE WHEN kind IN ('attack', 'save') THEN a WHEN kind = 'spell' THEN b WHEN kind = 'damage' THEN 'Hero' END AS actor,
+  CASE WHEN kind = 'attack' THEN 'Hero' WHEN kind = 'spell' THEN b WHEN kind = 'damage' THEN a END AS target FROM (SELECT *, {_PARTY_KIND} AS kind FROM ({PARTY}) f) p)"""
+_PARTY_SIDES = f"""(SELECT DISTINCT session, a AS name, 'opponent' AS side FROM {_PARTY_ROWS} r WHERE kind IN ('attack', 'damage') AND session IN (SELECT session FROM {_PARTY_ROWS} r WHERE kind IS NULL AND event_type = 'purchase')
+  UNION ALL SELECT DISTINCT session, 'Hero', 'party' FROM {_PARTY_ROWS} r WHERE kind IS NULL AND event_type = 'purchase')"""
+_PARTY_STATS = f"""(SELECT session, id AS ord, coalesce(last_value(CASE WHEN kind IS NOT NULL THEN id END IGNORE NULLS) OVER (PARTITION BY session ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS as_of_id,
+  event_type, a AS name, k AS spell, n AS breath FROM {_PARTY_ROWS} r)"""
+_WORSE = "min(CASE WHEN FALSE THEN n END)"
+
 ORACLE_SQL: dict[str, str] = {
+    "search_events": f"""SELECT id, {_KIND} AS kind, CASE event_type WHEN 'view' THEN s WHEN 'purchase' THEN 'magic' WHEN 'signup' THEN 'Hit' WHEN 'error' THEN 'Spell' END AS detail, {_CANDIDATE} AS spell
+ FROM {_LINKED} l WHERE event_type <> 'click' AND (lower(text) LIKE '%fireb_ll%' OR coalesce(lower({_CANDIDATE}), '') LIKE '%fireb_ll%')""",
+    "classify_all_rules": "SELECT id, " + ", ".join(f"{_by_kind([chr(39) + x[1] + chr(39) if c == 1 else x[c] for x in KINDS_OF_LINES])} AS {n}" for c, n in enumerate(("", "kind", "actor", "target", "amount", "roll", "resisted", "detail")) if n) + f" FROM ({_BASE}) base",
+    "kind_summary": f"SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind, count(*) AS n FROM ({_BASE}) base GROUP BY 1",
+    "link_default_windows": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
+    "unattributed_damage": f"SELECT kind_of AS detail, candidate AS spell_candidate, count(*) AS n FROM {_DENSE_ROWS} d WHERE candidate IS NOT NULL AND spell IS NULL GROUP BY 1, 2",
+    "attribution_by_detail": f"SELECT kind_of AS detail, count(*) AS total, count(candidate) AS after_cast, count(spell) AS attributed FROM {_DENSE_ROWS} d WHERE event_type = 'purchase' GROUP BY 1",
+    "groups_by_spell": f"""SELECT coalesce(spell, '(none)') AS key, count(*) AS events, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN n END), 0) AS BIGINT) AS damage, CAST(0 AS BIGINT) AS resisted, CAST(0 AS BIGINT) AS xp,
+  CAST(sum(crit) AS BIGINT) AS crits, CAST(coalesce(sum(CASE WHEN crit = 1 THEN n END), 0) AS BIGINT) AS crit_damage, CAST(0 AS BIGINT) AS saves, CAST(0 AS BIGINT) AS failed, {_WORSE} AS worst_save FROM {_DENSE_ROWS} d GROUP BY 1""",
+    "events_sorted_page": f"SELECT session, id, n AS amount, b AS target FROM ({FIGHT}) f WHERE event_type = 'purchase' ORDER BY n DESC NULLS LAST, b ASC NULLS LAST, session DESC, id DESC LIMIT 40 OFFSET 7",
+    "top_texts": f"SELECT text AS raw, count(*) AS n FROM ({STATE}) f WHERE event_type = 'view' GROUP BY text ORDER BY n DESC, raw LIMIT 25",
+    "session_bounds": f"SELECT session, min(id) AS low, max(id) AS high, count(*) AS n FROM ({STATE}) f GROUP BY session",
+    "coverage_by_category": f"SELECT category, count(*) AS n FROM {_STANDING} s GROUP BY category",
+    "roster_names": f"SELECT session, id AS ord, 'Hero' AS name FROM ({PARTY}) f WHERE event_type = 'purchase' AND k % 5 = 0",
+    "stats_targets": f"SELECT session, ord, as_of_id, name, spell, breath FROM {_PARTY_STATS} s WHERE event_type = 'signup'",
+    "side_labels": f"""SELECT r.session, id, actor, target, coalesce(x.side, 'neutral') AS actor_side, CASE WHEN target IS NOT NULL THEN coalesce(y.side, 'neutral') END AS target_side, CAST(NULL AS VARCHAR) AS summon, CAST(NULL AS VARCHAR) AS target_summon
+ FROM {_PARTY_ROWS} r LEFT JOIN {_PARTY_SIDES} x ON x.session = r.session AND x.name = actor LEFT JOIN {_PARTY_SIDES} y ON y.session = r.session AND y.name = target WHERE kind IS NOT NULL""",
+    "save_verdicts": f"""SELECT r.session, r.id, CAST(r.n >= (SELECT arg_max(spell, ord) FROM {_PARTY_STATS} s WHERE s.event_type = 'signup' AND s.session = r.session AND s.name = r.a AND s.as_of_id <= r.id) AS INT) AS saved
+ FROM {_PARTY_ROWS} r WHERE kind = 'save'""",
+    "fold_casting": f"""SELECT session, creature, casting FROM (
+  SELECT session, a AS creature, id, 0 AS step, text AS casting FROM {_STATE_LINKED} l WHERE kind = 'status'
+  UNION ALL SELECT session, a, id, 1, NULL FROM {_STATE_LINKED} l WHERE kind = 'spell' UNION ALL SELECT session, creature, id, 2, NULL FROM {_CLEARS} c) x
+ QUALIFY row_number() OVER (PARTITION BY session, creature ORDER BY id DESC, step DESC) = 1""",
     "damage_by_actor": f"SELECT a AS key, count(*) AS events, CAST(sum(n) AS BIGINT) AS damage, CAST(sum(crit) AS BIGINT) AS crits, CAST(coalesce(sum(CASE WHEN crit = 1 THEN n END), 0) AS BIGINT) AS crit_damage FROM {_WITH_CRIT} c WHERE kind = 'damage' GROUP BY a",
     "classify_lines": f"SELECT id, {_KIND} AS kind, a AS actor, {_TARGET} AS target, CASE WHEN event_type = 'purchase' THEN n END AS amount, CASE WHEN event_type = 'error' THEN n END AS roll, CASE event_type WHEN 'view' THEN s WHEN 'purchase' THEN 'magic' WHEN 'signup' THEN 'Hit' WHEN 'error' THEN 'Spell' END AS detail FROM ({FIGHT}) f",
     "classify_histogram": f"SELECT {_KIND} AS kind, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS share FROM ({FIGHT}) f GROUP BY 1",
@@ -307,7 +505,7 @@ ORACLE_SQL: dict[str, str] = {
  SELECT 'session' AS dimension, session AS key, count(*) AS n FROM f WHERE kind = 'damage' AND detail = 'magic' AND kind NOT IN ('save') GROUP BY session
  UNION ALL SELECT 'kind', kind, count(*) FROM f WHERE detail = 'magic' AND kind NOT IN ('save') GROUP BY kind
  UNION ALL SELECT 'detail', detail, count(*) FROM f WHERE kind = 'damage' AND kind NOT IN ('save') GROUP BY detail""",
-    "search_any_column": "SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) LIKE '%er%' OR lower(p_brand) LIKE '%er%' OR lower(p_type) LIKE '%er%'",
+    "search_any_column": "SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) LIKE '%ed%' OR lower(p_brand) LIKE '%ed%' OR lower(p_type) LIKE '%ed%'",
     "sort_nulls_last_page": "SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey ORDER BY o_totalprice DESC NULLS LAST, c_custkey ASC NULLS LAST, o_orderkey DESC NULLS LAST LIMIT 200 OFFSET 20",
     "upsert_last_wins": f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, {', '.join(c + ' DESC' for c in _LINE if c not in ('l_orderkey', 'l_linenumber', 'l_shipdate'))}) = 1",
     "fold_observations": f"SELECT session, creature, name, category, source, id FROM {_STANDING} s",

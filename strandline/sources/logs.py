@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import SPACES, captured, clean, lenient_int, name_key, normalise, trimmed
+from strandline.functions.text import SPACES, captured, clean, computed_once, lenient_int, name_key, normalise, trimmed
 
 # Markers of the wire format and the prefix that may stand before them.
 EVENT_MARK, ROSTER_MARK, STATS_MARK = "A7LOG", "A7ROSTER", "A7STATS"
@@ -17,28 +17,44 @@ _WALL = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+)\s"
 _STAT = rf"^{SPACES}*(.+?){SPACES}*:{SPACES}*(-?[0-9]+)"
 
 
+def _session_of(path: Column) -> Column:
+    """The name of a file, given as a URI, without its ending."""
+    name = F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
 def read_session_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """session, ord, line of every line; the session is the file's name, ord the line's place in it."""
-    files = spark.read.text(paths, wholetext=True).withColumn("session", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return files.select(F.regexp_replace("session", r"\.[^.]*$", "").alias("session"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    """session, ord, line of every line; the session is the file's name, ord rises along the file.
+
+    Large files are split.  A split starts at least as many bytes into its file as any
+    partition before it can have rows, so where a line's split starts and its number in
+    the partition add up to an order of the file's lines.
+    """
+    rows = spark.read.option("lineSep", "\n").text(paths)
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(_session_of(F.col("_metadata.file_path")).alias("session"), (F.col("_metadata.file_block_start") + number).alias("ord"), F.col("value").alias("line"))
 
 
 def read_live_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of session, line over a folder to which log files are added."""
-    lines = spark.readStream.text(folder).withColumn("session", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return lines.select(F.regexp_replace("session", r"\.[^.]*$", "").alias("session"), F.col("value").alias("line"))
+    """A stream of session, ord, line, file over a folder to which log files are added; each file comes whole, ord is a line's place in it."""
+    files = spark.readStream.option("wholetext", True).text(folder)
+    path = F.col("_metadata.file_path")
+    lines = files.select(_session_of(path).alias("session"), F.posexplode(F.split("value", "\n")).alias("ord", "line"), path.alias("file"))
+    return lines.select("session", F.col("ord").cast("long").alias("ord"), "line", "file")
 
 
 def _stripped(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, "\r", ""), "^\\^D\b*", "")
+    """Without carriage returns, and without the mark of an ended input and the backspaces that hide it."""
+    line = F.replace(line, F.lit("\r"), F.lit(""))
+    return F.when(F.startswith(line, F.lit("^D")), F.regexp_replace(line, "^\\^D\b*", "")).otherwise(line)
 
 
 def _marked(df: DataFrame, mark: str) -> DataFrame:
     """Rows whose line has the marker and a tab, after nothing or a prefix with the platform's mark; adds ``prefix`` and ``fields``."""
-    lined = df.withColumn("_l", _stripped(F.col("line"))).withColumn("_at", F.instr("_l", f"{mark}\t"))
-    found = lined.where("_at > 0").withColumn("prefix", F.expr("substring(_l, 1, _at - 1)"))
-    found = found.where((F.col("prefix") == "") | F.col("prefix").contains(PREFIX_MARK))
-    return found.withColumn("fields", F.split(F.expr("substring(_l, _at)"), "\t")).drop("_l", "_at")
+    lined = computed_once(df, _l=_stripped(F.col("line")))
+    found = computed_once(lined, _at=F.instr("_l", f"{mark}\t")).where("_at > 0")
+    parts = computed_once(found, prefix=F.expr("substring(_l, 1, _at - 1)"), fields=F.split(F.expr("substring(_l, _at)"), "\t")).drop("_l", "_at")
+    return parts.where((F.col("prefix") == "") | F.col("prefix").contains(PREFIX_MARK))
 
 
 def events(lines: DataFrame) -> DataFrame:

@@ -8,11 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_derived"
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Without that setting only a local master (tests, a laptop) gets one, below its
+    warehouse; on a cluster that might be a disk of one machine, so it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_derived"
     return f"{base.rstrip('/')}/derived-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Path, length and time of all files of a table, as Spark's file system tells them; empty where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return ()
+    found, out = system.listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read back.
 
@@ -22,3 +43,27 @@ def materialised(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_DERIVED: dict[tuple, tuple[str, tuple]] = {}
+
+
+def derived(name: str, source: str, make, spark: SparkSession) -> DataFrame:
+    """The table that ``make()`` derives from the files of ``source``, written once for an application and read by all that ask for it.
+
+    It is made anew if a file of the source has changed, or one of the table's own files.
+    """
+    key = (spark.sparkContext.applicationId, name, _files(spark, source))
+    path, files = _DERIVED.get(key, ("", ()))
+    if files and _files(spark, path) == files:
+        return spark.read.parquet(path)
+    path = shared_folder(spark)
+    make().write.parquet(path)
+    _DERIVED[key] = path, _files(spark, path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has so few partitions that most of them would stand idle; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df

@@ -9,6 +9,7 @@ and replace what was stored, which also settles sides that later evidence change
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandline.functions.rules import classify
 from strandline.functions.text import redacted
-from strandline.operators.links import CRITICAL_WITHIN, SPELL_DAMAGE, SPELL_WITHIN, TARGET_WITHIN, link_events
+from strandline.operators.links import CRITICAL_WITHIN, SPELL_DAMAGE, SPELL_WITHIN, TARGET_WITHIN, link_events, save_targets
 from strandline.operators.sides import label, resolve_sides
 from strandline.operators.upsert import import_sessions
 from strandline.schema import conform
-from strandline.sources.logs import events, read_session_logs, roster
+from strandline.sources.logs import events, read_session_logs, roster, stats
 
 
-def derive(lines: DataFrame) -> DataFrame:
-    """Events of whole sessions, from lines (session, ord, line) to labelled rows; ``ord`` stays for ordering."""
+def derive(lines: DataFrame, verdicts: bool = False) -> DataFrame:
+    """Events of whole sessions, from lines (session, ord, line) to labelled rows; ``ord`` stays for ordering.
+
+    ``saved`` is null unless ``verdicts`` are asked for: then it tells whether a save met
+    the number that its actor needed by the stats lines known up to it.
+    """
     linked = link_events(classify(events(lines)))
-    return label(linked, resolve_sides(linked, roster(lines)))
+    labelled = label(linked, resolve_sides(linked, roster(lines)))
+    if not verdicts:
+        return labelled.withColumn("saved", F.lit(None).cast("int"))
+    return save_targets(labelled, stats(lines)).withColumnRenamed("made", "saved").drop("save_target")
 
 
 def capture_raw(lines: DataFrame, path: str, checkpoint: str, home: str | None = None) -> StreamingQuery:
@@ -37,10 +45,10 @@ def capture_raw(lines: DataFrame, path: str, checkpoint: str, home: str | None =
     return kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh(spark: SparkSession, sessions: DataFrame, logs: str, path: str) -> None:
-    """Derive the given sessions again from the log files and replace them in the table."""
-    lines = read_session_logs(spark, logs).join(sessions.distinct(), "session", "left_semi")
-    import_sessions(conform_with_order(derive(lines)), path)
+def refresh(spark: SparkSession, files: list[str], path: str, verdicts: bool = False) -> None:
+    """Derive the sessions of the given log files and replace them in the table; other files are not read."""
+    if files:
+        import_sessions(conform_with_order(derive(read_session_logs(spark, files), verdicts)), path)
 
 
 def conform_with_order(rows: DataFrame) -> DataFrame:
@@ -49,11 +57,12 @@ def conform_with_order(rows: DataFrame) -> DataFrame:
     return conform(rows, type(shaped.schema)([*shaped.schema.fields, rows.schema["ord"]]))
 
 
-def derive_live(lines: DataFrame, logs: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the event table up to date with a stream of lines."""
+def derive_live(lines: DataFrame, path: str, checkpoint: str, verdicts: bool = False) -> StreamingQuery:
+    """Keep the event table up to date with a stream of ``read_live_lines``."""
 
     def touched(batch: DataFrame, _: int) -> None:
-        refresh(batch.sparkSession, batch.select("session"), logs, path)
+        # names of the files that came with this batch, which the stream's own log lists too
+        refresh(batch.sparkSession, [unquote(r.file) for r in batch.select("file").distinct().collect()], path, verdicts)
 
     return lines.writeStream.foreachBatch(touched).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -100,5 +109,3 @@ def link_stream(events: DataFrame) -> DataFrame:
 
     needed = events.select("session", "ord", "id", "kind", "actor", "target", "detail")
     return needed.groupBy("session").applyInPandasWithState(step, LINKED, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-

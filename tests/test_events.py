@@ -10,7 +10,7 @@ from strandline.operators.links import link_events, save_targets
 from strandline.operators.sides import edge_weights, hostile_edges, resolve_sides
 from strandline.plans import api, chains, reports
 from strandline.sources.logs import events, read_session_logs, roster, stats
-from strandline.streaming.live import capture_raw, derive, derive_live, link_rows
+from strandline.streaming.live import capture_raw, derive, derive_live, link_rows, link_stream
 
 # text, kind, actor, target, amount, roll, resisted, detail
 LINES = [
@@ -192,7 +192,33 @@ def test_live(spark, tmp_path):
     capture_raw(read_live_lines(spark, str(logs)), str(tmp_path / "raw"), str(tmp_path / "c1")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 4
     for _ in range(2):
-        derive_live(read_live_lines(spark, str(logs)), str(logs), str(tmp_path / "events"), str(tmp_path / "c2")).awaitTermination()
+        derive_live(read_live_lines(spark, str(logs)), str(tmp_path / "events"), str(tmp_path / "c2")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "events")).orderBy("id").collect()
     assert [(r.id, r.amount) for r in rows] == [(1, 6), (2, None)]
     assert read_session_logs(spark, str(logs)).count() == 4
+    (logs / "s 2.log").write_text("A7STATS\tC\tSpell: 8 (3)\nA7LOG\t1\t1\t1\t\t\tC: Save vs. Spell : 9\n")
+    derive_live(read_live_lines(spark, str(logs)), str(tmp_path / "events"), str(tmp_path / "c2"), verdicts=True).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "events")).orderBy("session", "id").collect()
+    assert [(r.session, r.id, r.saved) for r in rows] == [("s 2", 1, 1), ("s1", 1, None), ("s1", 2, None)]
+    linked = link_stream(classify(events(read_live_lines(spark, str(logs)).drop("file"))))
+    linked.writeStream.format("memory").queryName("linked").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("linked").count() == 4
+
+
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        for name, n in (("a", 900), ("b", 40), ("c", 3)):
+            (tmp_path / f"{name}.log").write_text("".join(f"{i}\r\n" for i in range(n)))
+        rows = read_session_logs(spark, str(tmp_path)).orderBy("session", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.line for r in rows] == [f"{i}\r" for n in (900, 40, 3) for i in range(n)]
+
+
+def test_verdicts(spark):
+    lines = spark.createDataFrame([("s", i, x) for i, x in enumerate(["A7STATS\tA\tSpell: 12 (3)", "A7LOG\t1\t1\t1\t\t\tA: Save vs. Spell : 9", "A7LOG\t2\t1\t1\t\t\tB: Save vs. Spell : 9", "A7LOG\t3\t1\t1\t\t\tA: Save vs. Spell : 12"])], "session string, ord int, line string")
+    assert [r.saved for r in derive(lines, verdicts=True).orderBy("id").collect()] == [0, None, 1]
+    assert [r.saved for r in derive(lines).collect()] == [None] * 3
