@@ -20,8 +20,8 @@ shares f keys or fewer with all others meets none.
 Rounds.  Keys are dealt by range of (key, set), so a key of any frequency spreads over
 tasks.  First each set is compared with the first set of its key.  Keys whose sets are
 now all in one class are done; that takes care of large groups of copies in a linear
-number of comparisons.  Sets of the other keys are compared in blocks: first with the
-closest few of other classes, then with whatever is left.  A key that leaves more pairs
+number of comparisons.  Sets of the other keys are compared in blocks: first, under few
+keys, with the closest few of other classes, then with whatever is left.  A key that leaves more pairs
 than it has sets sends its sets themselves to the blocks, which are compared there, and
 only a spanning forest of their links comes back.  No pair that may link is left out.
 
@@ -48,7 +48,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import ASCII_LOWER, NOT_BLANK, ROW_KEY, Scratch, Words, by_bytes, byte_view, chain, hash_filter, mix64, row_key, stored, text_column, without_rows
@@ -58,8 +58,8 @@ BATCH_BYTES = 1 << 22
 #: Bytes of text hashed at once, within a batch.
 HASH_BYTES = 1 << 20
 BLOCK = 1024
-#: With how many of the closest sets of other classes a set is compared before the last round.
-CLOSEST = 2
+#: With how many of the closest sets of other classes a set is compared before the last round, and under how many of its keys in each round.
+CLOSEST, CLOSEST_KEYS = 2, (2, 6)
 #: Most shingles in a block of sets that are compared exactly, and how many of them are compared at once.
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 4096
@@ -304,6 +304,12 @@ def mixed_keys(kept: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(one.select("key", "c"), "key").select("key", "id", "class", "c")
 
 
+def few_keys(mixed: DataFrame, most: int) -> DataFrame:
+    """The rarest keys of each set, at most ``most``; sets that share several meet under few of them."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "key"))
+    return mixed.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
 def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     """``rows`` of each group dealt into ``blocks`` blocks and copied to each pair (i, j) of blocks they take part in."""
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -398,7 +404,7 @@ def block_pairs(mixed: DataFrame, sets: DataFrame, percent: int, closest: int |
                 p, q = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
                 yield given(ids, p, q, np.unique(tile[starts[passed > sizes], 0]))
 
-    return dealt.mapInArrow(run, "a long, b long, dense long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, dense long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -593,8 +599,9 @@ def linked_classes(docs: DataFrame, k: int, percent: int, block: int, work: Scra
     found = work.stored(needed_sets(kept, docs, sets, k), codec="none")
     links = work.stored(linked(tested, found, percent))
     classes = work.stored(components(links, work.stored).withColumnRenamed("component", "class"))
-    for closest in (CLOSEST, None):
-        pairs = work.stored(block_pairs(mixed_keys(kept, classes), sets, percent, closest, block))
+    for keys in (*CLOSEST_KEYS, None):
+        closest, mixed = (CLOSEST, few_keys(mixed_keys(kept, classes), keys)) if keys else (None, mixed_keys(kept, classes))
+        pairs = work.stored(block_pairs(mixed, sets, percent, closest, block).distinct())
         fresh = pairs.where("dense is null").select("a", "b").join(_ordered(tested), ["a", "b"], "left_anti")
         dense = pairs.where("dense is not null").select(F.col("dense").alias("key")).distinct()
         if pairs.isEmpty():
