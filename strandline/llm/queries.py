@@ -13,6 +13,7 @@ from strandline.llm.pii import find as find_pii
 from strandline.llm.decontamination import leaks
 from strandline.llm.jaccard import near_duplicates
 from strandline.llm.media import media_columns
+from strandline.llm.merkle import manifest
 from strandline.llm.pieces import encode_documents
 from strandline.llm.sharding import shard_documents
 from strandline.llm.token_counts import token_counts
@@ -70,6 +71,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), MODEL, limit=4096)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_jaccard": op2_jaccard,
@@ -81,11 +86,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle": op11_merkle,
 }
 
 #: A control string or backslash gets one character more when it is escaped.
 _ESCAPED = r"length(regexp_replace({}, '(\\|<\||\|>|</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '\1.', 'g'))"
 
+#: The unsigned CRC-32 of a text of ASCII characters: each byte goes in, then eight shifts (marked -1).
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+# trees are named by their language (sort key: null first); tree -1 is the one above, with the subroots as leaves
+_MERKLE = f"""WITH RECURSIVE rows_ AS (
+  SELECT doc_id, lang, {_LEAF.format("text")} AS leaf,
+   {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low,
+   coalesce({_CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0, FALSE) AS hit FROM documents),
+ placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang IS NOT NULL, CAST(lang AS BLOB)) - 1 AS tree,
+   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows_),
+ nodes AS (
+  SELECT tree, CAST(0 AS BIGINT) AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8),
+ subroots AS (SELECT tree, digest FROM nodes WHERE n = 1),
+ tops AS (
+  SELECT CAST(0 AS BIGINT) AS level, tree AS place, digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, place // 8),
+ every AS (SELECT tree, level, place, digest FROM nodes WHERE n > 1 UNION ALL SELECT -1, level, place, digest FROM tops WHERE n > 1),
+ runs AS (SELECT tree, level, place // 8 AS above, list(digest ORDER BY place) AS kids FROM every GROUP BY tree, level, place // 8),
+ heights AS (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+ walk AS (
+  SELECT tree AS own, place AS leaf_place, tree, CAST(0 AS BIGINT) AS level, place, CASE WHEN hit THEN low ELSE leaf END AS held, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.own, w.leaf_place, CASE WHEN r.kids IS NULL THEN -1 ELSE w.tree END, CASE WHEN r.kids IS NULL THEN 0 ELSE w.level + 1 END,
+   CASE WHEN r.kids IS NULL THEN w.own ELSE w.place // 8 END,
+   CASE WHEN r.kids IS NULL THEN w.held ELSE sha256(array_to_string(r.kids[:w.place % 8], '') || w.held || array_to_string(r.kids[w.place % 8 + 2:], '')) END,
+   CASE WHEN r.kids IS NULL THEN w.proof ELSE w.proof || array_to_string(r.kids[:w.place % 8], '') || array_to_string(r.kids[w.place % 8 + 2:], '') END
+  FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.above = w.place // 8
+  WHERE w.tree >= 0 OR r.kids IS NOT NULL),
+ done AS (SELECT own, leaf_place, arg_max(held, level) AS held, arg_max(proof, level) AS proof FROM walk WHERE tree = -1 GROUP BY own, leaf_place),
+ told AS (
+  SELECT p.doc_id, p.leaf, s.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(d.proof) AS proof_sha256, d.held AS folded_root
+  FROM placed p JOIN subroots s ON s.tree = p.tree JOIN done d ON d.own = p.tree AND d.leaf_place = p.place)
+ SELECT *, folded_root = root AS verified FROM told"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
@@ -98,4 +145,5 @@ ORACLE_SQL: dict[str, str] = {
   CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to
  FROM (SELECT page_id, html, first, coalesce(strlen(html) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first, FALSE) AS later
        FROM (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM pages) f) l""",
+    "op11_merkle": _MERKLE,
 }
