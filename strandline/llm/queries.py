@@ -11,6 +11,7 @@ from strandline.llm.chat import format_turns, read_back
 from strandline.llm.common import stored, table
 from strandline.llm.pii import find as find_pii
 from strandline.llm.decontamination import leaks
+from strandline.llm.divergence import divergence
 from strandline.llm.jaccard import near_duplicates
 from strandline.llm.media import media_columns
 from strandline.llm.merkle import manifest
@@ -75,6 +76,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), least=30, most=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_jaccard": op2_jaccard,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
     "op11_merkle": op11_merkle,
+    "op12_divergence": op12_divergence,
 }
 
 #: A control string or backslash gets one character more when it is escaped.
@@ -146,4 +152,23 @@ ORACLE_SQL: dict[str, str] = {
  FROM (SELECT page_id, html, first, coalesce(strlen(html) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first, FALSE) AS later
        FROM (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM pages) f) l""",
     "op11_merkle": _MERKLE,
+    "op12_divergence": r"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+ o AS (SELECT lang, source, term, row, count(*) AS n FROM (SELECT lang, source, row, unnest(terms) AS term FROM d) GROUP BY ALL),
+ kept AS (SELECT lang, term, sum(n) AS n FROM o GROUP BY lang, term HAVING count(*) >= 30),
+ langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+ groups AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, sum(o.n) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+ totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * l.v) AS p,
+   1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+  FROM totals g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s
+   ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, CAST(item AS BLOB)) AS rank FROM f) WHERE part = 'pair' OR rank <= 50""",
 }
