@@ -110,7 +110,7 @@ _MERKLE = f"""WITH RECURSIVE rows_ AS (
    {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low,
    coalesce({_CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0, FALSE) AS hit FROM documents),
  placed AS (
-  SELECT *, dense_rank() OVER (ORDER BY lang IS NOT NULL, CAST(lang AS BLOB)) - 1 AS tree,
+  SELECT *, dense_rank() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS tree,
    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows_),
  nodes AS (
   SELECT tree, CAST(0 AS BIGINT) AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
@@ -170,5 +170,5 @@ ORACLE_SQL: dict[str, str] = {
    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
   UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
- FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, CAST(item AS BLOB)) AS rank FROM f) WHERE part = 'pair' OR rank <= 50""",
+ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 50""",
 }
