@@ -12,6 +12,7 @@ from strandline.llm.common import stored, table
 from strandline.llm.pii import find as find_pii
 from strandline.llm.decontamination import leaks
 from strandline.llm.divergence import divergence
+from strandline.llm.id_planes import token_files
 from strandline.llm.jaccard import near_duplicates
 from strandline.llm.media import media_columns
 from strandline.llm.merkle import manifest
@@ -21,7 +22,7 @@ from strandline.llm.token_counts import token_counts
 from strandline.llm.toxicity import toxicity
 from strandline.llm.warc import marked, read_archives, train_dictionary, write_archives
 
-MODEL = "piece_bpe_32k.model"
+MODEL, BYTE_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"), least=30, most=50)
 
 
+def op13_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), BYTE_MODEL, end=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_jaccard": op2_jaccard,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_merkle": op11_merkle,
     "op12_divergence": op12_divergence,
+    "op13_id_planes": op13_id_planes,
 }
 
 #: A control string or backslash gets one character more when it is escaped.
