@@ -102,12 +102,13 @@ def _with_step(kid: Column, kids: Column, proof: Column) -> Column:
     return F.when(F.col("below") == 1, proof).otherwise(F.concat(F.array(step), proof))
 
 
-def pushed(tree_levels: list[DataFrame], roots: DataFrame, work: Scratch) -> DataFrame:
-    """tree, place, proof of the nodes of the first level; ``roots`` has tree and proof of each tree's root."""
+def pushed(tree_levels: list[DataFrame], roots: DataFrame | None, work: Scratch) -> DataFrame:
+    """tree, place, proof of the nodes of the first level; ``roots`` has tree and proof of each tree's root, None where nothing is above them."""
     down: DataFrame | None = None
     for level in reversed(tree_levels):
         # trees whose root is in this level begin here
-        begun = level.where("left = 1").select("tree", "place").join(roots, "tree").select("tree", "place", "proof")
+        begun = level.where("left = 1").select("tree", "place")
+        begun = begun.join(roots, "tree").select("tree", "place", "proof") if roots is not None else begun.withColumn("proof", F.array().cast(_PROOF))
         proofs = begun if down is None else begun.union(down)
         if level is tree_levels[0]:
             return proofs
@@ -149,8 +150,7 @@ def manifest(docs: DataFrame) -> DataFrame:
             top_leaves = work.stored(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"))
             above = levels(numbered(top_leaves, ["name"], work), ["name"], work)
             root = above[-1].where("left = 1").first()["digest"]
-            start = subroots.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(_PROOF).alias("proof"))
-            first = above[0].drop("digest").join(pushed(above, start, work), ["tree", "place"]).withColumn("kid", F.explode("kids"))
+            first = above[0].drop("digest").join(pushed(above, None, work), ["tree", "place"]).withColumn("kid", F.explode("kids"))
             tops = work.stored(first.select(F.col("kid.name").alias("tree"), F.col("kid.digest").alias("subroot"), _with_step(F.col("kid"), F.col("kids"), F.col("proof")).alias("proof")))
         proofs = pushed(below, tops.select("tree", "proof"), work)
         rows = below[0].select("tree", "place", "below", "kids").join(proofs, ["tree", "place"]).join(tops.select("tree", "subroot"), "tree")
