@@ -10,13 +10,15 @@ where they overlap no plain span of their kind; plain spans never change.
 Spans count code points, the end is exclusive.  Null texts count as empty; both give
 no spans.  Equal rows give equal results, one each; empty tables give empty tables;
 other columns are not read (``redact`` keeps them).  Texts are read whole: a text of
-any length is one pass per kind.
+any length is one pass per kind, in time proportional to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,10 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, position in KINDS
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
 _DOTTED = re.compile(r"[0-9][0-9.]*")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+#: Digits are taken whole and never from their middle on, so a run of any length is read once.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
@@ -62,12 +65,12 @@ def _emails(text: str) -> Iterator[Span]:
             width = 64
             while True:  # the local part, looked for in ever larger windows before the @
                 low = max(done, at - width)
-                local = _LOCAL_END.search(text, low, at)
-                if local is None or local.start() > low or low == done:
+                start = low + len(text[low:at].rstrip(_LOCAL))
+                if start > low or low == done:
                     break
                 width *= 8
-            if local:
-                yield local.start(), domain.end(), 0
+            if start < at:
+                yield start, domain.end(), 0
                 done = domain.end()
         at = text.find("@", max(at + 1, done))
 
@@ -199,10 +202,13 @@ def added_spans(text: str, plain: list[Span]) -> list[Span]:
     rewritten = deobfuscated(text)
     if rewritten is None:
         return []
+    # plain spans of a kind do not overlap, so their ends are in the order of their starts
+    starts, ends = ([[s[side] for s in plain if s[2] == k] for k in range(len(KINDS))] for side in (0, 1))
     found = []
     for a, b, kind in plain_spans(rewritten.text):
         start, end = rewritten.source(a, b)
-        if not any(k == kind and s < end and start < e for s, e, k in plain):
+        i = bisect_right(ends[kind], start)  # the first that ends behind the start
+        if i == len(ends[kind]) or starts[kind][i] >= end:
             found.append((start, end, kind))
     return found
 
