@@ -9,7 +9,10 @@ as its text.  All earlier turns are rendered, so a turn costs as much as its pre
 long and a conversation is held whole.  A template that renders each turn in the same
 way whatever stands before it may say so with a true attribute ``turn_local``: then at
 most ``window`` turns are rendered together, which gives the same spans at a bounded
-cost per turn, and no conversation is held whole.
+cost per turn, and no conversation is held whole.  Such a template is not taken at its
+word: once the window has left turns behind, each turn is rendered after the last one
+alone too, and one turn in each window after twice as many turns as the window holds; a
+turn that adds something else then is an error.
 
 Null texts and roles are empty.  Turns with equal numbers are ordered by role, then
 text; null turn numbers come first, and rows without a conv_id form one conversation.
@@ -56,9 +59,13 @@ def marked_turns(messages: list[Message]) -> str:
 marked_turns.turn_local = True
 
 
-def span(before: list[Message], turn: Message, template: Template) -> tuple[str, int, int, bool]:
-    """What ``turn`` adds after ``before``, where its text begins and ends in that, and whether history changed."""
-    shorter = template(before) if before else ""
+def span(before: list[Message], turn: Message, template: Template, shorter: str | None = None) -> tuple[str, int, int, bool, str]:
+    """What ``turn`` adds after ``before``, where its text begins and ends in that, whether history changed, and the render.
+
+    ``shorter`` is the render of ``before`` where that is known.
+    """
+    if shorter is None:
+        shorter = template(before) if before else ""
     longer = template([*before, turn])
     rewritten = not longer.startswith(shorter)
     cut = len(shorter)
@@ -71,9 +78,16 @@ def span(before: list[Message], turn: Message, template: Template) -> tuple[str,
     probe = template([*before, (turn[0], sentinel)])[cut:]
     head = probe.find(sentinel)
     if head < 0:  # the template leaves such texts out
-        return piece, 0, 0, rewritten
+        return piece, 0, 0, rewritten, longer
     tail = len(probe) - head - len(sentinel)
-    return piece, head, len(piece) - tail, rewritten
+    return piece, head, len(piece) - tail, rewritten, longer
+
+
+def check_local(before: list[Message], turn: Message, piece: str, template: Template) -> None:
+    """Raises if ``turn`` adds something other than ``piece`` after these turns."""
+    shorter, longer = template(before), template([*before, turn])
+    if longer != shorter + piece:
+        raise ValueError("the template calls itself turn_local, but what a turn adds depends on what stands before it")
 
 
 def format_turns(conversations: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
@@ -85,22 +99,32 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, lo
     (code points of the piece) is under the loss mask where ``in_loss``.
     """
 
-    held = window - 1 if getattr(template, "turn_local", False) else None
+    held = max(window - 1, 1) if getattr(template, "turn_local", False) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple = ()
-        before: deque[Message] = deque(maxlen=held)
-        position = 0
+        before: list[Message] = []
+        left: deque[Message] = deque(maxlen=held)  # turns that the window has left behind
+        position, last = 0, None
         for batch in batches:
             rows = []
             for conv, role, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if at != (conv,):
-                    at, position = (conv,), 0
+                    at, position, last = (conv,), 0, None
                     before.clear()
+                    left.clear()
                 turn = (role or "", text or "")
-                rows.append((conv, position, *span(list(before), turn, template), turn[0] in loss_roles))
+                *found, last = span(before, turn, template, last)
+                if left:
+                    check_local(before[-1:], turn, found[0], template)
+                    if position % held == 0:
+                        check_local([*left, *before], turn, found[0], template)
+                rows.append((conv, position, *found, turn[0] in loss_roles))
                 before.append(turn)
                 position += 1
+                if held is not None and len(before) > held:  # the oldest goes, so the next prefix is rendered anew
+                    left.append(before.pop(0))
+                    last = None
             columns = list(zip(*rows)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
             names = ["conv_id", "position", "piece", "text_start", "text_end", "rewritten", "in_loss"]
