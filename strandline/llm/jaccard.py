@@ -25,8 +25,9 @@ keys, with the closest few of other classes, then with whatever is left.  A key
 than it has sets sends its sets themselves to the blocks, which are compared there, and
 only a spanning forest of their links comes back.  No pair that may link is left out.
 
-Numbers of links need all pairs of a class, not only those that connect it: its sets
-are compared exactly in blocks, of which only the counts leave a task.
+Numbers of links are worked out on request only: they need all pairs of a class, not
+only those that connect it.  Its sets are compared exactly in blocks, of which only the
+counts leave a task.
 
 Each comparison bounds the overlap from above by bit counts: a signature holds the
 parity of the set's hashes in each position, and two signatures differ in no more bits
@@ -616,25 +617,28 @@ def linked_classes(docs: DataFrame, k: int, percent: int, block: int, work: Scra
     return Found(named, sets, found, classes)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the class) and n_links.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id of the class).
 
-    ``n_links`` is the number of other documents that the document links with, those
-    with an equal set among them.  The result is stored in the shared folder.
+    With ``links`` also ``n_links``, the number of other documents that the document
+    links with, those with an equal set among them; that takes all pairs of a class.
+    The result is stored in the shared folder.
     """
     work = Scratch(docs.sparkSession)
     try:
         got = linked_classes(docs, k, percent, block, work)
         reached = got.sets.select("id", "h2", "doc").join(got.classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
         smallest = reached.groupBy("class").agg(F.min("doc").alias("component_id"))
-        copies = got.named.where("n > 0").groupBy(F.col("h1").alias("id"), "h2").agg(F.count("*").alias("copies"))
-        linked_to = link_counts(got.classes, got.found, copies.select("id", "copies"), percent, block)
-        labels = reached.join(smallest, "class").join(copies, ["id", "h2"]).join(linked_to, "id", "left")
-        labels = labels.select(F.col("id").alias("h1"), "h2", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        rows = got.named.select(F.col(ROW_KEY[0]).alias("doc_id"), "n", "h1", "h2")
-        out = rows.where("n > 0").join(labels, ["h1", "h2"]).select("doc_id", "n", "component_id", "n_links")
-        alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-        return stored(out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"))
+        labels, told = reached.join(smallest, "class"), ["component_id"]
+        if links:
+            copies = got.named.where("n > 0").groupBy(F.col("h1").alias("id"), "h2").agg(F.count("*").alias("copies"))
+            linked_to = link_counts(got.classes, got.found, copies.select("id", "copies"), percent, block)
+            labels = labels.join(copies, ["id", "h2"]).join(linked_to, "id", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
+            told.append("n_links")
+        rows = got.named.select(F.col(ROW_KEY[0]).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("h1").alias("id"), "h2")
+        out = rows.where("n_shingles > 0").join(labels.select("id", "h2", *told), ["id", "h2"]).select("doc_id", "n_shingles", *told)
+        alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in told[1:]])
+        return stored(out.union(alone))
     finally:
         work.drop()
 

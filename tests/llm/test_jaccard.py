@@ -70,7 +70,7 @@ def test_number_of_links(make, block):
         for _ in range(12):
             text = [random.choice(words) if random.random() < random.choice([0, 0.01, 0.03]) else w for w in base]
             pairs.append((len(pairs), " ".join(text)))
-    got = sorted((r.doc_id, r.n_links) for r in near_duplicates(make(pairs), 3, 80, block=block).collect())
+    got = sorted((r.doc_id, r.n_links) for r in near_duplicates(make(pairs), 3, 80, block=block, links=True).collect())
     assert got == brute_links(pairs, 3, 80)
     assert dict(got)[0] == 4 and max(n for _, n in got) > 5
 
