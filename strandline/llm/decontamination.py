@@ -46,8 +46,6 @@ WORDS = 5
 LEAST_PLAIN = 3
 #: Shifts this far apart are one passage with a few words put in or left out.
 NEAR = 8
-#: For how many shifts of a document with an item windows at any distance are tried.
-LARGEST = 64
 NUMBER, UNIT, NAME = 1, 2, 3
 _HOLDERS = mix64(np.arange(4, dtype=np.uint64), 77)
 _WORD = np.zeros(256, dtype=bool)
@@ -260,13 +258,49 @@ def _agree(slots: np.ndarray, theirs: np.ndarray, values: np.ndarray, stands_for
     return ((values[i] != slots) | (stands_for[i] == theirs)).all(axis=1)
 
 
+class Coverable:
+    """How many positions of an item the windows of a document can cover where some values are given.
+
+    Sets of positions are the bits of integers.
+    """
+
+    def __init__(self, position: np.ndarray, slots: np.ndarray, theirs: np.ndarray):
+        self.names, at = np.unique(position, return_inverse=True)
+        held = slots != 0
+        row = np.broadcast_to(np.arange(len(position))[:, None], slots.shape)[held]
+        each = np.unique(np.stack([slots[held], row], axis=1), axis=0)  # values of each row, once
+        value, count = np.unique(np.stack([each[:, 0], at[each[:, 1]]], axis=1), axis=0, return_counts=True)
+        rows = np.bincount(at)
+        self.bound = self._sets(value[count == rows[value[:, 1]]])  # positions that no window covers without the value
+        given = np.unique(np.stack([slots[held], theirs[held], at[row]], axis=1), axis=0)
+        self.by_pair = self._sets(given)
+
+    @staticmethod
+    def _sets(rows: np.ndarray) -> dict[tuple, int]:
+        """Rows (name parts, position) as sets of positions by name."""
+        out: dict[tuple, int] = {}
+        for *name, p in rows.tolist():
+            out[tuple(name)] = out.get(tuple(name), 0) | 1 << p
+        return out
+
+    def most(self, values: np.ndarray, theirs: np.ndarray) -> int:
+        """No chain in which these values stand for those of the document covers more positions."""
+        lost = 0
+        for v, t in zip(values.tolist(), theirs.tolist()):
+            lost |= self.bound.get((v,), 0) & ~self.by_pair.get((v, t), 0)
+        return len(self.names) - lost.bit_count()
+
+
 def best_chain(position: np.ndarray, at: np.ndarray, slots: np.ndarray, theirs: np.ndarray, least: int, consistency: float) -> dict | None:
     """What ``leaks`` tells of the best alignment of a document with an item, or None.
 
     First each single shift is judged by itself.  If none passes, words may have been put
     in or left out: windows of other shifts join those of a shift where both texts go
     on in order and no value contradicts the shift's own.  Near shifts are tried first,
-    then those up to the item's length away, then all for the largest shifts.
+    then those up to the item's length away, then all, whatever their distance and number;
+    of these the first that passes is told, from the largest shift on.  There a shift is
+    left out if its values are those of one before, or if with them too few positions can
+    be covered.
     """
     shift = at - position
     order = np.argsort(shift, kind="stable")
@@ -296,9 +330,10 @@ def best_chain(position: np.ndarray, at: np.ndarray, slots: np.ndarray, theirs:
     if got := chained(0, len(shift), ((slots == 0) | (slots == theirs)).all(axis=1)):
         return got
     largest = np.lexsort((shifts, starts - ends))
-    for reach, some in ((NEAR, largest), (int(position.max()) + WORDS, largest), (None, largest[:LARGEST])):
-        found = []
-        for s in some:
+    for reach in (NEAR, int(position.max()) + WORDS, None):
+        found, tried = [], set()
+        coverable = Coverable(position, slots, theirs) if reach is None else None
+        for s in largest:
             own = slice(starts[s], ends[s])
             low = 0 if reach is None else int(np.searchsorted(shift, shifts[s] - reach))
             high = len(shift) if reach is None else int(np.searchsorted(shift, shifts[s] + reach, side="right"))
@@ -308,10 +343,17 @@ def best_chain(position: np.ndarray, at: np.ndarray, slots: np.ndarray, theirs:
             pairs, count = np.unique(np.stack([slots[own][held], theirs[own][held]], axis=1), axis=0, return_counts=True) if held.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
             pairs = pairs[np.lexsort((-count, pairs[:, 0]))]
             values, first = np.unique(pairs[:, 0], return_index=True)
+            if coverable:
+                told = values.tobytes() + pairs[first, 1].tobytes()
+                if told in tried or coverable.most(values, pairs[first, 1]) < least:
+                    continue
+                tried.add(told)
             fits = _agree(slots[low:high], theirs[low:high], values, pairs[first, 1])
             fits[own.start - low : own.stop - low] = True
             if got := chained(low, high, fits):
                 found.append(got)
+                if coverable:
+                    break
         if found:
             return max(found, key=rank)
     return None
