@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import HashFilter, by_bytes, hash_filter, mix64, stored, text_column
+from strandline.llm.common import HashFilter, Scratch, by_bytes, hash_filter, mix64, stored, text_column
 
 BATCH_BYTES = 1 << 22
 BLOCK = 192
@@ -153,7 +153,7 @@ def shared_chunks(lists: DataFrame) -> DataFrame:
 
 
 def write_store(docs: DataFrame, lists: DataFrame, places: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """payload_id, media_id and chunks (digest, data, lent) of each distinct medium, written to the shared folder.
+    """payload_id, media_id and chunks (digest, data, lent) of each distinct medium.
 
     ``data`` is the compressed chunk, null where another place keeps it; ``lent`` marks
     chunks that other places rely on.
@@ -185,7 +185,7 @@ def write_store(docs: DataFrame, lists: DataFrame, places: DataFrame, dictionary
     state = lambda i: F.coalesce(F.get("states", i), F.lit(OWN))
     chunks = F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), F.when(state(i) != AWAY, c["data"]).alias("data"), (state(i) == LENT).alias("lent")))
     whole = ~F.coalesce(F.array_contains("states", AWAY), F.lit(False))
-    return stored(placed.select("payload_id", "media_id", chunks.alias("chunks"), whole.alias("whole")), codec="none")
+    return placed.select("payload_id", "media_id", chunks.alias("chunks"), whole.alias("whole"))
 
 
 def filled(store: DataFrame) -> DataFrame:
@@ -246,8 +246,16 @@ def read_store(store: DataFrame, dictionary: bytes = b"", media: bool = False) -
 
 
 def media_columns(docs: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """doc_id, n_bytes and what reading each document's stored media gives."""
-    lists = stored(chunk_lists(docs))
-    store = write_store(docs, lists, stored(shared_chunks(lists)), dictionary)
-    read = read_store(store, dictionary)
-    return lists.select("doc_id", "n_bytes", "payload_id").join(read, "payload_id").drop("payload_id")
+    """doc_id, n_bytes and what reading each document's stored media gives.
+
+    The result is stored in the shared folder; the store of chunks is deleted once it has
+    been read.  ``write_store`` gives one to keep.
+    """
+    work = Scratch(docs.sparkSession)
+    try:
+        lists = work.stored(chunk_lists(docs))
+        store = work.stored(write_store(docs, lists, work.stored(shared_chunks(lists)), dictionary), codec="none")
+        read = read_store(store, dictionary)
+        return stored(lists.select("doc_id", "n_bytes", "payload_id").join(read, "payload_id").drop("payload_id"))
+    finally:
+        work.drop()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.chat import format_turns, read_back
-from strandline.llm.common import stored, table
+from strandline.llm.common import Scratch, stored, table
 from strandline.llm.pii import find as find_pii
 from strandline.llm.decontamination import leaks
 from strandline.llm.divergence import divergence
@@ -65,8 +65,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    archives = stored(write_archives(marked(pages), train_dictionary(pages)), codec="none")
-    return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    work = Scratch(spark)
+    try:
+        archives = work.stored(write_archives(marked(pages, work=work), train_dictionary(pages)), codec="none")
+        return stored(read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        work.drop()
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

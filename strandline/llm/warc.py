@@ -21,16 +21,16 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import by_bytes
+from strandline.llm.common import HashFilter, Scratch, by_bytes, hash_filter
 
 _SKIPPABLE = struct.pack("<I", 0x184D2A5D)
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,9 +51,9 @@ def train_dictionary(pages: DataFrame, sample: int = 256, longest: int = 1 << 16
         return b""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of one record."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, length: int | None = None) -> bytes:
+    """The bytes of one record; ``length`` is that of the payload where a revisit comes without it."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if length is None else length)
     block = http if refers_to is not None else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 2000-01-01T00:00:00Z"]
     if url is not None:
@@ -65,19 +65,46 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def marked(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, html, payload_digest and refers_to (null for responses).
+def marked(pages: DataFrame, least: int = 100, work: Scratch | None = None) -> DataFrame:
+    """page_id, url, html, payload_digest, refers_to (null for responses) and payload_bytes; html is null in revisits.
 
-    Only digests are grouped and joined on; a group of any size shrinks to a row per
-    task before it is shuffled.
+    Who revisits whom is told from ids and digests alone, and a group of any size shrinks
+    to a row per task before it is shuffled.  Pages that a bitset of the revisits lets
+    through in the scan are responses, and are not shuffled.  The others go by their ids
+    and digests again: revisits need no html, and the few that the bitset held back for
+    nothing are fetched by a bitset of their own.
     """
-    digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digest.alias("payload_digest"))
-    large = named.where(F.octet_length("html") >= least)
-    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    joined = named.join(first, "payload_digest", "left")
-    later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", "payload_digest", F.when(later, F.col("first")).alias("refers_to"))
+    keep = (work or Scratch(pages.sparkSession)).stored
+    html = F.coalesce(F.col("html"), F.lit(""))
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
+    key = F.xxhash64("page_id", "payload_digest")
+    large = named.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    large = keep(large)
+    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
+    again = keep(large.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "payload_digest", "first"))
+    held = _hits(named, key, hash_filter(again.select(key.alias("hash"))))
+    same = (F.col("a.payload_digest") == F.col("b.payload_digest")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id"))
+    narrow = held(True).drop("html").alias("a").join(again.alias("b"), same, "left").select("a.*", "b.first")
+    revisits = narrow.where("first is not null").select("page_id", "url", F.lit(None).cast("string").alias("html"), "payload_digest", F.col("first").alias("refers_to"), "payload_bytes")
+    innocent = keep(narrow.where("first is null").select("page_id", "payload_digest").distinct())
+    fetched = _hits(named, key, hash_filter(innocent.select(key.alias("hash"))))(True).alias("a").join(innocent.alias("b"), same, "left_semi")
+    alone = [df.select("page_id", "url", "html", "payload_digest", F.lit(None).cast("long").alias("refers_to"), "payload_bytes") for df in (held(False), fetched)]
+    return alone[0].union(alone[1]).union(revisits)
+
+
+def _hits(rows: DataFrame, key: Column, spread: Broadcast[HashFilter]) -> Callable[[bool], DataFrame]:
+    """The rows whose key a bitset has, or has not."""
+    keyed = rows.withColumn("_key", key)
+
+    def side(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = spread.value.hits(batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.filter(pa.array(hit == wanted)).select(list(range(batch.num_columns - 1)))
+
+        return keyed.mapInArrow(run, rows.schema)
+
+    return side
 
 
 def write_archives(rows: DataFrame, dictionary: bytes, level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -95,7 +122,7 @@ def write_archives(rows: DataFrame, dictionary: bytes, level: int = 6, archive_b
 
         for batch in by_bytes(batches, BATCH_BYTES, "html"):
             for r in batch.to_pylist():
-                frame = pack.compress(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["payload_digest"], r["refers_to"]))
+                frame = pack.compress(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["payload_digest"], r["refers_to"], r["payload_bytes"]))
                 if size + len(frame) > archive_bytes and len(frames) > 1:
                     yield archive()
                     frames, size, n = [lead], len(lead), n + 1
@@ -104,7 +131,7 @@ def write_archives(rows: DataFrame, dictionary: bytes, level: int = 6, archive_b
         if len(frames) > 1:
             yield archive()
 
-    return rows.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, content binary")
+    return rows.select("page_id", "url", "html", "payload_digest", "refers_to", "payload_bytes").mapInArrow(run, "path string, content binary")
 
 
 def frames_of(content: bytes) -> Iterator[bytes]:

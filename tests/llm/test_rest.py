@@ -2,18 +2,22 @@
 
 import hashlib
 import io
+import os
 import random
 import re
+import time
 import wave
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, media, pii, sharding, warc
-from strandline.llm.decontamination import NUMBER_WORDS, UNITS, leaks
+from strandline.llm import chat, common, media, pii, queries, sharding, warc
+from strandline.llm.common import HashFilter
+from strandline.llm.decontamination import NUMBER_WORDS, UNITS, best_chain, leaks
 from strandline.llm.toxicity import Sentences, fit, toxicity
 
 
@@ -160,6 +164,21 @@ def test_template_that_reads_the_whole_conversation(spark):
     assert few == every
 
 
+@pytest.mark.parametrize("told", [lambda i, n: f"{i}", lambda i, n: "!" if i > 70 else "", lambda i, n: "first" if i == 0 else ""])
+def test_template_that_calls_itself_local(spark, told):
+    def template(messages):
+        return "".join(f"[{told(i, len(messages))}:{t}]" for i, (_, t) in enumerate(messages))
+
+    table = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(150)], "conv_id long, turn long, role string, text string")
+    whole = [r.piece for r in chat.format_turns(table, template).orderBy("position").collect()]
+    template.turn_local = True
+    try:
+        assert [r.piece for r in chat.format_turns(table, template).orderBy("position").collect()] == whole
+        assert whole[1:] == [f"[:t{i}]" for i in range(1, 150)]  # only where turns do not depend on those before
+    except PythonException as error:
+        assert "turn_local" in str(error)
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -187,6 +206,29 @@ def test_long_runs_of_digits(text):
     pii.all_spans(text), pii.redacted(text)
 
 
+@pytest.mark.parametrize("unit", ["9" * 100, "9" * 90 + "...", "1.2.3.4 ", "1.2.3.", "a@b.cc ", "a" * 99 + " b@", "4111 1111 1111 1111,", "+" + "(" * 50, "１.2.3.4 a@b.cc "])
+def test_time_grows_with_length(unit):
+    def took(n):
+        text = (unit * (n // len(unit) + 1))[:n] + "...é１"
+        start = time.perf_counter()
+        pii.all_spans(text)
+        return time.perf_counter() - start
+
+    assert took(1_000_000) < 20 * max(took(100_000), 0.2)
+
+
+def test_added_spans_overlap_no_plain_span_of_their_kind():
+    random.seed(6)
+    for _ in range(3000):
+        t = "".join(random.choice(["1", "１", ".", " ", "a", "@", "b.cc", "2.3.4", " at ", " dot ", "+", "[at]"]) for _ in range(random.randint(0, 25)))
+        plain, every = pii.all_spans(t)
+        rewritten, want = pii.deobfuscated(t), []
+        if rewritten:
+            mapped = [(*rewritten.source(a, b), k) for a, b, k in brute_spans(rewritten.text)]
+            want = [m for m in mapped if not any(k == m[2] and a < m[1] and m[0] < b for a, b, k in plain)]
+        assert plain == brute_spans(t) and every == sorted(plain + want, key=lambda s: (s[0], s[2], s[1])), t
+
+
 @pytest.mark.parametrize("text,found", [
     ("é mail jane.doe [at] example [dot] org now", "jane.doe [at] example [dot] org"), ("jane at example dot com", "jane at example dot com"), ("1９２.168.0.1", "1９２.168.0.1"),
     ("call plus one five five five one two three four five six seven ok", "plus one five five five one two three four five six seven"),
@@ -236,6 +278,26 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(warc.marked(pages.limit(0)), b"")).count() == 0
 
 
+def test_revisits_without_html(spark, monkeypatch):
+    monkeypatch.setattr(warc, "hash_filter", lambda hashes: spark.sparkContext.broadcast(HashFilter(6, np.full(1, 2**64 - 1, np.uint64))))  # lets all rows through
+    long = "x" * 200
+    rows = [(1, "u", long), (2, "v", long), (2, "w", long), (None, "n", long), (3, None, "y" * 150), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (1, "again", long), (None, "n", "z" * 150), (None, "m", "z" * 150)]
+    pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, first string")
+    told = warc.marked(pages)
+    assert all((r.html is None) == (r.refers_to is not None) or r.page_id == 6 for r in told.collect())
+    got = sorted((str(r.page_id), r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(told, b""), payload=False).collect())
+    later = lambda i, html: html == long and i != 1
+    assert got == sorted((str(i), u, len(h or ""), "revisit" if later(i, h) else "response", 1 if later(i, h) else None) for i, u, h in rows)
+
+
+@pytest.mark.parametrize("name", ["op5_media", "op8_warc", "op10_decontamination"])
+def test_nothing_is_left_behind(spark, monkeypatch, name):
+    folders, real = [], common.shared_dir
+    monkeypatch.setattr(common, "shared_dir", lambda spark: folders.append(real(spark)) or folders[-1])
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.columns and [os.path.exists(f.replace("file:", "")) for f in folders].count(True) == 1
+
+
 def test_decontamination(spark, make, odd):
     item = "A train leaves the station with 40 cars at noon and Maria pays 12 dollars for 3 tickets while 40 cars wait behind the old bridge near the river"
     other = item.replace("40", "75").replace("12", "19").replace("Maria", "Otto").replace("tickets while", "tickets while")
@@ -243,7 +305,7 @@ def test_decontamination(spark, make, odd):
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "too short", "x")], "item_id long, text string, window string")
     docs = make([*odd, (10, "before " + item.upper() + " after"), (11, "xx. " + other), (12, mixed), (13, item[: len(item) // 2]), (14, "noise " * 50)])
     got = {r.doc_id: r for r in leaks(docs, bench).collect()}
-    assert set(got) == {10, 11} or set(got) == {10, 11, 12} and got[12].consistent < 1
+    assert set(got) == {10, 11, 12} and got[12].consistent == 0.8  # one of five values stands for two
     assert got[11].changed > 0 and got[11].consistent == 1.0
     assert leaks(make([]), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
@@ -266,6 +328,41 @@ def test_decontamination_of_one_alignment(spark, make):
     assert got[1].matched == got[2].matched == got[3].matched == got[1].windows and got[7].changed > 0
 
 
+def test_far_pieces_beside_many_shifts(spark, make):
+    item = "Maria counts 40 cars near the bridge while the slow train of 12 wagons waits and then Maria sells 40 tickets behind the old mill where 12 men sleep until Maria calls all of them"
+    pieces = [" ".join(item.split()[a:b]) for a, b in ((0, 14), (10, 26), (22, 40))]
+    other = [p.replace("Maria", "Berta").replace("40", "77").replace("12", "31") for p in pieces]
+    random.seed(4)
+    noise = [re.sub("40|12|Maria", lambda m: "Otto" + random.choice("abcdefgh") if m[0] == "Maria" else str(random.randint(100, 9999)), " ".join(item.split()[:22])) for _ in range(200)]
+
+    def between(parts):
+        lines = [f"so {n} gap{i}" for i, n in enumerate(noise)]
+        for at, part in zip((50, 100, 150), parts):
+            lines.insert(at, f"so {part}")
+        return "\n".join(lines)
+
+    docs = {1: between(other), 2: between(pieces), 3: between([]), 4: between(other[:2]), 5: between([other[2], other[1], other[0]])}
+    got = {r.doc_id: r for r in leaks(make(list(docs.items())), spark.createDataFrame([(1, item)], "item_id long, text string"), coverage=0.8).collect()}
+    assert set(got) == {1, 2} and got[1].changed > 0 and got[2].changed == 0 and got[1].consistent == got[2].consistent == 1.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bound_of_coverage_loses_nothing(seed, monkeypatch):
+    from strandline.llm import decontamination as op
+
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        n = int(rng.integers(2, 60))
+        position, at = rng.integers(0, 8, n), rng.integers(0, 90, n)
+        slots = np.where(rng.random((n, 5)) < 0.3, rng.integers(1, 4, (n, 5)), 0)
+        theirs = np.where(slots > 0, rng.integers(1, 4, (n, 5)), 0)
+        args = position, at, slots, theirs, int(rng.integers(3, 8)), 0.8
+        with_bound = best_chain(*args)
+        with monkeypatch.context() as m:
+            m.setattr(op.Coverable, "most", lambda self, values, theirs: 1 << 30)
+            assert best_chain(*args) == with_bound
+
+
 def slow_words(text):
     """Words of a text with their kinds, by a pattern and a loop."""
     out, opens, number = [], True, False
