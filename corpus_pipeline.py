@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded_batches, stored, table
+from strandline.llm.common import Scratch, bounded_batches, table
 from strandline.llm.decontamination import decontaminate
 from strandline.llm.jaccard import keep_one
 from strandline.llm.pieces import encode_documents
@@ -70,8 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; what a stage has left is deleted when the next one is through with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    try:
+        for _, stage in STAGES:
+            now = Scratch(spark)
+            docs = now.stored(stage(spark, docs, sf_dir))
+            if before:
+                before.drop()
+            before = now
+    except BaseException:
+        if before:
+            before.drop()
+        raise
+    return docs
