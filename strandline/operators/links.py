@@ -10,7 +10,24 @@ CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN = 10, 60, 12
 SPELL_DAMAGE = ("magic",)
 
 
-def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE, critical_within: int = CRITICAL_WITHIN, spell_within: int = SPELL_WITHIN, target_within: int = TARGET_WITHIN) -> DataFrame:
+#: Ids of a range that one task links; an actor's rows are spread over as many tasks as they have ranges.
+RANGE = 4096
+#: Kinds of rows that later rows link with.
+_ACTS = ("critical", "damage", "spell", "attack")
+
+
+def _ranged(named: DataFrame, reach: int, size: int) -> DataFrame:
+    """Rows with the range of their id; acts within ``reach`` of a range's end come in the next one too, where ``_own`` is false."""
+    ids = max(size, reach)
+    # the quotient is rounded down, for ids below zero too
+    own = F.call_function("div", F.col("id") - F.pmod("id", F.lit(ids)), F.lit(ids))
+    near = F.col("kind").isin(*_ACTS) & (F.pmod("id", F.lit(ids)) >= ids - reach)
+    placed = named.withColumn("_at", own)
+    both = F.when(near, F.array("_at", F.col("_at") + 1)).otherwise(F.array("_at"))
+    return placed.withColumn("_range", F.explode(both)).withColumn("_own", F.col("_range") == F.col("_at")).drop("_at")
+
+
+def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE, critical_within: int = CRITICAL_WITHIN, spell_within: int = SPELL_WITHIN, target_within: int = TARGET_WITHIN, size: int | None = RANGE) -> DataFrame:
     """Adds critical, spell, spell_candidate and fills the target of probes.
 
     * a critical hit marks the next damage of its actor, which uses it up;
@@ -18,10 +35,20 @@ def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE,
       damage type is one that spells deal;
     * a probe without a target takes that of its actor's last attack.
 
-    All links share one window: one shuffle by (session, actor), one sort by order.
-    Rows without an actor link with nothing and are not shuffled for it.
+    All links share one window: one shuffle by (session, actor, range of ids), one sort
+    by order.  No link reaches further back than the largest of the three distances, so a
+    range sees the acts of the one before that are so near its own start, the damage that
+    uses up a critical hit among them; an actor with any number of rows spreads over
+    tasks.  Ranges rest on ids that rise along a session, as those of a log do; with
+    ``size`` None there are no ranges, and ids may fall.  Rows without an actor link with
+    nothing and are not shuffled for it.
     """
-    before = Window.partitionBy("session", "actor").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    named, nameless = events.where("actor is not null"), events.where("actor is null")
+    if size is None:
+        spread = named.withColumn("_range", F.lit(0)).withColumn("_own", F.lit(True))
+    else:
+        spread = _ranged(named, max(critical_within, spell_within, target_within), size)
+    before = Window.partitionBy("session", "actor", "_range").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
 
     def last(when: Column, value: str | Column = "id") -> Column:
         return F.last(F.when(when, value if isinstance(value, Column) else F.col(value)), True).over(before)
@@ -30,14 +57,13 @@ def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE,
     armed = (F.col("kind") == "critical") & (F.lower("detail") == "hit")
     cast = (F.col("kind") == "spell") & F.col("detail").isNotNull()
     aimed = (F.col("kind") == "attack") & F.col("target").isNotNull()
-    named, nameless = events.where("actor is not null"), events.where("actor is null")
-    seen = named.select(
+    seen = spread.select(
         "*",
         last(armed, F.struct("ord", "id")).alias("_armed"),
         last(damage, "ord").alias("_damage"),
         last(cast, F.struct("id", "detail")).alias("_cast"),
         last(aimed, F.struct("id", "target")).alias("_aimed"),
-    )
+    ).where("_own")
     critical = damage & (F.col("id") - F.col("_armed.id") <= critical_within) & (F.col("_damage").isNull() | (F.col("_damage") < F.col("_armed.ord")))
     candidate = F.when(damage & (F.col("id") - F.col("_cast.id") <= spell_within), F.col("_cast.detail"))
     probed = (F.col("kind") == "immune") & F.col("target").isNull() & (F.col("id") - F.col("_aimed.id") <= target_within)

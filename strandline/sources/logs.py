@@ -80,10 +80,16 @@ def roster(lines: DataFrame) -> DataFrame:
     return _marked(lines, ROSTER_MARK).select("session", "ord", F.explode(names).alias("name"))
 
 
-def stats(lines: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+#: Lines of a session whose ``ord`` agrees but for so many bits are one part of it.
+PART_BITS = 20
+
+
+def stats(lines: DataFrame, labels: dict[str, str] | None = None, part_bits: int = PART_BITS) -> DataFrame:
     """session, ord, as_of_id, name, targets of every stats line.
 
     ``as_of_id`` is the id of the last event line before it in the session, 0 before any.
+    It is looked for among the lines of the same part of the session; each part's last id
+    is carried over the parts, of which a session has few, so no task needs a whole one.
     ``targets`` maps save categories to numbers; unknown labels are left out.
     """
     known = F.create_map(*[F.lit(x) for pair in (labels or SAVE_LABELS).items() for x in pair])
@@ -92,10 +98,14 @@ def stats(lines: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     good = F.filter(F.transform(parts, pair), lambda s: s["k"].isNotNull() & s["v"].isNotNull())
     found = _marked(lines, STATS_MARK).where(F.size("fields") >= 3).select("session", "ord", clean(F.col("fields")[1]).alias("name"), F.map_from_entries(good).alias("targets"))
     marks = events(lines).select("session", "ord", "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,bigint>").alias("targets"))
-    both = marks.unionByName(found.where("name is not null"), allowMissingColumns=True)
-    before = Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    pinned = both.withColumn("as_of_id", F.coalesce(F.last("id", True).over(before), F.lit(0)))
-    return pinned.where("targets is not null and size(targets) > 0").select("session", "ord", "as_of_id", "name", "targets")
+    both = marks.unionByName(found.where("name is not null"), allowMissingColumns=True).withColumn("_part", F.shiftright("ord", part_bits))
+    inside = Window.partitionBy("session", "_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    told = both.withColumn("_near", F.last("id", True).over(inside)).where("targets is not null and size(targets) > 0")
+    parts = both.groupBy("session", "_part").agg(F.max_by("id", F.when(F.col("id").isNotNull(), F.col("ord"))).alias("_last"))
+    earlier = Window.partitionBy("session").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.withColumn("_far", F.last("_last", True).over(earlier)).drop("_last")
+    pinned = told.join(carried, ["session", "_part"], "left")
+    return pinned.select("session", "ord", F.coalesce("_near", "_far", F.lit(0)).alias("as_of_id"), "name", "targets")
 
 
 def error_lines(lines: DataFrame) -> DataFrame:
