@@ -210,9 +210,10 @@ def _encoder(model: str, end: int) -> Encoder:
 
 
 def encoded(docs: DataFrame, model: str, end: int = 0) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, width, ids: each text's ids with the end id, little-endian of ``width`` bytes each.
+    """doc_id, n_tokens, ids_crc32, width, ids: each text's ids with the end id, in ``width`` byte planes one after another.
 
-    The checksum is that of the ids as 32-bit integers.
+    The checksum is that of the ids as little-endian 32-bit integers.  Planes of a text
+    already take less room in written tables and shuffles than its ids do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,8 @@ def encoded(docs: DataFrame, model: str, end: int = 0) -> DataFrame:
         for batch in by_bytes(batches, BATCH_BYTES):
             ids, offsets = encoder.batch(text_column(batch).to_pylist())
             width = ids.dtype.itemsize
-            large = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets * width), pa.py_buffer(ids)]).cast(pa.binary())
+            planes = b"".join([p for a, b in zip(offsets, offsets[1:]) for p in planes_of(ids[a:b], False)])
+            large = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets * width), pa.py_buffer(planes)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(_checksums(ids, offsets)), pa.array(np.full(batch.num_rows, width, np.int32)), large], ["doc_id", "n_tokens", "ids_crc32", "width", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, width int, ids binary")
@@ -245,7 +247,7 @@ def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
     return [np.ascontiguousarray(column).tobytes() for column in each.T]
 
 
-def ids_of(planes: list[bytes], n: int, width: int, bits: bool) -> np.ndarray:
+def ids_of(planes: list[bytes] | np.ndarray, n: int, width: int, bits: bool) -> np.ndarray:
     """The ids whose planes these are."""
     each = np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1)
     if bits:
@@ -341,7 +343,7 @@ def written(rows: DataFrame, bits: bool = False, block: int = BLOCK, file_ids: i
                     doc_ids, lengths, held, size, number = [], [], [], 0, number + 1
                 doc_ids.append(doc_id)
                 lengths.append(n)
-                held.append(np.frombuffer(ids.as_buffer(), f"<u{width}"))
+                held.append(ids_of(np.frombuffer(ids.as_buffer(), np.uint8).reshape(width, n), n, width, False))
                 size += n
         if size:
             yield made()
@@ -388,9 +390,12 @@ def token_files(docs: DataFrame, model: str, end: int = 0, bits: bool = False) -
     ``start`` is the number of ids of all documents before it.  The result is stored in
     the shared folder, the files are deleted; ``written`` gives files to keep.
     """
-    work = Scratch(docs.sparkSession)
+    first, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     try:
-        files = work.stored(written(work.stored(encoded(docs, model, end), codec="none"), bits), codec="none")
+        try:
+            files = work.stored(written(first.stored(encoded(docs, model, end)), bits), codec="none")
+        finally:
+            first.drop()
         rows = read_documents(files).join(firsts(files), "path")
         return stored(rows.select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"))
     finally:
