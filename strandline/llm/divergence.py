@@ -1,14 +1,15 @@
 """Operator 12: how far the sources of a language differ in their words.
 
-Postings.  Texts are cut into terms in Arrow batches.  A batch gives one posting for each
-(lang, term, source) it holds: in how many of its documents the term is, how often, and
-the first of these documents.  A posting with the empty term names a source that occurs,
+Postings.  Texts are cut into terms in Arrow batches.  A block of batches gives one
+posting for each (lang, term, source) it holds: in how many of its documents the term is,
+how often, and the first of these documents.  A posting with the empty term names a source that occurs,
 with terms or without.
 
-Runs.  Postings are dealt by range of (lang, term, source, document) and sorted so, which
-spreads a term of any frequency over tasks.  A scan of the sorted rows adds up each run of
-(lang, term, source) and emits it when it ends; runs cut by the bounds of partitions are
-partial, and one more sum joins them.
+Runs.  Postings are dealt by lang and term and sorted by (lang, term, source, document); a
+term of any frequency has one posting for each source of a block, and those of every 4,096
+tasks meet apart, so none is too frequent.  A scan of the sorted rows adds up each run of
+(lang, term, source) and emits it when it ends; these sums are partial where tasks of
+several wings have the term, and one more sum joins them.
 
 Rates.  Terms in enough documents of a language are kept.  Each source's rate of a term is
 an integer, worked out in decimals, so no count is too large for it.
@@ -42,6 +43,10 @@ from strandline.llm.common import ASCII_LOWER, Scratch, by_bytes, byte_view, sto
 
 #: Bytes of text cut into terms at once.
 PIECE_BYTES = 1 << 20
+#: Bytes of text in a block, whose postings are added up before they are dealt, and rows at which a block's postings are compacted.
+BLOCK_BYTES, COMPACT_ROWS = 1 << 25, 1 << 19
+#: Postings of so many tasks meet in one place (as a power of two), whatever their term; those of other tasks meet elsewhere.
+WING_BITS = 12
 #: Terms in a chunk and sources on a side of a tile, about.
 CHUNK, TILE = 1 << 14, 256
 #: Rates held at once while differences are added up.
@@ -99,33 +104,59 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa
     return doc, code, n, terms
 
 
-_POSTING = {"lang": pa.large_string(), "term": pa.large_string(), "source": pa.large_string(), "document": pa.int64(), "block": pa.int64(), "documents": pa.int64(), "n": pa.int64()}
+def _compacted(parts: list[pa.Table]) -> pa.Table:
+    """One row for each (lang, term, source), with documents and n added up and the first document."""
+    whole = pa.concat_tables(parts).combine_chunks()
+    added = whole.group_by(["lang", "term", "source"]).aggregate([("document", "min"), ("documents", "sum"), ("n", "sum")])
+    return added.rename_columns(["lang", "term", "source", "document", "documents", "n"])
+
+
+def _posted(batch: pa.RecordBatch) -> pa.Table:
+    """lang, term, source, document, documents, n of a batch (doc_id, text, lang, source), a row for each of its groups and their terms."""
+    lang, source = (pc.dictionary_encode(batch.column(c)).indices.to_numpy().astype(np.int64) for c in (2, 3))
+    _, row, group = np.unique(lang * (source.max() + 1) + source, return_index=True, return_inverse=True)
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    doc, code, n, terms = term_counts(text_column(batch))
+    key = group[doc] * max(len(terms), 1) + code
+    order = np.argsort(key, kind="stable")
+    key, doc, n = key[order], doc[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    of, at = np.divmod(key[first], max(len(terms), 1))
+    documents = np.diff(np.append(first, len(key)))
+    total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(ids[doc], first) if len(first) else np.zeros(0, np.int64)
+    none = np.zeros(len(row), np.int64)
+    rows = pa.array(np.concatenate([row, row[of]]))
+    columns = [batch.column(2).cast(pa.large_string()).take(rows), pa.concat_arrays([pa.array([""] * len(row), pa.large_string()), terms.take(pa.array(at))]), batch.column(3).cast(pa.large_string()).take(rows)]
+    columns += [pa.array(np.concatenate([none, x]).astype(np.int64)) for x in (least, documents, total)]
+    return pa.table(columns, ["lang", "term", "source", "document", "documents", "n"])
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """lang, term, source, document, block, documents, n: what each Arrow batch holds of each term."""
+    """lang, term, source, document, block, documents, n: what each block of texts holds of each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
+        held: list[pa.Table] = []
+        size = rows = 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            whole = _compacted(held)
+            whole = whole.add_column(4, "block", pa.array(np.full(len(whole), block)))
+            yield from whole.to_batches(max_chunksize=1 << 16)
+
         for batch in by_bytes(batches, PIECE_BYTES):
-            block += 1
-            lang, source = (pc.dictionary_encode(batch.column(c)).indices.to_numpy().astype(np.int64) for c in (2, 3))
-            _, row, group = np.unique(lang * (source.max() + 1) + source, return_index=True, return_inverse=True)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, code, n, terms = term_counts(text_column(batch))
-            key = group[doc] * max(len(terms), 1) + code
-            order = np.argsort(key, kind="stable")
-            key, doc, n = key[order], doc[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            of, at = np.divmod(key[first], max(len(terms), 1))
-            documents = np.diff(np.append(first, len(key)))
-            total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
-            least = np.minimum.reduceat(ids[doc], first) if len(first) else np.zeros(0, np.int64)
-            m = len(row)
-            rows = pa.array(np.concatenate([row, row[of]]))
-            columns = [batch.column(2).cast(pa.large_string()).take(rows), pa.concat_arrays([pa.array([""] * m, pa.large_string()), terms.take(pa.array(at))]), batch.column(3).cast(pa.large_string()).take(rows)]
-            columns += [pa.array(np.concatenate([np.zeros(m, np.int64), x]).astype(np.int64)) for x in (least, np.full(len(first), block), documents, total)]
-            yield pa.RecordBatch.from_arrays(columns, list(_POSTING))
+            held.append(_posted(batch))
+            rows += len(held[-1])
+            size += batch.nbytes
+            if rows > COMPACT_ROWS:
+                held = [_compacted(held)]
+                rows = len(held[0])
+            if size > BLOCK_BYTES or rows > COMPACT_ROWS // 2:
+                yield from given()
+                held, size, rows, block = [], 0, 0, block + 1
+        if held:
+            yield from given()
 
     read = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     schema = "lang string, term string, source string, document long, block long, documents long, n long"
@@ -147,6 +178,8 @@ def _starts(columns: list[pa.Array]) -> np.ndarray:
 def runs(posted: DataFrame) -> DataFrame:
     """lang, term, source, documents, n of each (lang, term, source), from a scan of sorted postings."""
     names = ["lang", "term", "source", "documents", "n"]
+    # one text for both, of which the sort compares more at a time; a term holds no NUL, so the parts stay apart
+    both = F.concat("lang", F.lit("\0"), "term").alias("key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the run that may go on, added up so far
@@ -154,19 +187,21 @@ def runs(posted: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             columns = list(batch.columns) if held is None else [pa.concat_arrays([h, c]) for h, c in zip(held.columns, batch.columns)]
-            first = _starts(columns[:3])
+            first = _starts(columns[:2])
             at = pa.array(first)
-            added = [pa.array(np.add.reduceat(c.to_numpy(), first)) for c in columns[3:]]
-            done = pa.RecordBatch.from_arrays([*[c.take(at) for c in columns[:3]], *added], names)
+            added = [pa.array(np.add.reduceat(c.to_numpy(), first)) for c in columns[2:]]
+            done = pa.RecordBatch.from_arrays([*[c.take(at) for c in columns[:2]], *added], ["key", *names[2:]])
             yield done.slice(0, len(first) - 1)
             held = done.slice(len(first) - 1)
         if held is not None:
             yield held
 
-    keys = ["lang", "term", "source", "document", "block"]
-    dealt = posted.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*names)
-    partial = dealt.mapInArrow(scan, "lang string, term string, source string, documents long, n long")
-    return partial.groupBy("lang", "term", "source").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"))
+    wing = F.shiftright("block", 32 + WING_BITS).alias("wing")
+    dealt = posted.select(both, "source", "document", "block", "documents", "n", wing).repartition("key", "wing").sortWithinPartitions("key", "source", "document", "block")
+    partial = dealt.select("key", *names[2:]).mapInArrow(scan, "key string, source string, documents long, n long")
+    added = partial.groupBy("key", "source").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"))
+    term = F.substring_index("key", "\0", -1)
+    return added.select(F.expr("left(key, char_length(key) - char_length(substring_index(key, '\\0', -1)) - 1)").alias("lang"), term.alias("term"), "source", "documents", "n")
 
 
 # --- rates ------------------------------------------------------------------
@@ -317,7 +352,7 @@ def divergence(docs: DataFrame, least: int = 30, most: int = 50, chunk: int = CH
     """
     work = Scratch(docs.sparkSession)
     try:
-        counted = work.stored(runs(work.stored(postings(docs))))
+        counted = work.stored(runs(postings(docs)))
         rates = Rates(counted, least, work)
         sums = pair_sums(rates, chunk, tile)
         one, two = (rates.sources.select("lang", F.col("place").cast("long").alias(c), F.col("source").alias(f"source_{c}"), F.col("base").alias(f"base_{c}"), *(["terms"] if c == "a" else [])) for c in ("a", "b"))

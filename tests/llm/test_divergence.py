@@ -51,13 +51,15 @@ def rows_of(seed, n, sources, words):
     out = []
     for i in range(n):
         text = " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 30))).title() if i % 9 else rnd.choice([None, "", "1 2 _", "\x00-\x1f"])
-        out.append((rnd.choice([i, 1, None]), text, rnd.choice(["en", "de", None, ""]), rnd.choice([None, *(f"s{k}" for k in range(sources))])))
+        out.append((rnd.choice([i, 1, None]), text, rnd.choice(["en", "de", "d\x00e", None, ""]), rnd.choice([None, *(f"s{k}" for k in range(sources))])))
     return out
 
 
 @pytest.mark.parametrize("chunk, tile", [(1 << 14, 256), (7, 2), (3, 3)])
 def test_against_loops(spark, chunk, tile, monkeypatch):
     monkeypatch.setattr(op, "CELLS", 40)
+    monkeypatch.setattr(op, "COMPACT_ROWS", 50)
+    monkeypatch.setattr(op, "WING_BITS", 1)
     rows = rows_of(chunk, 250, 6, 60) + [(5, "hot hot Hot", "en", "s0")] * 60 + [(9, None, "xx", "a"), (9, "few words", "xx", "b"), (1, "lone", "yy", "c")]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
     try:
