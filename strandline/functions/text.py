@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 SPACES = "[" + "".join(f"\\u{ord(c):04X}" for c in WHITE) + "]"
 _OTHER_SPACES = "[" + "".join(f"\\u{ord(c):04X}" for c in WHITE[1:]) + "]"
+_BLANKS = SPACES[:-1] + r"\u0000-\u001F\u007F-\u009F]"
+_OTHER_BLANKS = _OTHER_SPACES[:-1] + r"\u0000-\u001F\u007F-\u009F]"
 _MARKUP = r"\^(?:0x[0-9A-Fa-f]{8}|#[0-9A-Fa-f]{6,8}|-)"
-_CONTROLS = r"[\u0000-\u001F\u007F-\u009F]"
 _NAME = r"[A-Za-z][A-Za-z'\- ]{0,29}"
 _SPEAKER = rf"^({_NAME}): ?(.+)$"
 
@@ -33,8 +34,13 @@ def squeezed(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Without colour markup, control characters as spaces, runs of spaces as one, trimmed; in that order."""
-    return squeezed(F.regexp_replace(F.regexp_replace(c, _MARKUP, ""), _CONTROLS, " "))
+    """Without colour markup, control characters as spaces, runs of spaces as one, trimmed; in that order.
+
+    Texts without a caret have no markup to look for.  Controls and spaces go in one pass,
+    which a single plain space, most of what there is, does not match.
+    """
+    plain = F.when(F.contains(c, F.lit("^")), F.regexp_replace(c, _MARKUP, "")).otherwise(c)
+    return trimmed(F.regexp_replace(plain, f" {_BLANKS}+|{_OTHER_BLANKS}{_BLANKS}*", " "))
 
 
 def name_key(c: Column) -> Column:

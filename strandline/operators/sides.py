@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.sources.tables import Work
 
 ROUNDS = 8
+#: Pairs of names up to which a session is settled in one task; larger ones are settled in waves.
+ALONE = 100_000
 
 
 def hostile_edges(events: DataFrame) -> DataFrame:
@@ -69,18 +72,93 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({**{c: pd.Series(v, dtype=object) for c, v in texts.items()}, "summon": pd.Series(summon, dtype=bool)})
 
 
-def resolve_sides(events: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+def _spoke(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'dialogue' and actor is not null").select("session", F.col("actor").alias("name")).distinct()
+
+
+def _evidence(edges: DataFrame, party: DataFrame, spoke: DataFrame) -> DataFrame:
+    """session, what, a, b, n, first_ord: all that tells sides, in one table."""
+    nothing, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    parts = [
+        edges.select("session", F.lit("edge").alias("what"), "a", "b", "n", F.col("first_ord").cast("long").alias("first_ord")),
+        party.select("session", F.lit("member").alias("what"), F.col("name").alias("a"), nothing.alias("b"), F.col("rostered").cast("long").alias("n"), zero.alias("first_ord")),
+        spoke.select("session", F.lit("spoke").alias("what"), F.col("name").alias("a"), nothing.alias("b"), zero.alias("n"), zero.alias("first_ord")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def visits(edges: DataFrame) -> DataFrame:
+    """session, name, place: names in the order in which they first occur, a before b."""
+    each = edges.select("session", F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.struct("first_ord", F.lit(i).alias("role")).alias("place")) for i, c in enumerate("ab")])).alias("v"))
+    return each.groupBy("session", "v.name").agg(F.min("v.place").alias("place"))
+
+
+def settle_waves(edges: DataFrame, party: DataFrame, work: Work) -> DataFrame:
+    """session, name, side as ``_settle`` finds them one name after another, without a loop over names.
+
+    In a round a name sees the labels that names before it get in the same round, and
+    those that names after it got in the one before.  The labels of a round are thus the
+    one solution of a system in which each depends on earlier places only.  A wave works
+    all of them out at once from the labels of the wave before; what depends on k others
+    in a row is right after k waves, and when a wave changes nothing the round is over.  A
+    wave is one join and one aggregate over the pairs of names, all sessions at once, and
+    only names whose neighbours have just changed are worked out again.
+    """
+    member = party.select("session", "name").distinct().withColumn("member", F.lit(True))
+    order = visits(edges)
+    seen = lambda c: order.select("session", F.col("name").alias(c), F.col("place").alias(f"place_{c}"))
+    inside = lambda c: member.select("session", F.col("name").alias(c), F.col("member").alias(f"member_{c}"))
+    pairs = edge_weights(edges).join(seen("a"), ["session", "a"]).join(seen("b"), ["session", "b"])
+    pairs = pairs.join(inside("a"), ["session", "a"], "left_anti").join(inside("b"), ["session", "b"], "left")
+    # members' own weight counts double; the label of a member never changes
+    pairs = work.stored(pairs.select("session", "a", "b", (F.col("weight") * F.when(F.col("member_b"), 2).otherwise(1)).alias("weight"), (F.col("place_b") < F.col("place_a")).alias("earlier"), F.coalesce("member_b", F.lit(False)).alias("fixed")))
+    names = pairs.select("session", F.col("a").alias("name")).distinct()
+    # old: after the round before; new: as far as this round's waves have come
+    none = F.lit(None).cast("string")
+    labels = work.stored(names.select("session", "name", none.alias("old"), none.alias("new"), F.lit(True).alias("moved")))
+    for n in range(ROUNDS):
+        while True:
+            told = labels.select("session", F.col("name").alias("b"), "old", "new", "moved")
+            side = F.when(F.col("fixed"), F.lit("party")).when(F.col("earlier"), F.col("new")).otherwise(F.col("old"))
+            sided = pairs.join(told, ["session", "b"], "left").withColumn("side", side)
+            against = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("weight"))), F.lit(0))
+            votes = sided.groupBy("session", F.col("a").alias("name")).agg(against("party").alias("p"), against("opponent").alias("o"))
+            now = F.when(F.col("p") + F.col("o") == 0, F.col("old")).when(F.col("o") > F.col("p"), F.lit("party")).otherwise(F.lit("opponent"))
+            after = labels.drop("moved").join(votes, ["session", "name"]).withColumn("now", now)
+            wave = work.stored(after.select("session", "name", "old", F.col("now").alias("new"), (~F.col("new").eqNullSafe(F.col("now"))).alias("moved")))
+            labels = wave
+            if wave.where("moved").isEmpty():
+                break
+        if labels.where("not (old <=> new)").isEmpty() or n == ROUNDS - 1:
+            break
+        labels = labels.withColumn("old", F.col("new"))
+    found = labels.where("new is not null").select("session", "name", F.col("new").alias("side"))
+    return found.union(member.select("session", "name", F.lit("party").alias("side")))
+
+
+def resolve_sides(events: DataFrame, roster: DataFrame | None = None, alone: int = ALONE) -> DataFrame:
     """session, name, side, summon for every name with evidence.
 
-    Events shrink to one row per pair of names before the per-session loop sees them, so
-    a session of any length costs as much as it has names that met.
+    Events shrink to one row per pair of names.  A session of at most ``alone`` pairs is
+    settled by a loop in one task, larger ones by ``settle_waves`` over all tasks, with
+    the same result.
     """
-    nothing = F.lit(None).cast("string")
-    edges = hostile_edges(events).select("session", F.lit("edge").alias("what"), "a", "b", "n", "first_ord")
-    party = members(events, roster).select("session", F.lit("member").alias("what"), F.col("name").alias("a"), nothing.alias("b"), F.col("rostered").cast("long").alias("n"), F.lit(0).cast("long").alias("first_ord"))
-    spoke = events.where("kind = 'dialogue' and actor is not null").select("session", F.lit("spoke").alias("what"), F.col("actor").alias("a"), nothing.alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("first_ord")).distinct()
-    evidence = edges.withColumn("first_ord", F.col("first_ord").cast("long")).unionByName(party).unionByName(spoke)
-    return evidence.groupBy("session").applyInPandas(_settle, "session string, name string, side string, summon boolean")
+    work = Work(events.sparkSession)
+    try:
+        evidence = work.stored(_evidence(hostile_edges(events), members(events, roster), _spoke(events)))
+        large = evidence.where("what = 'edge'").groupBy("session").agg(F.count("*").alias("pairs")).where(F.col("pairs") > alone).select("session")
+        rest = evidence.join(large, "session", "left_anti")
+        found = rest.groupBy("session").applyInPandas(_settle, "session string, name string, side string, summon boolean")
+        if not large.isEmpty():
+            told = work.stored(evidence.join(large, "session", "left_semi"))
+            party = told.where("what = 'member'").select("session", F.col("a").alias("name"), (F.col("n") > 0).alias("rostered"))
+            waved = settle_waves(told.where("what = 'edge'"), party, work)
+            heard = party.where("rostered").select("session", "name").union(told.where("what = 'spoke'").select("session", F.col("a").alias("name"))).distinct()
+            waved = waved.join(heard.withColumn("heard", F.lit(True)), ["session", "name"], "left")
+            found = found.union(waved.select("session", "name", "side", ((F.col("side") == "party") & F.col("heard").isNull()).alias("summon")))
+        return work.kept(found)
+    finally:
+        work.drop()
 
 
 def label(events: DataFrame, sides: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.rules import classify
-from strandline.functions.text import contains_folded, name_key, normalise, redacted
+from strandline.functions.text import computed_once, contains_folded, name_key, normalise, redacted
 from strandline.operators import opcodes, sides
 from strandline.operators.fold import casting, clears, fold_state, observations, resolved, saves, surviving
 from strandline.operators.knowledge import _effect_rows, declined, hand_effects, keyed, known_effects, with_effect
@@ -22,9 +22,9 @@ from strandline.operators.upsert import last_write_wins
 from strandline.plans import api, reports
 from strandline.sources.binary import resolved as resolve_sources
 from strandline.sources.logs import events as parse_events
-from strandline.sources.logs import roster, stats
-from strandline.sources.tables import derived, spread
-from strandline.streaming.live import derive
+from strandline.sources.logs import read_live_lines, roster, stats
+from strandline.sources.tables import derived, dropped, materialised, shared_folder, spread
+from strandline.streaming.live import derive, link_stream
 
 #: Link windows of the queries; the table's acts are further apart than those of a real log.
 WITHIN = 400
@@ -221,6 +221,21 @@ def link_default_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).select("session", "id", "target", "critical", "spell", "spell_candidate")
 
 
+def link_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links from a stream: log files of all sessions are read, then again after more lines have come."""
+    folder, lines = shared_folder(spark), _lines(spark, sf_dir, DENSE)
+    try:
+        for part in ("ord <= 150", "ord > 150"):
+            log = lines.where(part).repartition("session").sortWithinPartitions("session", "ord").select("session", "line")
+            log.write.mode("append").partitionBy("session").text(f"{folder}/lines")
+            come = read_live_lines(spark, f"{folder}/lines", idle_seconds=0, session="folder").drop("file")
+            stream = link_stream(classify(parse_events(come))).writeStream.format("parquet").option("path", f"{folder}/linked")
+            stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return materialised(spark.read.parquet(f"{folder}/linked").select("session", "id", "target", "critical", "spell", "spell_candidate"))
+    finally:
+        dropped(spark, folder)
+
+
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, DENSE, (CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN))
 
@@ -350,8 +365,8 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = normalise(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("md5"), F.length(text).cast("long").alias("n"))
+    made = computed_once(_table(spark, sf_dir, "documents").select("doc_id", "text"), plain=normalise(F.col("text")))
+    return made.select("doc_id", F.md5(F.col("plain").cast("binary")).alias("md5"), F.length("plain").cast("long").alias("n"))
 
 
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,7 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sort_nulls_last_page, upsert_last_wins, fold_observations, fold_combatants, fold_casting, saves_by_category, attribution_audit, edge_weights, resolve_sides, vote_purity,
         vote_classify, leave_one_out, normalise_text, redaction, effect_lookup, declined_anti, priority_resolution, roster_union,
         search_events, classify_all_rules, kind_summary, link_default_windows, unattributed_damage, attribution_by_detail, groups_by_spell, events_sorted_page, top_texts,
-        session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts,
+        session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts, link_streamed,
     )
 }
 
@@ -475,6 +490,7 @@ ORACLE_SQL: dict[str, str] = {
     "classify_all_rules": "SELECT id, " + ", ".join(f"{_by_kind([chr(39) + x[1] + chr(39) if c == 1 else x[c] for x in KINDS_OF_LINES])} AS {n}" for c, n in enumerate(("", "kind", "actor", "target", "amount", "roll", "resisted", "detail")) if n) + f" FROM ({_BASE}) base",
     "kind_summary": f"SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind, count(*) AS n FROM ({_BASE}) base GROUP BY 1",
     "link_default_windows": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
+    "link_streamed": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
     "unattributed_damage": f"SELECT kind_of AS detail, candidate AS spell_candidate, count(*) AS n FROM {_DENSE_ROWS} d WHERE candidate IS NOT NULL AND spell IS NULL GROUP BY 1, 2",
     "attribution_by_detail": f"SELECT kind_of AS detail, count(*) AS total, count(candidate) AS after_cast, count(spell) AS attributed FROM {_DENSE_ROWS} d WHERE event_type = 'purchase' GROUP BY 1",
     "groups_by_spell": f"""SELECT coalesce(spell, '(none)') AS key, count(*) AS events, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN n END), 0) AS BIGINT) AS damage, CAST(0 AS BIGINT) AS resisted, CAST(0 AS BIGINT) AS xp,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import SPACES, captured, clean, computed_once, lenient_int, name_key, normalise, trimmed
+from strandline.sources import live
 
 # Markers of the wire format and the prefix that may stand before them.
 EVENT_MARK, ROSTER_MARK, STATS_MARK = "A7LOG", "A7ROSTER", "A7STATS"
@@ -35,12 +36,16 @@ def read_session_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(_session_of(F.col("_metadata.file_path")).alias("session"), (F.col("_metadata.file_block_start") + number).alias("ord"), F.col("value").alias("line"))
 
 
-def read_live_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of session, ord, line, file over a folder to which log files are added; each file comes whole, ord is a line's place in it."""
-    files = spark.readStream.option("wholetext", True).text(folder)
-    path = F.col("_metadata.file_path")
-    lines = files.select(_session_of(path).alias("session"), F.posexplode(F.split("value", "\n")).alias("ord", "line"), path.alias("file"))
-    return lines.select("session", F.col("ord").cast("long").alias("ord"), "line", "file")
+def read_live_lines(spark: SparkSession, folder: str, idle_seconds: float = 60, session: str = "file", pattern: str = r".*\.(log|txt)") -> DataFrame:
+    """A stream of session, ord, line, file over a folder of log files that are added to and still written.
+
+    Each line comes once, in order; ``ord`` is its byte in the file.  A last line without
+    an end comes once its file has not been written to for ``idle_seconds``.  The session
+    is the file's name, or with ``session="folder"`` that of its folder.
+    """
+    live.register(spark)
+    options = {"path": folder, "idle_seconds": str(idle_seconds), "session": session, "pattern": pattern}
+    return spark.readStream.format(live.NAME).options(**options).load()
 
 
 def _stripped(line: Column) -> Column:

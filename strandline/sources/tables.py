@@ -21,17 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/derived-{uuid.uuid4().hex}"
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    """Path, length and time of all files of a table, as Spark's file system tells them; empty where there is none."""
+def _system(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Time and length of a file or folder as a whole, which change when a table is written anew or added to; empty where there is none.
+
+    Files below are not listed, of which a large table has millions.
+    """
+    system, where = _system(spark, path)
     if not system.exists(where):
         return ()
-    found, out = system.listFiles(where, True), []
-    while found.hasNext():
-        f = found.next()
-        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(out))
+    told = system.getFileStatus(where)
+    return told.getModificationTime(), told.getLen()
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    system, where = _system(spark, path)
+    system.delete(where, True)
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -45,24 +55,53 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_DERIVED: dict[tuple, tuple[str, tuple]] = {}
+class Work:
+    """Tables that one run of an operator writes on its way, in the shared folder, and deletes when it is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, shared_folder(spark), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` written apart, so that it outlives the others."""
+        return materialised(df)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.folder)
+
+
+_DERIVED: dict[tuple, tuple[tuple, str, tuple]] = {}
 
 
 def derived(name: str, source: str, make, spark: SparkSession) -> DataFrame:
-    """The table that ``make()`` derives from the files of ``source``, written once for an application and read by all that ask for it.
+    """The table that ``make()`` derives from ``source``, written once for an application and read by all that ask for it.
 
-    It is made anew if a file of the source has changed, or one of the table's own files.
+    It is made anew if the source has changed, or the table itself; the one before is
+    deleted then.  ``forget`` deletes all tables of the application.
     """
-    key = (spark.sparkContext.applicationId, name, _files(spark, source))
-    path, files = _DERIVED.get(key, ("", ()))
-    if files and _files(spark, path) == files:
+    key = (spark.sparkContext.applicationId, name, source)
+    now = stamp(spark, source)
+    made, path, own = _DERIVED.get(key, ((), "", ()))
+    if path and made == now and stamp(spark, path) == own:
         return spark.read.parquet(path)
+    if path:
+        dropped(spark, path)
     path = shared_folder(spark)
     make().write.parquet(path)
-    _DERIVED[key] = path, _files(spark, path)
+    _DERIVED[key] = now, path, stamp(spark, path)
     return spark.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the derived tables of this application."""
+    for key in [k for k in _DERIVED if k[0] == spark.sparkContext.applicationId]:
+        dropped(spark, _DERIVED.pop(key)[1])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it has so few partitions that most of them would stand idle; large tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

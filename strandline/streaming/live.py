@@ -9,13 +9,13 @@ and replace what was stored, which also settles sides that later evidence change
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from strandline.functions.rules import classify
 from strandline.functions.text import redacted
@@ -61,51 +61,97 @@ def derive_live(lines: DataFrame, path: str, checkpoint: str, verdicts: bool = F
     """Keep the event table up to date with a stream of ``read_live_lines``."""
 
     def touched(batch: DataFrame, _: int) -> None:
-        # names of the files that came with this batch, which the stream's own log lists too
-        refresh(batch.sparkSession, [unquote(r.file) for r in batch.select("file").distinct().collect()], path, verdicts)
+        # names of the files that came with this batch, which the stream's offsets list too
+        refresh(batch.sparkSession, [r.file for r in batch.select("file").distinct().collect()], path, verdicts)
 
     return lines.writeStream.foreachBatch(touched).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 LINKED = "session string, ord long, id long, kind string, actor string, target string, detail string, critical int, spell string, spell_candidate string"
-_STATE = "seen string"
-
-
-def link_rows(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-    """Link the rows of one session in order; ``state`` holds the last act of each actor and kind."""
-    out = []
-    for r in rows.sort_values("ord").itertuples(index=False):
-        mine = state.setdefault(r.actor, {}) if isinstance(r.actor, str) else {}
-        target, detail = (x if isinstance(x, str) else None for x in (r.target, r.detail))
-        critical, candidate = 0, None
-        if r.kind == "critical" and (detail or "").lower() == "hit":
-            mine["armed"] = int(r.id)
-        elif r.kind == "damage":
-            armed = mine.pop("armed", None)
-            critical = int(armed is not None and r.id - armed <= CRITICAL_WITHIN)
-            if "cast" in mine and r.id - mine["cast"][0] <= SPELL_WITHIN:
-                candidate = mine["cast"][1]
-        elif r.kind == "spell" and detail is not None:
-            mine["cast"] = [int(r.id), detail]
-        elif r.kind == "attack" and target is not None:
-            mine["aimed"] = [int(r.id), target]
-        elif r.kind == "immune" and target is None and "aimed" in mine and r.id - mine["aimed"][0] <= TARGET_WITHIN:
-            target = mine["aimed"][1]
-        spell = candidate if (detail or "").lower() in SPELL_DAMAGE else None
-        out.append((r.session, r.ord, r.id, r.kind, r.actor, target, detail, critical, spell, candidate))
-    return pd.DataFrame(out, columns=[f.split()[0] for f in LINKED.split(", ")])
+_NEEDED = ["session", "ord", "id", "kind", "actor", "target", "detail"]
+
+
+def _before(marks: np.ndarray) -> np.ndarray:
+    """For each row the last marked row before it, -1 where there is none."""
+    last = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1)) if len(marks) else np.zeros(0, np.int64)
+    return np.concatenate([[-1], last[:-1]]).astype(np.int64)[: len(marks)]
+
+
+def link_actor(rows: pd.DataFrame, last: dict[str, tuple | None]) -> pd.DataFrame:
+    """Link the rows of one actor of a session, in any order; ``last`` has the acts before them and then those after them.
+
+    ``armed`` is the id of a critical hit that no damage has used up, ``cast`` the id and
+    name of the last spell, ``aimed`` the id and target of the last attack.
+    """
+    rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
+    kind, ids = rows["kind"].to_numpy(object), rows["id"].to_numpy(np.int64)
+    target, detail = (rows[c].astype(object).where(rows[c].notna(), None).to_numpy(object) for c in ("target", "detail"))
+    lower = np.array([d.lower() if d is not None else "" for d in detail], dtype=object)
+    has = lambda values: np.array([v is not None for v in values], dtype=bool)
+    damage = kind == "damage"
+    acts = {"armed": (kind == "critical") & (lower == "hit"), "cast": (kind == "spell") & has(detail), "aimed": (kind == "attack") & has(target)}
+    told = {"armed": np.array([None] * len(rows), object), "cast": detail, "aimed": target}
+
+    def seen(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Id and value of the last such act before each row; the id is out of reach where there is none."""
+        at, held = _before(acts[name]), last.get(name)
+        none = np.iinfo(np.int64).min // 2
+        return np.where(at >= 0, ids[at], held[0] if held else none), np.where(at >= 0, told[name][at], held[1] if held else None)
+
+    hurt = _before(damage)
+    armed_at, (armed, _) = _before(acts["armed"]), seen("armed")
+    critical = damage & (ids - armed <= CRITICAL_WITHIN) & (hurt <= armed_at) & ((hurt < armed_at) | (armed_at == -1))
+    (cast, spell), (aimed, aim) = seen("cast"), seen("aimed")
+    candidate = np.where(damage & (ids - cast <= SPELL_WITHIN), spell, None)
+    filled = (kind == "immune") & ~has(target) & (ids - aimed <= TARGET_WITHIN)
+    for name in ("cast", "aimed"):
+        if acts[name].any():
+            i = int(np.flatnonzero(acts[name])[-1])
+            last[name] = int(ids[i]), told[name][i]
+    newest = [int(np.flatnonzero(m)[-1]) if m.any() else -1 for m in (acts["armed"], damage)]
+    if newest[0] > newest[1]:
+        last["armed"] = int(ids[newest[0]]), None
+    elif newest[1] >= 0:
+        last["armed"] = None
+    return rows.assign(
+        target=np.where(filled, aim, target),
+        critical=critical.astype(np.int32),
+        spell=np.where(np.isin(lower.astype(str), SPELL_DAMAGE), candidate, None),
+        spell_candidate=candidate,
+    )[[f.split()[0] for f in LINKED.split(", ")]]
+
+
+class ActorLinker(StatefulProcessor):
+    """The last acts of one actor of a session, each in a state variable of its own."""
+
+    ACTS = {"armed": "id long", "cast": "id long, value string", "aimed": "id long, value string"}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = {name: handle.getValueState(name, schema) for name, schema in self.ACTS.items()}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        before = {name: (tuple(state.get()) + (None,))[:2] if state.exists() else None for name, state in self.held.items()}
+        last = dict(before)
+        # batches of a key come in no order of their own; a micro-batch's rows of one actor are put in order here
+        yield link_actor(pd.concat(list(rows)), last)
+        for name, state in self.held.items():
+            if last[name] is None and before[name] is not None:
+                state.clear()
+            elif last[name] != before[name]:
+                state.update(last[name][: 1 if name == "armed" else 2])
+
+    def close(self) -> None:
+        pass
 
 
 def link_stream(events: DataFrame) -> DataFrame:
-    """The linker as a stateful operator over a stream of classified events, keyed by session."""
-    import json
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches))
-        linked = link_rows(rows, held)
-        state.update((json.dumps(held),))
-        yield linked
-
-    needed = events.select("session", "ord", "id", "kind", "actor", "target", "detail")
-    return needed.groupBy("session").applyInPandasWithState(step, LINKED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    """The linker over a stream of classified events that comes in order, with state by session and actor.
+
+    Rows without an actor link with nothing and pass by.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    needed = events.select(*_NEEDED)
+    named = needed.where("actor is not null").groupBy("session", "actor").transformWithStateInPandas(ActorLinker(), LINKED, "Append", "None")
+    nothing = F.lit(None).cast("string")
+    rest = needed.where("actor is null").select(*_NEEDED, F.lit(0).alias("critical"), nothing.alias("spell"), nothing.alias("spell_candidate"))
+    return named.union(rest)

@@ -10,7 +10,7 @@ from strandline.operators.links import link_events, save_targets
 from strandline.operators.sides import edge_weights, hostile_edges, resolve_sides
 from strandline.plans import api, chains, reports
 from strandline.sources.logs import events, read_session_logs, roster, stats
-from strandline.streaming.live import capture_raw, derive, derive_live, link_rows, link_stream
+from strandline.streaming.live import capture_raw, derive, derive_live, link_actor, link_stream
 
 # text, kind, actor, target, amount, roll, resisted, detail
 LINES = [
@@ -89,8 +89,9 @@ def test_stream_linker_agrees(spark):
     flat = classify(events(log(spark, texts)))
     batch = link_events(flat).orderBy("ord").toPandas()
     pdf = flat.toPandas().sort_values("ord")
-    state = {}
-    stream = __import__("pandas").concat([link_rows(pdf.iloc[i : i + 17], state) for i in range(0, 200, 17)])
+    state = {a: {} for a in pdf["actor"].unique()}
+    parts = [link_actor(own.sample(frac=1, random_state=1), state[a]) for i in range(0, 200, 17) for a, own in pdf.iloc[i : i + 17].groupby("actor")]
+    stream = __import__("pandas").concat(parts).sort_values("ord")
     for c in ("target", "critical", "spell", "spell_candidate"):
         assert batch[c].where(batch[c].notna(), None).tolist() == stream[c].where(stream[c].notna(), None).tolist()
 
@@ -189,18 +190,18 @@ def test_live(spark, tmp_path):
     (logs / "s1.log").write_text("noise\nA7LOG\t1\t1\t1\t\t\tB: Takes 5 fire damage from A\nA7LOG\t1\t1\t1\t\t\tB: Takes 6 fire damage from A\nA7LOG\t2\t1\t1\t\t\tB: Death")
     from strandline.sources.logs import read_live_lines
 
-    capture_raw(read_live_lines(spark, str(logs)), str(tmp_path / "raw"), str(tmp_path / "c1")).awaitTermination()
+    capture_raw(read_live_lines(spark, str(logs), 0), str(tmp_path / "raw"), str(tmp_path / "c1")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 4
     for _ in range(2):
-        derive_live(read_live_lines(spark, str(logs)), str(tmp_path / "events"), str(tmp_path / "c2")).awaitTermination()
+        derive_live(read_live_lines(spark, str(logs), 0), str(tmp_path / "events"), str(tmp_path / "c2")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "events")).orderBy("id").collect()
     assert [(r.id, r.amount) for r in rows] == [(1, 6), (2, None)]
     assert read_session_logs(spark, str(logs)).count() == 4
     (logs / "s 2.log").write_text("A7STATS\tC\tSpell: 8 (3)\nA7LOG\t1\t1\t1\t\t\tC: Save vs. Spell : 9\n")
-    derive_live(read_live_lines(spark, str(logs)), str(tmp_path / "events"), str(tmp_path / "c2"), verdicts=True).awaitTermination()
+    derive_live(read_live_lines(spark, str(logs), 0), str(tmp_path / "events"), str(tmp_path / "c2"), verdicts=True).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "events")).orderBy("session", "id").collect()
     assert [(r.session, r.id, r.saved) for r in rows] == [("s 2", 1, 1), ("s1", 1, None), ("s1", 2, None)]
-    linked = link_stream(classify(events(read_live_lines(spark, str(logs)).drop("file"))))
+    linked = link_stream(classify(events(read_live_lines(spark, str(logs), 0).drop("file"))))
     linked.writeStream.format("memory").queryName("linked").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("linked").count() == 4
 

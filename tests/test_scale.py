@@ -5,8 +5,10 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.operators import sides
 from strandline.operators.links import link_events
-from strandline.sources import logs
+from strandline.sources import live, logs
+from strandline.streaming.live import link_stream
 
 EVENT = "session string, ord long, id long, kind string, actor string, target string, detail string"
 
@@ -63,3 +65,75 @@ def test_stats_are_pinned_over_parts(spark):
             whole.setdefault("told", []).append((session, ord_, whole.get(session, 0)))
     for bits in (2, 5, 20):
         assert sorted((r.session, r.ord, r.as_of_id) for r in logs.stats(lines, part_bits=bits).collect()) == whole["told"]
+
+
+def test_growing_files(spark, tmp_path):
+    logs_, out = tmp_path / "logs", str(tmp_path / "out")
+    logs_.mkdir()
+    written = {}
+
+    def add(name, text):
+        with (logs_ / name).open("ab") as f:
+            f.write(text.encode())
+        written[name] = written.get(name, "") + text
+
+    def come(idle=60, **options):
+        live.register(spark)
+        reader = spark.readStream.format(live.NAME).options(path=str(logs_), idle_seconds=idle, **options).load()
+        reader.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        rows = sorted((r.session, r.ord, r.line) for r in spark.read.parquet(out).collect())
+        assert len(rows) == len({r[:2] for r in rows})  # every line once
+        return {s: [r[2] for r in rows if r[0] == s] for s in dict.fromkeys(r[0] for r in rows)}
+
+    add("a.log", "one\ntwo\nthr")
+    add("note.tmp", "no log\n")
+    assert come() == {"a": ["one", "two"]}
+    add("a.log", "ee\nfour é\n\nfive")
+    add("b c.log", "x\r\n" + "long " * 300 + "\ny\n")
+    assert come(range_bytes=5) == {"a": ["one", "two", "three", "four é", ""], "b c": ["x\r", "long " * 300, "y"]}
+    assert come(idle=0)["a"][-1] == "five"  # the last line has no end, and the file is left alone
+    add("a.log", " more\nsix\n")
+    assert come()["a"][-3:] == ["five", " more", "six"]
+    assert come() == come(idle=0)
+    assert "".join(come()["b c"]) == written["b c.log"].replace("\n", "")
+
+
+def test_stream_keeps_links_over_batches(spark, tmp_path):
+    rows = acts(11, 400, 3)
+    events = spark.createDataFrame(rows, EVENT)
+    whole = told(link_events(events, size=None))
+    folder = str(tmp_path / "in")
+    for i in range(0, 400, 90):
+        events.where(f"ord >= {i} and ord < {i + 90}").repartition(2).write.mode("append").parquet(folder)
+        stream = link_stream(spark.readStream.schema(events.schema).parquet(folder))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == whole
+
+
+def fights(seed, sessions, names, n):
+    rnd = random.Random(seed)
+    rows = []
+    for s in range(sessions):
+        for i in range(n):
+            a, b = (f"n{min(rnd.randrange(names), rnd.randrange(names))}" for _ in "ab")
+            kind = rnd.choice(["attack", "damage", "pause", "dialogue"]) if rnd.random() < 0.1 else "attack"
+            rows.append((f"s{s}", i, i, kind, a if rnd.random() > 0.03 else None, b, None))
+    return rows
+
+
+def test_waves_settle_as_the_loop(spark):
+    for seed, names, n in ((1, 6, 30), (2, 12, 60), (3, 40, 90)):
+        events = spark.createDataFrame(fights(seed, 12, names, n), EVENT).where("kind != 'pause' or target < 'n2'")
+        roster = spark.createDataFrame([(f"s{i}", "n0") for i in range(0, 12, 2)], "session string, name string")
+        got = [sorted(tuple(r) for r in sides.resolve_sides(events, roster, alone=most).collect()) for most in (10**9, -1)]
+        assert got[0] == got[1] and {r[2] for r in got[0]} == {"party", "opponent"}
+
+
+def test_waves_along_a_chain(spark):
+    # each name only meets the one before it, met in either direction of the visits
+    for step in (1, -1):
+        rows = [("s", i, i, "attack", f"n{k}", f"n{k + 1}", None) for i, k in enumerate(range(12)[::step])]
+        events = spark.createDataFrame(rows, EVENT)
+        roster = spark.createDataFrame([("s", "n0")], "session string, name string")
+        got = [sorted(tuple(r) for r in sides.resolve_sides(events, roster, alone=most).collect()) for most in (10**9, 0)]
+        assert got[0] == got[1] and len(got[0]) > 5
