@@ -6,9 +6,12 @@ queries then go through the real pipeline: wire format, normalisation, rules, li
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from strandline.operators.knowledge import _effect_rows, declined, hand_effects,
 from strandline.operators.links import CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN, link_events, save_targets
 from strandline.operators.upsert import last_write_wins
 from strandline.plans import api, reports
+from strandline.sources import archives, binary
 from strandline.sources.binary import resolved as resolve_sources
 from strandline.sources.logs import events as parse_events
 from strandline.sources.logs import read_live_lines, roster, stats
@@ -292,6 +296,88 @@ def save_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _party(spark, sf_dir).where("kind = 'save'").select("session", "id", "saved")
 
 
+SPELL, CREATURE, STRINGS = 0x3EE, 0x3F1, 0x400
+
+
+def _resource_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resref, type, content: parts as spells, suppliers as creatures, names of both in string tables of 500."""
+    part, supplier = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "supplier")
+
+    def spell(batches):
+        for batch in batches:
+            rows = []
+            for key, size, kind in zip(batch["p_partkey"], batch["p_size"], batch["p_type"]):
+                head, feature = bytearray(114), bytearray(48)
+                head[:8] = b"SPL V1  "
+                struct.pack_into("<2I", head, 8, key % 500, key // 500)
+                struct.pack_into("<H", head, 0x1C, size % 6)
+                head[0x25] = size % 10
+                struct.pack_into("<I", head, 0x34, size)
+                struct.pack_into("<IHIHH", head, 0x64, 114, 2, 114 + 80, 0, 1)
+                ability = bytearray(40)
+                struct.pack_into("<2H", ability, 0x1E, 1, 0)  # the same feature as the casting one
+                struct.pack_into("<HBBII", feature, 0, 58 if len(kind) % 2 else 220, 1, 2, 5, size % 3)
+                feature[0x0D] = key % 2
+                rows.append((f"s{key}", SPELL, bytes(head + ability + ability + feature)))
+            yield pd.DataFrame(rows, columns=["resref", "type", "content"])
+
+    def creature(batches):
+        for batch in batches:
+            rows = []
+            for key, nation in zip(batch["s_suppkey"], batch["s_nationkey"]):
+                raw = bytearray(0x280)
+                raw[:8] = b"CRE V1.0"
+                struct.pack_into("<2I", raw, 8, key % 500, key // 500)
+                struct.pack_into("<2h", raw, 0x46, nation, -nation)
+                struct.pack_into("<5b", raw, 0x54, *[nation - i for i in range(5)])
+                rows.append((f"c{key}", CREATURE, bytes(raw)))
+            yield pd.DataFrame(rows, columns=["resref", "type", "content"])
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [b""] * 500
+        for i, name in zip(pdf["i"], pdf["name"]):
+            texts[i] = name.encode()
+        ends = np.cumsum([len(t) for t in texts]).tolist()
+        entries = b"".join(struct.pack("<H8sIIII", 1, b"", 0, 0, end - len(t), len(t)) for t, end in zip(texts, ends))
+        return pd.DataFrame([(pdf["resref"][0], STRINGS, b"TLK V1  " + struct.pack("<HII", 0, 500, 18 + len(entries)) + entries + b"".join(texts))], columns=["resref", "type", "content"])
+
+    schema = "resref string, type int, content binary"
+    named = lambda df, key, name, sign: df.select(F.concat(F.lit(sign), F.call_function("div", key, F.lit(500)).cast("string")).alias("resref"), (F.col(key) % 500).cast("int").alias("i"), F.col(name).alias("name"))
+    names = named(part, "p_partkey", "p_name", "tp").union(named(supplier, "s_suppkey", "s_name", "tc"))
+    made = [part.mapInPandas(spell, schema), supplier.mapInPandas(creature, schema), names.groupBy("resref").applyInPandas(table, schema)]
+    return reduce(DataFrame.union, made)
+
+
+def archive_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spells read out of archives by byte range, decoded, with their names from string tables and what their features strip."""
+    folder = shared_folder(spark)
+    try:
+        index = archives.pack(_resource_files(spark, sf_dir), folder, per_archive=1000)
+        read, told = (archives.read_archives(spark, index).where(F.col("type") == kind) for kind in (SPELL, STRINGS))
+        read, told = binary.spells(read), binary.strings_by_file(told).where("text is not null")
+        at = F.concat(F.lit("tp"), F.col("identified_strref").cast("string"))
+        named = read.withColumn("table", at).join(told, (F.col("table") == told["resref"]) & (F.col("name_strref") == told["strref"])).drop(told["resref"])
+        return materialised(named.select(F.substring("resref", 2, 8).cast("long").alias("p_partkey"), F.col("text").alias("p_name"), "level", "type", "school", "feature_reads", F.size("features").alias("n_features"), opcodes.strips(F.col("features")).alias("strips"), opcodes.dispellable(F.lit("protection"), F.col("features")).alias("dispellable")))
+    finally:
+        dropped(spark, folder)
+
+
+def archive_creatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creatures read out of archives: signed numbers, saves, names; those of three resrefs alone are asked for beside them."""
+    folder = shared_folder(spark)
+    try:
+        index = archives.pack(_resource_files(spark, sf_dir), folder, per_archive=1000)
+        read, told = (archives.read_archives(spark, index).where(F.col("type") == kind) for kind in (CREATURE, STRINGS))
+        read, told = binary.creatures(read), binary.strings_by_file(told)
+        asked = archives.read_archives(spark, index).where(F.col("resref").isin("c1", "c2", "c3")).select("resref", F.octet_length("content").cast("long").alias("asked_bytes"))
+        at = F.concat(F.lit("tc"), F.col("short_name_strref").cast("string"))
+        named = read.withColumn("table", at).join(told, (F.col("table") == told["resref"]) & (F.col("name_strref") == told["strref"])).drop(told["resref"])
+        named = named.join(asked, "resref", "left")
+        return materialised(named.select(F.substring("resref", 2, 8).cast("long").alias("s_suppkey"), F.col("text").alias("s_name"), "ac_natural", "ac_effective", F.col("saves")["death"].alias("death"), F.col("saves")["spells"].alias("spells"), "asked_bytes"))
+    finally:
+        dropped(spark, folder)
+
+
 def sort_nulls_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = _table(spark, sf_dir, "orders").where("o_totalprice > 300000")
     joined = _table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -402,7 +488,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sort_nulls_last_page, upsert_last_wins, fold_observations, fold_combatants, fold_casting, saves_by_category, attribution_audit, edge_weights, resolve_sides, vote_purity,
         vote_classify, leave_one_out, normalise_text, redaction, effect_lookup, declined_anti, priority_resolution, roster_union,
         search_events, classify_all_rules, kind_summary, link_default_windows, unattributed_damage, attribution_by_detail, groups_by_spell, events_sorted_page, top_texts,
-        session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts, link_streamed,
+        session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts, link_streamed, archive_spells, archive_creatures,
     )
 }
 
@@ -490,6 +576,12 @@ ORACLE_SQL: dict[str, str] = {
     "classify_all_rules": "SELECT id, " + ", ".join(f"{_by_kind([chr(39) + x[1] + chr(39) if c == 1 else x[c] for x in KINDS_OF_LINES])} AS {n}" for c, n in enumerate(("", "kind", "actor", "target", "amount", "roll", "resisted", "detail")) if n) + f" FROM ({_BASE}) base",
     "kind_summary": f"SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind, count(*) AS n FROM ({_BASE}) base GROUP BY 1",
     "link_default_windows": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
+    "archive_spells": """SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS level, CASE p_size % 6 WHEN 0 THEN 'special' WHEN 1 THEN 'wizard' WHEN 2 THEN 'priest' WHEN 3 THEN 'psionic' WHEN 4 THEN 'innate' ELSE 'bardsong' END AS type,
+  CASE p_size % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'abjurer' WHEN 2 THEN 'conjurer' WHEN 3 THEN 'diviner' WHEN 4 THEN 'enchanter' WHEN 5 THEN 'illusionist' WHEN 6 THEN 'invoker' WHEN 7 THEN 'necromancer' WHEN 8 THEN 'transmuter' ELSE 'generalist' END AS school,
+  CAST(3 AS INTEGER) AS feature_reads, CAST(1 AS INTEGER) AS n_features,
+  CASE WHEN length(p_type) % 2 = 1 THEN 'dispellable' WHEN p_size % 3 = 1 THEN 'spell-protections' WHEN p_size % 3 = 2 THEN 'combat-protections' END AS strips, p_partkey % 2 = 1 AS dispellable FROM part""",
+    "archive_creatures": """SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS ac_natural, CAST(-s_nationkey AS INTEGER) AS ac_effective, CAST(s_nationkey AS INTEGER) AS death, CAST(s_nationkey - 4 AS INTEGER) AS spells,
+  CASE WHEN s_suppkey IN (1, 2, 3) THEN CAST(640 AS BIGINT) END AS asked_bytes FROM supplier""",
     "link_streamed": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
     "unattributed_damage": f"SELECT kind_of AS detail, candidate AS spell_candidate, count(*) AS n FROM {_DENSE_ROWS} d WHERE candidate IS NOT NULL AND spell IS NULL GROUP BY 1, 2",
     "attribution_by_detail": f"SELECT kind_of AS detail, count(*) AS total, count(candidate) AS after_cast, count(spell) AS attributed FROM {_DENSE_ROWS} d WHERE event_type = 'purchase' GROUP BY 1",

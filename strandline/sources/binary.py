@@ -160,6 +160,11 @@ def strings(files: DataFrame) -> DataFrame:
     return _decoded(files, "strref bigint, text string", lambda _, b: tlk_strings(b))
 
 
+def strings_by_file(files: DataFrame) -> DataFrame:
+    """resref, strref, text: strings of several tables, each named by its file."""
+    return _decoded(files, "resref string, strref bigint, text string", lambda name, b: [(name, *s) for s in tlk_strings(b)])
+
+
 def spells(files: DataFrame) -> DataFrame:
     schema = f"resref string, name_strref bigint, identified_strref bigint, type string, school string, level bigint, features array<{FEATURE_TYPE}>, ability_count int, feature_reads int"
     return _decoded(files, schema, lambda name, b: [(name, *[spell(b)[k] for k in ("name_strref", "identified_strref", "type", "school", "level", "features", "ability_count", "feature_reads")])])

@@ -1,10 +1,14 @@
 """Binary decoders on byte strings built here, resource resolution, and opcode votes."""
 
+import io
 import struct
 
 import pytest
 
 from strandline.operators import opcodes
+from pyspark.sql.datasource import EqualTo, In
+
+from strandline.sources import archives
 from strandline.sources import binary as b
 
 
@@ -97,3 +101,44 @@ def test_votes(spark):
 
     assert {r.label: r.predicted for r in opcodes.leave_one_out(labelled).collect()} == loo()
     assert opcodes.shared_by_two(labelled).first().opcodes == [2]
+
+
+class Counted(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    def __init__(self, data):
+        super().__init__(data)
+        self.given = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.given += len(out)
+        return out
+
+
+def test_entries_by_byte_range(spark, tmp_path):
+    files = [(1, bytes([i % 251]) * (10_000 + i)) for i in range(200)]
+    whole = archives.archive_bytes(files)
+    assert [(n, k) for n, k, _ in b.bif_files(whole)] == [(i, 1) for i in range(200)] and b.bif_files(whole)[7][2] == files[7][1]
+    for asked in ([], [5], [5, 6], [5, 150], list(range(200)), [999]):
+        f = Counted(whole)
+        got = dict(archives.read_entries(f, asked))
+        assert got == {i: files[i][1] for i in asked if i < 200}
+        assert f.given <= 20 + 16 * 200 + sum(len(c) for c in got.values()) + archives.GAP * max(len(asked), 1)
+    cut = Counted(whole[:-5000])
+    assert 199 not in dict(archives.read_entries(cut, range(190, 200)))
+    rows = [(f"r{i}", i % 3, bytearray(bytes([i]) * i)) for i in range(60)]
+    index = archives.pack(spark.createDataFrame(rows, "resref string, type int, content binary"), str(tmp_path), per_archive=20)
+    read = archives.read_archives(spark, index).collect()
+    assert sorted((r.resref, r.type, r.content) for r in read) == sorted(rows) and len({r.biff for r in read}) == 3
+    some = archives.read_archives(spark, index).where("resref in ('r7', 'r9', 'nobody') and type = 1 and file >= 0")
+    assert [r.resref for r in some.collect()] == ["r7"] and some.rdd.getNumPartitions() == 1
+    assert b.key_entries((tmp_path / "index.key").read_bytes())[0][0].startswith("r")
+
+
+def test_pushed_filters_reach_the_index(spark, tmp_path):
+    rows = [(f"r{i}", i % 3, bytearray(b"x")) for i in range(60)]
+    index = archives.pack(spark.createDataFrame(rows, "resref string, type int, content binary"), str(tmp_path), per_archive=20)
+    reader = archives.ArchiveReader({"path": index})
+    assert len(list(reader.pushFilters([EqualTo(("type",), 2), In(("resref",), ("r2", "r5", "r6"))]))) == 2
+    assert sorted(e[1] for p in reader.partitions() for e in p.entries) == ["r2", "r5"]
