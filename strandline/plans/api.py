@@ -8,11 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import contains_folded
 from strandline.operators.fold import fold_state, latest, with_age
+from strandline.sources.tables import Work
 
 EQUALS = ("session", "kind", "actor", "target", "detail", "spell", "actor_side", "target_side", "summon", "target_summon")
 SEARCHED = ("kind", "actor_side", "actor", "target_side", "target", "summon", "target_summon", "detail", "spell", "raw")
@@ -22,6 +23,8 @@ GROUPED = (*EQUALS, "critical", "screen", "saved")
 NOT_BATTLE = ("pause", "dialogue", "other", "tohit", "damageroll", "resync")
 PAGE, PAGE_MOST, GROUP_MOST = 500, 5_000, 1_000_000
 BACK, SPAN_MOST = 400, 5_000
+#: Rows before a page from which on it is found by rank; ids counted together where a window is looked for.
+DEEP, SPAN = 100_000, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -80,7 +83,50 @@ def _present(q: Query) -> tuple[str | None, Column]:
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    return df.orderBy(*order).offset(max(offset, 0)).limit(limit)
+    """``limit`` rows from ``offset`` on; those of a deep page are found by rank, with the same result."""
+    offset = max(offset, 0)
+    if offset > DEEP:
+        return deep_page(df, order, limit, offset)
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """A page by rank: rows are dealt by range and sorted, and counted by range; only ranges that meet the page are ranked.
+
+    No task sorts or holds more than a range.  The sorted rows are written on the way, the
+    page itself is stored.
+    """
+    work = Work(df.sparkSession)
+    try:
+        dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        dealt = work.stored(dealt.withColumn("_part", F.shiftright("_at", 33)))
+        sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = sizes.withColumn("_before", before).where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset)).drop("_n")
+        rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        rows = dealt.join(met, "_part").where((rank >= offset) & (rank < offset + limit))
+        return work.kept(rows.select(*df.columns)).orderBy(*order)
+    finally:
+        work.drop()
+
+
+def newest(events: DataFrame, limit: int, offset: int, span: int = SPAN) -> DataFrame:
+    """The rows ``offset`` to ``offset + limit`` by (session, id) downwards, in no order.
+
+    Events are counted by session and span of ids.  Only spans that meet the window are
+    read again, and rows are ranked inside a span, so a window of any size and depth
+    needs no sort in one place.
+    """
+    placed = events.withColumn("_span", F.call_function("div", F.col("id") - F.pmod("id", F.lit(span)), F.lit(span)))
+    sizes = placed.groupBy("session", "_span").agg(F.count("*").alias("_n"))
+    above = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sessions = sizes.groupBy("session").agg(F.sum("_n").alias("_n")).select("session", above(Window.orderBy(F.desc("session"))).alias("_ahead"))
+    inside = sizes.withColumn("_inside", above(Window.partitionBy("session").orderBy(F.desc("_span"))))
+    spans = inside.join(sessions, "session").select("session", "_span", "_n", (F.col("_ahead") + F.col("_inside")).alias("_before"))
+    met = spans.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset)).drop("_n")
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("session", "_span").orderBy(F.desc("id")))
+    ranked = placed.join(met, ["session", "_span"]).withColumn("_rank", rank)
+    return ranked.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).select(*events.columns)
 
 
 def events_page(events: DataFrame, q: Query, limit: object = None, offset: int = 0) -> dict:
@@ -123,7 +169,9 @@ def groups(events: DataFrame, by: str, q: Query = Query(), limit: object = None,
     """Measures by one column over a window of the newest matching events."""
     n = positive(limit, PAGE, GROUP_MOST)
     matched = events.where(predicate(q))
-    window = page(matched, [F.col("session").desc(), F.col("id").desc()], n, offset)
+    start = max(offset, 0)
+    # the order of the window's rows does not matter, so a large one needs none
+    window = newest(matched, n, start) if start + n > PAGE_MOST else page(matched, [F.col("session").desc(), F.col("id").desc()], n, start)
     rows = all_groups(window, by).orderBy(F.desc("events"), "key")
     total = matched.count()
     return {"by": by, "rows": rows, "matched": total, "windowed": max(0, min(n, total - max(offset, 0))), "limit": n, "offset": max(offset, 0)}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +24,19 @@ def press(chain: Chain, column: str) -> Chain:
     return [(column, "desc"), *rest] if held[column] == "asc" else rest
 
 
+#: Digits that numbers inside a text are filled up to.
+_DIGITS = 24
+
+
 def natural(c: Column) -> Column:
-    """A sort key under which numbers inside a text order by value: digit runs get their length in front."""
-    low = F.lower(c)
-    return F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(F.regexp_replace(p, "^0+", "")).cast("string"), 6, "0"), F.regexp_replace(p, "^0+", ""))).otherwise(p)), "\u0000")
+    """A sort key under which texts go by the rules of languages and numbers inside them by value.
+
+    Numbers are filled up with zeros; the collation puts accents and case last, as a
+    locale's comparison does, so "a" < "A" < "á" < "b".  Longer numbers than the fill go
+    by their digits.
+    """
+    padded = F.transform(F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, F.greatest(F.lit(_DIGITS), F.length(p)), "0")).otherwise(p))
+    return F.collate(F.array_join(padded, ""), "UNICODE")
 
 
 def sorted_groups(rows: DataFrame, chain: Chain) -> DataFrame:
@@ -62,6 +69,3 @@ def scope_text(matched: int, windowed: int, offset: int) -> str:
         return f"the newest {windowed} of {matched} matching events"
     return f"events {offset + 1} to {offset + windowed} of {matched}"
 
-
-def words(name: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", name.lower())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import name_key
 from strandline.operators.fold import fold_state
+from strandline.schema import KINDS
+from strandline.sources.logs import ERROR_MARK, EVENT_MARK
 
 
 def kind_histogram(events: DataFrame) -> DataFrame:
@@ -49,3 +51,19 @@ def coverage(events: DataFrame, effects: DataFrame, declined: DataFrame, summons
 def open_names(judged: DataFrame) -> DataFrame:
     """Unknown names that nobody has judged."""
     return judged.where("not declined").select("name", "n").orderBy(F.desc("n"), "name")
+
+
+def observed(lines: DataFrame, name: str | Observation = "capture") -> DataFrame:
+    """``lines`` as they are; the job that reads them also counts them, those that report an error and those that carry an event.
+
+    The counts are metrics of an ``Observation`` for a batch, or under a name in the
+    progress of a stream, and cost no scan of their own.
+    """
+    marked = F.contains("line", F.lit(f"{EVENT_MARK}\t"))
+    error = F.contains("line", F.lit(ERROR_MARK))
+    return lines.observe(name, F.count(F.lit(1)).alias("lines"), F.count_if(error).alias("errors"), F.count_if(marked & ~error).alias("marked"), F.count_if(~marked & ~error).alias("unmarked"))
+
+
+def observed_kinds(events: DataFrame, name: str | Observation = "kinds") -> DataFrame:
+    """Classified ``events`` as they are; the job that reads them also counts them by kind, gaps (``resync``) among them."""
+    return events.observe(name, *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])

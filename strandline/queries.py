@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.rules import classify
@@ -22,7 +22,8 @@ from strandline.operators.fold import casting, clears, fold_state, observations,
 from strandline.operators.knowledge import _effect_rows, declined, hand_effects, keyed, known_effects, with_effect
 from strandline.operators.links import CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN, link_events, save_targets
 from strandline.operators.upsert import last_write_wins
-from strandline.plans import api, reports
+from strandline.plans import api, chains, reports
+from strandline.schema import KINDS
 from strandline.sources import archives, binary
 from strandline.sources.binary import resolved as resolve_sources
 from strandline.sources.logs import events as parse_events
@@ -283,6 +284,60 @@ def stats_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("session", "ord", "as_of_id", "name", F.try_element_at("targets", F.lit("Spell")).alias("spell"), F.try_element_at("targets", F.lit("Breath Weapon")).alias("breath"))
 
 
+#: Lines of a party of one whose leader casts on others, with deaths; for the folded state of a range.
+RANGED = f"""
+SELECT session, id, event_type, a, b, k, n,
+       CASE event_type WHEN 'click' THEN a || ': Attacks Hero'
+            WHEN 'view' THEN CASE WHEN k % 3 = 0 THEN 'Hero' ELSE b END || ': Casts ' || CASE k % 4 WHEN 0 THEN 'Haste' WHEN 1 THEN 'Stoneskin' WHEN 2 THEN 'Mirror Image' ELSE 'Dispel Magic' END || ' : ' || b
+            WHEN 'purchase' THEN CASE WHEN k % 5 = 0 THEN concat('A7ROSTER', chr(9), 'Hero') ELSE a || ': Takes ' || CAST(n AS string) || ' fire damage from Hero' END
+            WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN a || ': Death' ELSE a || ': Casting Web...' END
+            ELSE a || ': Save vs. ' || CASE WHEN k % 2 = 0 THEN 'Spell' ELSE 'Wand' END || ' : ' || CAST(n AS string) END AS text
+FROM ({_BASE}) base"""
+RANGE_FROM, RANGE_TO = 20, 320
+
+
+def fold_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded state of a range of the newest session: all sides, ages, observations, saves and who may have been summoned."""
+    found = derived(f"{RANGED} labelled", f"{sf_dir}/events.parquet", lambda: derive(_lines(spark, sf_dir, RANGED)), spark)
+    summons = spark.sql("SELECT DISTINCT 'haste' AS key, 'U' || translate(CAST(user_id AS string), '0123456789', 'abcdefghij') AS creature FROM {events} WHERE user_id % 4 = 0", events=_table(spark, sf_dir, "events"))
+    told = api.combatants(found, known_effects(spark), back_from=RANGE_FROM, back_to=RANGE_TO, summons=summons)
+    rows = reduce(DataFrame.union, [told[side].withColumn("view", F.lit(side)) for side in ("opponents", "party", "neutral")])
+    join = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",")
+    return rows.select(
+        "view", "name", "side", "is_summon", "last_seen_id", "age_ms", "stale", "casting", "last_action", "died_at_id", "also_summoned_by",
+        join("observations", "name", "category", "source", "id").alias("observations"), join("saves", "category", "count", "roll", "worst", "id").alias("saves"),
+    )
+
+
+def group_window_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of actors over the largest window, behind the newest 37 events."""
+    return api.groups(_events(spark, sf_dir), "actor", limit=api.GROUP_MOST, offset=37)["rows"].select("key", "events", "damage", "crits", "saves")
+
+
+def events_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down all events by text, found by rank."""
+    q = api.Query(sort=(("target", "asc"), ("raw", "desc")))
+    found = _events(spark, sf_dir)
+    order = api.ordering(q)
+    return api.deep_page(found, order, 50, 5000).select("session", "id", "target", "raw")
+
+
+def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of lines and kinds that one job makes in passing, while the events go elsewhere."""
+    lines, kinds = Observation("lines"), Observation("kinds")
+    done = reports.observed_kinds(classify(parse_events(reports.observed(_lines(spark, sf_dir, RULED), lines))), kinds)
+    done.write.format("noop").mode("overwrite").save()
+    rows = [(k, int(v)) for k, v in {**lines.get, **kinds.get}.items()]
+    return spark.createDataFrame(rows, "key string, n long")
+
+
+def groups_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the parts of each brand in the order of the view, numbers in them by value, with their places."""
+    named = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_type", F.col("p_size").cast("string"), "p_name").alias("name"))
+    own = Window.partitionBy("p_brand").orderBy(chains.natural(F.col("name")), "p_partkey")
+    return named.select("p_partkey", "name", F.row_number().over(own).alias("place"))
+
+
 def _party(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(f"{PARTY} verdicts", f"{sf_dir}/events.parquet", lambda: derive(_lines(spark, sf_dir, PARTY), verdicts=True), spark)
 
@@ -489,6 +544,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vote_classify, leave_one_out, normalise_text, redaction, effect_lookup, declined_anti, priority_resolution, roster_union,
         search_events, classify_all_rules, kind_summary, link_default_windows, unattributed_damage, attribution_by_detail, groups_by_spell, events_sorted_page, top_texts,
         session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts, link_streamed, archive_spells, archive_creatures,
+        fold_range, group_window_deep, events_deep_page, observed_counts, groups_in_order,
     )
 }
 
@@ -570,12 +626,54 @@ _PARTY_STATS = f"""(SELECT session, id AS ord, coalesce(last_value(CASE WHEN kin
   event_type, a AS name, k AS spell, n AS breath FROM {_PARTY_ROWS} r)"""
 _WORSE = "min(CASE WHEN FALSE THEN n END)"
 
+_FOLD_RANGE = f"""WITH e AS (
+  SELECT *, CASE event_type WHEN 'click' THEN 'attack' WHEN 'view' THEN 'spell' WHEN 'purchase' THEN CASE WHEN k % 5 = 0 THEN NULL ELSE 'damage' END WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'death' ELSE 'cast_start' END ELSE 'save' END AS kind,
+   CASE WHEN event_type = 'view' THEN CASE WHEN k % 3 = 0 THEN 'Hero' ELSE b END WHEN event_type = 'purchase' THEN 'Hero' ELSE a END AS actor,
+   CASE event_type WHEN 'click' THEN 'Hero' WHEN 'view' THEN b WHEN 'purchase' THEN a END AS target,
+   CASE k % 4 WHEN 0 THEN 'Haste' WHEN 1 THEN 'Stoneskin' WHEN 2 THEN 'Mirror Image' ELSE 'Dispel Magic' END AS spell_name,
+   CASE WHEN k % 2 = 0 THEN 'Spell' ELSE 'Wand' END AS category FROM ({RANGED}) f),
+ s AS (SELECT max(session) AS session FROM e WHERE kind IS NOT NULL),
+ bounds AS (SELECT min(id) AS low, max(id) AS high FROM e JOIN s USING (session) WHERE kind IS NOT NULL),
+ r AS (SELECT e.* FROM e JOIN s USING (session), bounds WHERE kind IS NOT NULL AND id BETWEEN high - least({RANGE_TO}, high - low) AND high - least({RANGE_FROM}, high - low)),
+ listed AS (SELECT count(*) > 0 AS yes FROM e JOIN s USING (session) WHERE kind IS NULL),
+ foes AS (SELECT DISTINCT a AS name FROM e JOIN s USING (session) WHERE kind IN ('attack', 'damage')),
+ parts AS (SELECT actor AS name, id, 0 AS role FROM r UNION ALL SELECT target, id, 1 FROM r WHERE target IS NOT NULL),
+ seen AS (SELECT name, max(id) AS last FROM parts GROUP BY name),
+ known AS (SELECT key, any_value(name) AS effect, any_value(e2.category) AS effect_category, any_value(dispellable) AS can FROM {_effects_sql()} e2 GROUP BY key),
+ cast_ AS (SELECT r.id, target AS name, effect, effect_category, can FROM r JOIN known ON known.key = lower(spell_name) WHERE kind = 'spell'),
+ ends AS (SELECT actor AS name, id, TRUE AS every FROM r WHERE kind = 'death' UNION ALL SELECT name, id, FALSE FROM cast_ WHERE effect_category = 'dispel'),
+ standing AS (SELECT name, effect, max(effect_category) AS effect_category, max(id) AS id FROM cast_ c WHERE effect_category <> 'dispel'
+   AND NOT EXISTS (SELECT 1 FROM ends x WHERE x.name = c.name AND x.id > c.id AND (x.every OR c.can)) GROUP BY name, effect),
+ obs AS (SELECT name, string_agg(concat_ws(':', effect, effect_category, 'cast', CAST(id AS VARCHAR)), ',' ORDER BY id DESC, effect DESC) AS observations FROM standing GROUP BY name),
+ rolled AS (SELECT actor AS name, category, count(*) AS c, arg_max(n, id) AS roll, min(n) AS worst, max(id) AS id FROM r WHERE kind = 'save' GROUP BY ALL),
+ saves AS (SELECT name, string_agg(concat_ws(':', category, CAST(c AS VARCHAR), CAST(roll AS VARCHAR), CAST(worst AS VARCHAR), CAST(id AS VARCHAR)), ',' ORDER BY id DESC, category DESC) AS saves FROM rolled GROUP BY name),
+ begun AS (SELECT name, arg_max(what, o) AS casting FROM (SELECT actor AS name, id * 10 AS o, 'Web' AS what FROM r WHERE kind = 'cast_start' UNION ALL SELECT actor, id * 10 + 1, '' FROM r WHERE kind = 'spell' UNION ALL SELECT name, id * 10 + 2, '' FROM ends) b GROUP BY name),
+ hasted AS (SELECT count(*) > 0 AS yes FROM r, listed WHERE listed.yes AND kind = 'spell' AND actor = 'Hero' AND spell_name = 'Haste'),
+ called AS (SELECT DISTINCT 'U' || translate(CAST(user_id AS VARCHAR), '0123456789', 'abcdefghij') AS name FROM events WHERE user_id % 4 = 0),
+ told AS (SELECT seen.name, last, CASE WHEN NOT (SELECT yes FROM listed) THEN 'neutral' WHEN seen.name = 'Hero' THEN 'party' WHEN seen.name IN (SELECT name FROM foes) THEN 'opponent' ELSE 'neutral' END AS side FROM seen)
+ SELECT CASE side WHEN 'opponent' THEN 'opponents' ELSE side END AS view, told.name, side, FALSE AS is_summon, last AS last_seen_id, 1000 * ((SELECT max(id) FROM r) - last) AS age_ms,
+  1000 * ((SELECT max(id) FROM r) - last) > 60000 AS stale, nullif(casting, '') AS casting,
+  CASE WHEN EXISTS (SELECT 1 FROM r WHERE kind = 'attack' AND actor = told.name) THEN 'attacking Hero' END AS last_action,
+  (SELECT max(id) FROM r WHERE kind = 'death' AND actor = told.name) AS died_at_id,
+  CASE WHEN side = 'opponent' AND (SELECT yes FROM hasted) AND told.name IN (SELECT name FROM called) THEN 'Haste' END AS also_summoned_by,
+  coalesce(observations, '') AS observations, coalesce(saves, '') AS saves
+ FROM told LEFT JOIN obs USING (name) LEFT JOIN saves USING (name) LEFT JOIN begun USING (name)"""
+
 ORACLE_SQL: dict[str, str] = {
     "search_events": f"""SELECT id, {_KIND} AS kind, CASE event_type WHEN 'view' THEN s WHEN 'purchase' THEN 'magic' WHEN 'signup' THEN 'Hit' WHEN 'error' THEN 'Spell' END AS detail, {_CANDIDATE} AS spell
  FROM {_LINKED} l WHERE event_type <> 'click' AND (lower(text) LIKE '%fireb_ll%' OR coalesce(lower({_CANDIDATE}), '') LIKE '%fireb_ll%')""",
     "classify_all_rules": "SELECT id, " + ", ".join(f"{_by_kind([chr(39) + x[1] + chr(39) if c == 1 else x[c] for x in KINDS_OF_LINES])} AS {n}" for c, n in enumerate(("", "kind", "actor", "target", "amount", "roll", "resisted", "detail")) if n) + f" FROM ({_BASE}) base",
     "kind_summary": f"SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind, count(*) AS n FROM ({_BASE}) base GROUP BY 1",
     "link_default_windows": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
+    "fold_range": _FOLD_RANGE,
+    "group_window_deep": f"SELECT key, events, damage, crits, saves FROM (SELECT a AS key, {_MEASURES} FROM (SELECT * FROM {_WITH_CRIT} c ORDER BY session DESC, id DESC LIMIT 1000000 OFFSET 37) w GROUP BY a) g",
+    "events_deep_page": f"""SELECT session, id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b END AS target, text AS raw FROM ({FIGHT}) f
+  ORDER BY CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b END ASC NULLS LAST, text DESC NULLS LAST, session DESC, id DESC LIMIT 50 OFFSET 5000""",
+    "observed_counts": f"""WITH k AS (SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind FROM ({_BASE}) base)
+ SELECT v.key, CASE v.key WHEN 'lines' THEN (SELECT count(*) FROM k) WHEN 'marked' THEN (SELECT count(*) FROM k) WHEN 'errors' THEN 0 WHEN 'unmarked' THEN 0 ELSE (SELECT count(*) FROM k WHERE kind = v.key) END AS n
+ FROM (VALUES {", ".join(f"('{k}')" for k in ("lines", "errors", "marked", "unmarked", *KINDS))}) v(key)""",
+    "groups_in_order": """SELECT p_partkey, name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY regexp_replace(regexp_replace(name, '([0-9]+)', '000000000000\\1', 'g'), '0*([0-9]{12})', '\\1', 'g'), p_partkey) AS INTEGER) AS place
+ FROM (SELECT p_partkey, p_brand, concat_ws(' ', p_type, CAST(p_size AS VARCHAR), p_name) AS name FROM part) p""",
     "archive_spells": """SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS level, CASE p_size % 6 WHEN 0 THEN 'special' WHEN 1 THEN 'wizard' WHEN 2 THEN 'priest' WHEN 3 THEN 'psionic' WHEN 4 THEN 'innate' ELSE 'bardsong' END AS type,
   CASE p_size % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'abjurer' WHEN 2 THEN 'conjurer' WHEN 3 THEN 'diviner' WHEN 4 THEN 'enchanter' WHEN 5 THEN 'illusionist' WHEN 6 THEN 'invoker' WHEN 7 THEN 'necromancer' WHEN 8 THEN 'transmuter' ELSE 'generalist' END AS school,
   CAST(3 AS INTEGER) AS feature_reads, CAST(1 AS INTEGER) AS n_features,

@@ -2,11 +2,13 @@
 
 import random
 
-from pyspark.sql import Window
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from strandline.functions.rules import classify
 from strandline.operators import sides
 from strandline.operators.links import link_events
+from strandline.plans import api, chains, reports
 from strandline.sources import live, logs
 from strandline.streaming.live import link_stream
 
@@ -137,3 +139,41 @@ def test_waves_along_a_chain(spark):
         roster = spark.createDataFrame([("s", "n0")], "session string, name string")
         got = [sorted(tuple(r) for r in sides.resolve_sides(events, roster, alone=most).collect()) for most in (10**9, 0)]
         assert got[0] == got[1] and len(got[0]) > 5
+
+
+def test_pages_by_rank(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("abc"), i, i * rnd.choice([1, 1, 3]) - 40, "k", None, rnd.choice([None, "x", "y"]), None) for i in range(400)]
+    events = spark.createDataFrame(rows, EVENT)
+    order = [F.col("target").asc_nulls_last(), F.col("session").desc(), F.col("ord").desc()]
+    everything = [tuple(r) for r in events.orderBy(*order).collect()]
+    for limit, offset in ((10, 0), (25, 190), (50, 390), (5, 500)):
+        assert [tuple(r) for r in api.deep_page(events, order, limit, offset).collect()] == everything[offset : offset + limit]
+    unique = events.dropDuplicates(["session", "id"])
+    ranked = sorted((tuple(r) for r in unique.collect()), key=lambda r: (r[0], r[2]), reverse=True)
+    for limit, offset, span in ((1, 0, 7), (100, 37, 16), (1000, 20, 64), (30, 10**6, 64), (100, 3, 1 << 16)):
+        got = api.newest(unique, limit, offset, span)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(ranked[offset : offset + limit], key=str)
+
+
+def test_counts_in_passing(spark, tmp_path):
+    lines = ["A7LOG\t1\t1\t1\t\t\tA: Attacks B", "noise", "LUA: LUA ERROR: x A7LOG\t", "A7LOG\t2\t1\t1\t\t\tcapture resynced: lost", "A7LOG\t3\t1\t1\t\t\tA: Death"]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session string, ord long, line string")
+    raw, kinds = Observation("raw"), Observation("kinds")
+    told = reports.observed_kinds(classify(logs.events(reports.observed(df, raw))), kinds)
+    told.write.parquet(str(tmp_path / "out"))
+    assert raw.get == {"lines": 5, "errors": 1, "marked": 3, "unmarked": 1}
+    assert {k: v for k, v in kinds.get.items() if v} == {"attack": 1, "resync": 1, "death": 1}
+    df.write.parquet(str(tmp_path / "in"))
+    stream = reports.observed_kinds(classify(logs.events(reports.observed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "raw"))), "kinds")
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p["observedMetrics"] for p in query.recentProgress if p["numInputRows"]]
+    assert seen[0]["raw"]["errors"] == 1 and seen[0]["kinds"]["resync"] == 1
+
+
+def test_natural_order(spark):
+    want = ["a", "A", "á", "a 2", "a 10", "b9", "b10", "b10a", "É", "z"]
+    mixed = want[::-1]
+    rows = spark.createDataFrame([(w,) for w in mixed], "k string").select("k", chains.natural(F.col("k")).alias("key")).orderBy("key")
+    assert [r.k for r in rows.collect()] == want
