@@ -72,17 +72,17 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({**{c: pd.Series(v, dtype=object) for c, v in texts.items()}, "summon": pd.Series(summon, dtype=bool)})
 
 
-def _spoke(events: DataFrame) -> DataFrame:
+def spoke(events: DataFrame) -> DataFrame:
     return events.where("kind = 'dialogue' and actor is not null").select("session", F.col("actor").alias("name")).distinct()
 
 
-def _evidence(edges: DataFrame, party: DataFrame, spoke: DataFrame) -> DataFrame:
+def evidence(edges: DataFrame, party: DataFrame, heard: DataFrame) -> DataFrame:
     """session, what, a, b, n, first_ord: all that tells sides, in one table."""
     nothing, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     parts = [
         edges.select("session", F.lit("edge").alias("what"), "a", "b", "n", F.col("first_ord").cast("long").alias("first_ord")),
         party.select("session", F.lit("member").alias("what"), F.col("name").alias("a"), nothing.alias("b"), F.col("rostered").cast("long").alias("n"), zero.alias("first_ord")),
-        spoke.select("session", F.lit("spoke").alias("what"), F.col("name").alias("a"), nothing.alias("b"), zero.alias("n"), zero.alias("first_ord")),
+        heard.select("session", F.lit("spoke").alias("what"), F.col("name").alias("a"), nothing.alias("b"), zero.alias("n"), zero.alias("first_ord")),
     ]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -145,22 +145,27 @@ def resolve_sides(events: DataFrame, roster: DataFrame | None = None, alone: int
     """
     work = Work(events.sparkSession)
     try:
-        evidence = work.stored(_evidence(hostile_edges(events), members(events, roster), _spoke(events)))
-        large = evidence.where("what = 'edge'").groupBy("session").agg(F.count("*").alias("pairs")).where(F.col("pairs") > alone).select("session")
-        rest = evidence.join(large, "session", "left_anti")
-        found = rest.groupBy("session").applyInPandas(_settle, "session string, name string, side string, summon boolean")
-        if not large.isEmpty():
-            told = work.stored(evidence.join(large, "session", "left_semi"))
-            party = told.where("what = 'member'").select("session", F.col("a").alias("name"), (F.col("n") > 0).alias("rostered"))
-            waved = settle_waves(told.where("what = 'edge'"), party, work)
-            heard = party.where("rostered").select("session", "name").union(told.where("what = 'spoke'").select("session", F.col("a").alias("name"))).distinct()
-            waved = waved.join(heard.withColumn("heard", F.lit(True)), ["session", "name"], "left")
-            found = found.union(waved.select("session", "name", "side", ((F.col("side") == "party") & F.col("heard").isNull()).alias("summon")))
-        return work.kept(found)
+        found = work.stored(evidence(hostile_edges(events), members(events, roster), spoke(events)))
+        return work.kept(settled(found, alone, work))
     finally:
         work.drop()
 
 
+def settled(found: DataFrame, alone: int = ALONE, work: Work | None = None) -> DataFrame:
+    """session, name, side, summon that a table of ``evidence`` tells; without ``work`` in one task a session."""
+    large = found.where("what = 'edge'").groupBy("session").agg(F.count("*").alias("pairs")).where(F.col("pairs") > alone).select("session")
+    schema = "session string, name string, side string, summon boolean"
+    if work is None or large.isEmpty():
+        return found.groupBy("session").applyInPandas(_settle, schema)
+    small = found.join(large, "session", "left_anti").groupBy("session").applyInPandas(_settle, schema)
+    told = work.stored(found.join(large, "session", "left_semi"))
+    party = told.where("what = 'member'").select("session", F.col("a").alias("name"), (F.col("n") > 0).alias("rostered"))
+    waved = settle_waves(told.where("what = 'edge'"), party, work)
+    heard = party.where("rostered").select("session", "name").union(told.where("what = 'spoke'").select("session", F.col("a").alias("name"))).distinct()
+    waved = waved.join(heard.withColumn("heard", F.lit(True)), ["session", "name"], "left")
+    return small.union(waved.select("session", "name", "side", ((F.col("side") == "party") & F.col("heard").isNull()).alias("summon")))
+
+
 def label(events: DataFrame, sides: DataFrame) -> DataFrame:
     """Events with actor_side, target_side (neutral without evidence, null without a name), summon and target_summon."""
     out = events.drop("actor_side", "target_side", "summon", "target_summon")

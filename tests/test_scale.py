@@ -10,6 +10,8 @@ from strandline.operators import sides
 from strandline.operators.links import link_events
 from strandline.plans import api, chains, reports
 from strandline.sources import live, logs
+from strandline.operators.upsert import last_write_wins
+from strandline.streaming import settle
 from strandline.streaming.live import link_stream
 
 EVENT = "session string, ord long, id long, kind string, actor string, target string, detail string"
@@ -177,3 +179,35 @@ def test_natural_order(spark):
     mixed = want[::-1]
     rows = spark.createDataFrame([(w,) for w in mixed], "k string").select("k", chains.natural(F.col("k")).alias("key")).orderBy("key")
     assert [r.k for r in rows.collect()] == want
+
+
+def test_batches_settle_as_a_full_derivation(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(settle, "SPAN", 16)
+    rnd = random.Random(8)
+    lines, party = [], ["Hero", "Imoen"]
+    for i in range(240):
+        session = rnd.choice(["s", "t"])
+        a, b = (rnd.choice(party + [f"Orc{'abcdefgh'[k]}" for k in range(8)] + [f"Wolf{'abcd'[k]}" for k in range(4)]) for _ in "ab")
+        if i < 120 and "Wolf" in a + b:
+            a, b = "Wolfa", "Wolfb"  # a pack that meets nobody else at first
+        text = rnd.choice([f"{a}: Attacks {b}"] * 6 + [f"{a}: Hello."] + [f"{b}: Takes 3 fire damage from {a}"] * 2)
+        lines.append((session, i, f"A7LOG\t{i // 2}\t1\t1\t\t\t{text}" if i % 37 else f"A7LOG\t{i}\t1\t1\t\t\tAuto-Paused: x"))
+        if i in (5, 130):
+            lines.append((session, 1000 + i, f"A7ROSTER\t{'Hero' if i == 5 else 'Wolfa'}"))
+    schema = "session string, ord long, line string"
+    folder, done = str(tmp_path / "table"), []
+    flat = link_events(classify(logs.events(spark.createDataFrame(lines, schema)))).cache()
+    cuts = [0, 100, 140, 160, 240]
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        listed = [(s, l.split("\t")[1]) for s, o, l in lines if l.startswith("A7ROSTER") and low <= o - 1000 < high]
+        done.append(settle.settle_batch(flat.where(f"ord >= {low} and ord < {high}"), spark.createDataFrame(listed, "session string, name string"), folder, n))
+    again = settle.settle_batch(flat.where(f"ord >= {cuts[-2]}"), spark.createDataFrame([], "session string, name string"), folder, len(cuts) - 2)  # a batch tried twice
+    roster = spark.createDataFrame([(s, l.split("\t")[1]) for s, o, l in lines if l.startswith("A7ROSTER")], "session string, name string")
+    want = last_write_wins(sides.label(flat, sides.resolve_sides(flat, roster)), ["session", "id"], ["ord"])
+    columns = ["session", "id", "raw", "actor_side", "target_side", "summon", "target_summon"]
+    assert sorted(map(str, spark.read.parquet(f"{folder}/events").select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    assert [d.added for d in done] == [100, 40, 20, 80] and done[0].rewritten == 0 and again.added == 80
+    assert all(0 < d.settled for d in done) and done[2].changed <= done[2].settled + 2 and done[2].rewritten < 140
+    # a batch about names apart from all others settles and rewrites nothing else
+    apart = link_events(classify(logs.events(spark.createDataFrame([("s", 5000, "A7LOG\t5000\t1\t1\t\t\tRata: Attacks Ratb")], schema))))
+    assert settle.settle_batch(apart, spark.createDataFrame([], "session string, name string"), folder, 9) == settle.Done(2, 0, 0, 1)
