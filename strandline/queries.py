@@ -22,7 +22,7 @@ from strandline.operators.fold import casting, clears, fold_state, observations,
 from strandline.operators.knowledge import _effect_rows, declined, hand_effects, keyed, known_effects, with_effect
 from strandline.operators.links import CRITICAL_WITHIN, SPELL_WITHIN, TARGET_WITHIN, link_events, save_targets
 from strandline.operators.upsert import last_write_wins
-from strandline.plans import api, chains, reports
+from strandline.plans import api, chains, reports, search
 from strandline.schema import KINDS
 from strandline.sources import archives, binary
 from strandline.sources.binary import resolved as resolve_sources
@@ -211,6 +211,18 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "kind", "detail", "spell")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage done by one actor to another, found by their names through the table of trigrams."""
+    folder = shared_folder(spark)
+    try:
+        laid = search.lay_out(_events(spark, sf_dir), f"{folder}/events", span=64)
+        posted = derived(f"{FIGHT} trigrams", f"{sf_dir}/events.parquet", lambda: search.postings(laid), spark)
+        found = search.search(laid, posted, "damage from Ubc")
+        return materialised(found.select("session", "id", "kind", "actor", "raw"))
+    finally:
+        dropped(spark, folder)
+
+
 def classify_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all kinds that there is a rule for, and of those for which there is none."""
     done = classify(parse_events(_lines(spark, sf_dir, RULED)))
@@ -544,7 +556,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vote_classify, leave_one_out, normalise_text, redaction, effect_lookup, declined_anti, priority_resolution, roster_union,
         search_events, classify_all_rules, kind_summary, link_default_windows, unattributed_damage, attribution_by_detail, groups_by_spell, events_sorted_page, top_texts,
         session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts, link_streamed, archive_spells, archive_creatures,
-        fold_range, group_window_deep, events_deep_page, observed_counts, groups_in_order,
+        fold_range, group_window_deep, events_deep_page, observed_counts, groups_in_order, search_index,
     )
 }
 
@@ -666,6 +678,7 @@ ORACLE_SQL: dict[str, str] = {
     "kind_summary": f"SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind, count(*) AS n FROM ({_BASE}) base GROUP BY 1",
     "link_default_windows": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
     "fold_range": _FOLD_RANGE,
+    "search_index": f"SELECT session, id, 'damage' AS kind, a AS actor, text AS raw FROM ({FIGHT}) f WHERE event_type = 'purchase' AND lower(text) LIKE '%damage from ubc%'",
     "group_window_deep": f"SELECT key, events, damage, crits, saves FROM (SELECT a AS key, {_MEASURES} FROM (SELECT * FROM {_WITH_CRIT} c ORDER BY session DESC, id DESC LIMIT 1000000 OFFSET 37) w GROUP BY a) g",
     "events_deep_page": f"""SELECT session, id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b END AS target, text AS raw FROM ({FIGHT}) f
   ORDER BY CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b END ASC NULLS LAST, text DESC NULLS LAST, session DESC, id DESC LIMIT 50 OFFSET 5000""",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandline.functions.rules import classify
 from strandline.operators import sides
 from strandline.operators.links import link_events
-from strandline.plans import api, chains, reports
+from strandline.functions.text import contains_folded
+from strandline.plans import api, chains, reports, search
 from strandline.sources import live, logs
 from strandline.operators.upsert import last_write_wins
 from strandline.streaming import settle
@@ -211,3 +212,18 @@ def test_batches_settle_as_a_full_derivation(spark, tmp_path, monkeypatch):
     # a batch about names apart from all others settles and rewrites nothing else
     apart = link_events(classify(logs.events(spark.createDataFrame([("s", 5000, "A7LOG\t5000\t1\t1\t\t\tRata: Attacks Ratb")], schema))))
     assert settle.settle_batch(apart, spark.createDataFrame([], "session string, name string"), folder, 9) == settle.Done(2, 0, 0, 1)
+
+
+def test_search_reads_spans_with_all_trigrams(spark, tmp_path):
+    rnd = random.Random(12)
+    texts = ["Fireball hits", "fire  ball", "BALL of fire", "x", None, "a_b%c", "Iceball"]
+    rows = [(rnd.choice("st"), i, i, "status", rnd.choice([None, "Ann", "Bob"]), None, texts[min(rnd.randrange(7), i // 30)]) for i in range(200)]
+    events = spark.createDataFrame(rows, EVENT)
+    laid = search.lay_out(events, str(tmp_path / "e"), span=16)
+    posted = search.postings(laid, ("actor", "detail")).cache()
+    for pattern in ("fireball", "FIRE%ball", "ball", "x", "ire__all", "nothing of it", "ann", "", "é"):
+        got = search.search(laid, posted, pattern, ("actor", "detail"))
+        want = events.where(F.coalesce(contains_folded(F.col("actor"), pattern), F.lit(False)) | F.coalesce(contains_folded(F.col("detail"), pattern), F.lit(False)))
+        assert sorted(r.ord for r in got.collect()) == sorted(r.ord for r in want.collect()), pattern
+    assert 0 < search.candidates(posted, "iceball").count() < laid.select("session", "span").distinct().count()
+    assert search.candidates(posted, "a%b_") is None
