@@ -48,7 +48,7 @@ BLOCK_BYTES, COMPACT_ROWS = 1 << 25, 1 << 19
 #: Postings of so many tasks meet in one place (as a power of two), whatever their term; those of other tasks meet elsewhere.
 WING_BITS = 12
 #: Terms in a chunk and sources on a side of a tile, about.
-CHUNK, TILE = 1 << 14, 256
+CHUNK, TILE = 1 << 11, 256
 #: Rates held at once while differences are added up.
 CELLS = 1 << 20
 SCALE, SMOOTH = 1_000_000_000, 5

@@ -55,7 +55,7 @@ def rows_of(seed, n, sources, words):
     return out
 
 
-@pytest.mark.parametrize("chunk, tile", [(1 << 14, 256), (7, 2), (3, 3)])
+@pytest.mark.parametrize("chunk, tile", [(1 << 11, 256), (7, 2), (3, 3)])
 def test_against_loops(spark, chunk, tile, monkeypatch):
     monkeypatch.setattr(op, "CELLS", 40)
     monkeypatch.setattr(op, "COMPACT_ROWS", 50)
