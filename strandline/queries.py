@@ -229,6 +229,42 @@ def classify_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "kind", "actor", "target", "amount", "roll", "resisted", "detail")
 
 
+#: Prefixes of a line as SQL, and whether an event after them counts.
+PREFIXES = [("''", True), ("'2024-05-06 07:08:09.' || CAST(100 + id % 900 AS string) || ' LUA: '", True), ("'[x] LUA: '", True), ("'2024-05-06 07:08:09.5 '", False), ("' 2024-05-06 07:08:09.5 LUA: '", True), ("'^D' || chr(8) || chr(8)", True)]
+#: Status lines of a creature as SQL, the name of the effect that is seen (null where nothing lasting is said), and its category.
+STATUSES = [
+    ("a || ': Hasted'", "'Haste'", "'buff'"), ("a || ': Detecting Illusions'", "", ""), ("a || ': Healed 7'", "", ""), ("a || ': Quick Save failed'", "", ""), ("a || ': Spell Caster Level 9'", "", ""),
+    ("a || ': Shimmering'", "'Shimmering'", "'unknown'"), ("a || ': Trapped in amber'", "'Trapped in amber'", "'unknown'"), ("a || ': Trap: sprung'", "", ""), ("a || ': one two three four five six'", "'one two three four five six'", "'unknown'"),
+    ("a || ': one two three four five six seven'", "", ""), ("a || ': this status line is longer than forty eight chars'", "", ""), ("a || ': well, so'", "", ""),
+    ("'Your ' || b || ': Hasted'", "", ""), ("'The Party Has: Hasted'", "", ""), ("'Hint: Hasted'", "", ""), ("'Hinter ' || b || ': Hasted'", "'Haste'", "'buff'"),
+]
+STATED = f"SELECT session, id, a, b, k, n, {_by_kind([x[0] for x in STATUSES])} AS text FROM ({_BASE}) base"
+PREFIXED = f"SELECT session, id, a, b, k, n, {_by_kind([x[0] for x in PREFIXES])} AS prefix, CASE WHEN id % 7 = 0 THEN ' ' ELSE CAST(id * 3 AS string) || 'x' END AS ticks FROM ({_BASE}) base"
+
+
+def wire_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events behind prefixes of all sorts, with their clocks; numbers are read as far as they go."""
+    rows = spark.sql(PREFIXED.replace("FROM events", "FROM {events}"), events=spread(_table(spark, sf_dir, "events")))
+    wire = F.concat("prefix", F.concat_ws("\t", F.lit("A7LOG"), F.concat(F.lit(" "), F.col("id").cast("string")), "ticks", F.lit(""), F.lit("day 1"), F.lit("world"), F.lit("x"), F.lit("y")), F.lit("\r"))
+    found = parse_events(rows.select("session", F.col("id").alias("ord"), wire.alias("line")))
+    return found.select("session", "id", "wall_clock", "game_ticks", "clock_ms", "game_time", "screen", "raw")
+
+
+def lasting_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What status lines say of creatures: passing reports, sentences and broadcasts say nothing."""
+    found = _events(spark, sf_dir, STATED)
+    seen = observations(resolved(found, known_effects(spark)))
+    return seen.groupBy("name", "category", "source").agg(F.count("*").alias("n"), F.countDistinct("session", "creature").alias("creatures"))
+
+
+def page_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with a page by a column that is null in places: matches, hidden rows, gaps in scope; and its rows."""
+    found = _events(spark, sf_dir, RULED)
+    told = api.events_page(found, api.Query(without_kinds=("pause", "other"), sort=(("resisted", "asc"), ("id", "desc"))), limit=30)
+    counts = [F.lit(told[c]).cast("long").alias(c) for c in ("total", "hidden_empty", "gaps", "limit")]
+    return told["rows"].select("session", "id", "resisted", F.lit(told["empty_column"]).alias("empty_column"), *counts)
+
+
 def kind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.capture_summary(classify(parse_events(_lines(spark, sf_dir, RULED))))
 
@@ -556,7 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vote_classify, leave_one_out, normalise_text, redaction, effect_lookup, declined_anti, priority_resolution, roster_union,
         search_events, classify_all_rules, kind_summary, link_default_windows, unattributed_damage, attribution_by_detail, groups_by_spell, events_sorted_page, top_texts,
         session_bounds, coverage_by_category, roster_names, stats_targets, side_labels, save_verdicts, link_streamed, archive_spells, archive_creatures,
-        fold_range, group_window_deep, events_deep_page, observed_counts, groups_in_order, search_index,
+        fold_range, group_window_deep, events_deep_page, observed_counts, groups_in_order, search_index, wire_prefixes, lasting_statuses, page_accounting,
     )
 }
 
@@ -678,6 +714,15 @@ ORACLE_SQL: dict[str, str] = {
     "kind_summary": f"SELECT {_by_kind([chr(39) + x[1] + chr(39) for x in KINDS_OF_LINES])} AS kind, count(*) AS n FROM ({_BASE}) base GROUP BY 1",
     "link_default_windows": f"SELECT session, id, target, crit AS critical, spell, candidate AS spell_candidate FROM {_DENSE_ROWS} d",
     "fold_range": _FOLD_RANGE,
+    "wire_prefixes": f"""SELECT session, id, CASE WHEN id % {len(PREFIXES)} = 1 THEN '2024-05-06 07:08:09.' || CAST(100 + id % 900 AS VARCHAR) END AS wall_clock, CASE WHEN ticks <> ' ' THEN id * 3 END AS game_ticks, CAST(NULL AS BIGINT) AS clock_ms,
+  'day 1' AS game_time, 'world' AS screen, 'x y' AS raw FROM ({PREFIXED}) p WHERE id % {len(PREFIXES)} NOT IN ({", ".join(str(i) for i, x in enumerate(PREFIXES) if not x[1])})""",
+    "lasting_statuses": f"""SELECT name, category, 'effect' AS source, count(*) AS n, count(DISTINCT (session, creature)) AS creatures FROM (
+  SELECT session, {_by_kind([x[1] for x in STATUSES])} AS name, {_by_kind([x[2] for x in STATUSES])} AS category, CASE WHEN text LIKE 'Hinter %' THEN 'Hinter ' || b ELSE a END AS creature FROM ({STATED}) s) t
+ WHERE name IS NOT NULL GROUP BY name, category""",
+    "page_accounting": f"""WITH r AS (SELECT session, id, {_by_kind(["'" + x[1] + "'" for x in KINDS_OF_LINES])} AS kind, {_by_kind([x[6] for x in KINDS_OF_LINES])} AS resisted FROM ({_BASE}) base),
+ m AS (SELECT * FROM r WHERE kind NOT IN ('pause', 'other'))
+ SELECT session, id, resisted, 'resisted' AS empty_column, (SELECT count(resisted) FROM m) AS total, (SELECT count(*) - count(resisted) FROM m) AS hidden_empty, (SELECT count(*) FROM r WHERE kind = 'resync') AS gaps, CAST(30 AS BIGINT) AS "limit"
+ FROM m WHERE resisted IS NOT NULL ORDER BY resisted, id DESC LIMIT 30""",
     "search_index": f"SELECT session, id, 'damage' AS kind, a AS actor, text AS raw FROM ({FIGHT}) f WHERE event_type = 'purchase' AND lower(text) LIKE '%damage from ubc%'",
     "group_window_deep": f"SELECT key, events, damage, crits, saves FROM (SELECT a AS key, {_MEASURES} FROM (SELECT * FROM {_WITH_CRIT} c ORDER BY session DESC, id DESC LIMIT 1000000 OFFSET 37) w GROUP BY a) g",
     "events_deep_page": f"""SELECT session, id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN b END AS target, text AS raw FROM ({FIGHT}) f
