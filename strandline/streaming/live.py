@@ -67,8 +67,8 @@ def derive_live(lines: DataFrame, path: str, checkpoint: str, verdicts: bool = F
     return lines.writeStream.foreachBatch(touched).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-LINKED = "session string, ord long, id long, kind string, actor string, target string, detail string, critical int, spell string, spell_candidate string"
-_NEEDED = ["session", "ord", "id", "kind", "actor", "target", "detail"]
+#: What the linker adds to an event, or fills.
+_LINKS = {"target": "string", "critical": "int", "spell": "string", "spell_candidate": "string"}
 
 
 def _before(marks: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def link_actor(rows: pd.DataFrame, last: dict[str, tuple | None]) -> pd.DataFram
         critical=critical.astype(np.int32),
         spell=np.where(np.isin(lower.astype(str), SPELL_DAMAGE), candidate, None),
         spell_candidate=candidate,
-    )[[f.split()[0] for f in LINKED.split(", ")]]
+    )
 
 
 class ActorLinker(StatefulProcessor):
@@ -126,6 +126,9 @@ class ActorLinker(StatefulProcessor):
 
     ACTS = {"armed": "id long", "cast": "id long, value string", "aimed": "id long, value string"}
 
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = {name: handle.getValueState(name, schema) for name, schema in self.ACTS.items()}
 
@@ -133,7 +136,7 @@ class ActorLinker(StatefulProcessor):
         before = {name: (tuple(state.get()) + (None,))[:2] if state.exists() else None for name, state in self.held.items()}
         last = dict(before)
         # batches of a key come in no order of their own; a micro-batch's rows of one actor are put in order here
-        yield link_actor(pd.concat(list(rows)), last)
+        yield link_actor(pd.concat(list(rows)), last)[self.columns]
         for name, state in self.held.items():
             if last[name] is None and before[name] is not None:
                 state.clear()
@@ -150,8 +153,10 @@ def link_stream(events: DataFrame) -> DataFrame:
     Rows without an actor link with nothing and pass by.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    needed = events.select(*_NEEDED)
-    named = needed.where("actor is not null").groupBy("session", "actor").transformWithStateInPandas(ActorLinker(), LINKED, "Append", "None")
+    kept = [f for f in events.schema.fields if f.name not in _LINKS]
+    names = [*(f.name for f in kept), *_LINKS]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} {kind}" for c, kind in _LINKS.items())])
+    named = events.where("actor is not null").groupBy("session", "actor").transformWithStateInPandas(ActorLinker(names), schema, "Append", "None")
     nothing = F.lit(None).cast("string")
-    rest = needed.where("actor is null").select(*_NEEDED, F.lit(0).alias("critical"), nothing.alias("spell"), nothing.alias("spell_candidate"))
+    rest = events.where("actor is null").select(*[f.name for f in kept], "target", F.lit(0).alias("critical"), nothing.alias("spell"), nothing.alias("spell_candidate"))
     return named.union(rest)

@@ -18,11 +18,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from strandline.functions.rules import classify
 from strandline.operators import sides
 from strandline.operators.upsert import last_write_wins
+from strandline.sources.logs import events as parse_events
+from strandline.sources.logs import roster as parse_roster
 from strandline.sources.tables import Work, stamp
-from strandline.streaming.live import conform_with_order
+from strandline.streaming.live import conform_with_order, link_stream
 
 SPAN = 1 << 12
 _SIDES = "session string, name string, side string, summon boolean, batch long"
@@ -122,3 +126,21 @@ def _write_events(events: DataFrame, changed: DataFrame, every: DataFrame, folde
     writer(full.where("_full")).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     writer(full.where("_full is null")).mode("append").parquet(path)
     return held.count(), events.count()
+
+
+def settle_live(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the table below ``folder`` up to date with a stream of ``read_live_lines``: what is new is linked and settled, nothing derived again."""
+    linked = link_stream(classify(parse_events(lines.drop("file"))))
+    # roster lines go along as rows of a kind of their own
+    listed = parse_roster(lines).select("session", "ord", F.lit("roster").alias("kind"), F.col("name").alias("target"))
+    both = linked.unionByName(listed, allowMissingColumns=True)
+
+    def come(batch: DataFrame, number: int) -> None:
+        work = Work(batch.sparkSession)
+        try:
+            told = work.stored(batch)
+            settle_batch(told.where("kind != 'roster'"), told.where("kind = 'roster'").select("session", F.col("target").alias("name")), folder, number)
+        finally:
+            work.drop()
+
+    return both.writeStream.foreachBatch(come).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ from strandline.plans import api, chains, reports, search
 from strandline.sources import live, logs
 from strandline.operators.upsert import last_write_wins
 from strandline.streaming import settle
-from strandline.streaming.live import link_stream
+from strandline.streaming.live import derive, link_stream
 
 EVENT = "session string, ord long, id long, kind string, actor string, target string, detail string"
 
@@ -227,3 +227,20 @@ def test_search_reads_spans_with_all_trigrams(spark, tmp_path):
         assert sorted(r.ord for r in got.collect()) == sorted(r.ord for r in want.collect()), pattern
     assert 0 < search.candidates(posted, "iceball").count() < laid.select("session", "span").distinct().count()
     assert search.candidates(posted, "a%b_") is None
+
+
+def test_live_lines_are_settled(spark, tmp_path):
+    rnd = random.Random(4)
+    names = ["Hero", "Orca", "Orcb", "Wolf", "Ann"]
+    shapes = ["{a}: Attacks {b}", "{a}: Critical Hit", "{b}: Takes 5 magic damage from {a}", "{a}: Casts Web : {b}", "{a}: Weapon Ineffective.", "{a}: Hello!", "no speaker"]
+    lines = ["A7ROSTER\tHero"] + [f"A7LOG\t{i}\t{i}\t\t\t\t" + rnd.choice(shapes).format(a=rnd.choice(names), b=rnd.choice(names)) for i in range(1, 160)]
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for part in (lines[:70], lines[70:]):
+        with (folder / "s.log").open("a") as f:
+            f.write("".join(f"{x}\n" for x in part))
+        settle.settle_live(logs.read_live_lines(spark, str(folder)), str(tmp_path / "table"), str(tmp_path / "c")).awaitTermination()
+    whole = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session string, ord long, line string")
+    columns = ["session", "id", "game_ticks", "clock_ms", "kind", "actor", "target", "amount", "detail", "critical", "spell", "spell_candidate", "actor_side", "target_side", "summon", "target_summon", "raw"]
+    got, want = (sorted(map(str, df.select(*columns).collect())) for df in (spark.read.parquet(str(tmp_path / "table" / "events")), derive(whole)))
+    assert got == want and len(got) == 159
