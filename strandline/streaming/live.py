@@ -71,92 +71,109 @@ def derive_live(lines: DataFrame, path: str, checkpoint: str, verdicts: bool = F
 _LINKS = {"target": "string", "critical": "int", "spell": "string", "spell_candidate": "string"}
 
 
-def _before(marks: np.ndarray) -> np.ndarray:
-    """For each row the last marked row before it, -1 where there is none."""
-    last = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1)) if len(marks) else np.zeros(0, np.int64)
-    return np.concatenate([[-1], last[:-1]]).astype(np.int64)[: len(marks)]
+#: Parts of a session's actors, by hash; the linker's state and its calls are by part, however many actors there are.
+ACTOR_PARTS = 64
+#: What is kept of the acts that later rows link with.
+_HELD = ("actor", "act", "id", "value")
 
 
-def link_actor(rows: pd.DataFrame, last: dict[str, tuple | None]) -> pd.DataFrame:
-    """Link the rows of one actor of a session, in any order; ``last`` has the acts before them and then those after them.
+def link_actors(rows: pd.DataFrame, held: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+    """Link rows of any number of actors of a session, in any order, all at once; also the acts held after them.
 
-    ``armed`` is the id of a critical hit that no damage has used up, ``cast`` the id and
-    name of the last spell, ``aimed`` the id and target of the last attack.
+    ``held`` has the acts before the rows as (actor, act, id, value): ``armed`` a critical
+    hit that no damage has used up, ``cast`` the last spell with its name, ``aimed`` the
+    last attack with its target.  They stand before their actor's rows like rows of their
+    own.  Rows without an actor link with nothing.
     """
-    rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
-    kind, ids = rows["kind"].to_numpy(object), rows["id"].to_numpy(np.int64)
-    target, detail = (rows[c].astype(object).where(rows[c].notna(), None).to_numpy(object) for c in ("target", "detail"))
+    old = pd.DataFrame(held, columns=_HELD)
+    n, m = len(old), len(old) + len(rows)
+    whole = lambda own, given: np.concatenate([own, given.astype(object).where(given.notna(), None).to_numpy(object)])
+    actor = whole(old["actor"].to_numpy(object), rows["actor"])
+    code = pd.factorize(actor)[0]
+    place = np.concatenate([np.zeros(n, np.int64), rows["ord"].to_numpy()])
+    order = np.lexsort((place, np.arange(m) >= n, code))
+    act = np.concatenate([old["act"].to_numpy(object), np.full(len(rows), None, object)])[order]
+    none, actor, code = np.full(n, None, object), actor[order], code[order]
+    kind, target, detail = (whole(none, rows[c])[order] for c in ("kind", "target", "detail"))
+    value = np.concatenate([old["value"].to_numpy(object), np.full(len(rows), None, object)])[order]
+    ids = np.concatenate([old["id"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)])[order]
     lower = np.array([d.lower() if d is not None else "" for d in detail], dtype=object)
     has = lambda values: np.array([v is not None for v in values], dtype=bool)
-    damage = kind == "damage"
+    named = code >= 0
+    damage = named & (kind == "damage")
     acts = {"armed": (kind == "critical") & (lower == "hit"), "cast": (kind == "spell") & has(detail), "aimed": (kind == "attack") & has(target)}
-    told = {"armed": np.array([None] * len(rows), object), "cast": detail, "aimed": target}
-
-    def seen(name: str) -> tuple[np.ndarray, np.ndarray]:
-        """Id and value of the last such act before each row; the id is out of reach where there is none."""
-        at, held = _before(acts[name]), last.get(name)
-        none = np.iinfo(np.int64).min // 2
-        return np.where(at >= 0, ids[at], held[0] if held else none), np.where(at >= 0, told[name][at], held[1] if held else None)
-
-    hurt = _before(damage)
-    armed_at, (armed, _) = _before(acts["armed"]), seen("armed")
-    critical = damage & (ids - armed <= CRITICAL_WITHIN) & (hurt <= armed_at) & ((hurt < armed_at) | (armed_at == -1))
-    (cast, spell), (aimed, aim) = seen("cast"), seen("aimed")
-    candidate = np.where(damage & (ids - cast <= SPELL_WITHIN), spell, None)
-    filled = (kind == "immune") & ~has(target) & (ids - aimed <= TARGET_WITHIN)
-    for name in ("cast", "aimed"):
-        if acts[name].any():
-            i = int(np.flatnonzero(acts[name])[-1])
-            last[name] = int(ids[i]), told[name][i]
-    newest = [int(np.flatnonzero(m)[-1]) if m.any() else -1 for m in (acts["armed"], damage)]
-    if newest[0] > newest[1]:
-        last["armed"] = int(ids[newest[0]]), None
-    elif newest[1] >= 0:
-        last["armed"] = None
-    return rows.assign(
-        target=np.where(filled, aim, target),
-        critical=critical.astype(np.int32),
-        spell=np.where(np.isin(lower.astype(str), SPELL_DAMAGE), candidate, None),
-        spell_candidate=candidate,
+    acts = {name: named & marks | (act == name) for name, marks in acts.items()}
+    told = {"armed": np.full(m, None, object), "cast": np.where(act == "cast", value, detail), "aimed": np.where(act == "aimed", value, target)}
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if m else np.zeros(0, np.int64)
+    first = np.repeat(starts, np.diff(np.append(starts, m)))
+
+    def upto(marks: np.ndarray) -> np.ndarray:
+        """For each row the last marked row of its actor up to it, -1 where there is none."""
+        last = np.maximum.accumulate(np.where(marks, np.arange(m), -1))
+        return np.where(last >= first, last, -1)
+
+    last = {name: upto(marks) for name, marks in {**acts, "damage": damage}.items()}
+    # the same before each row; the row before the first one is another actor's
+    before = {name: np.where(np.arange(m) > first, np.roll(at, 1), -1) for name, at in last.items()}
+    near = lambda name, reach: (before[name] >= 0) & (ids - ids[before[name]] <= reach)
+    critical = damage & near("armed", CRITICAL_WITHIN) & (before["damage"] < before["armed"])
+    candidate = np.where(damage & near("cast", SPELL_WITHIN), told["cast"][before["cast"]], None)
+    filled = named & (kind == "immune") & ~has(target) & near("aimed", TARGET_WITHIN)
+    ends = np.append(starts[1:], m) - 1 if m else starts
+    ends = ends[named[ends]]
+    kept = [(at, name) for name in acts for at, hurt in zip(last[name][ends], last["damage"][ends]) if at >= 0 and (name != "armed" or at > hurt)]
+    after = [(actor[at], name, int(ids[at]), told[name][at]) for at, name in kept]
+    new = order >= n
+    out = rows.take(order[new] - n).assign(
+        target=np.where(filled, told["aimed"][before["aimed"]], target)[new],
+        critical=critical.astype(np.int32)[new],
+        spell=np.where(np.isin(lower.astype(str), SPELL_DAMAGE), candidate, None)[new],
+        spell_candidate=candidate[new],
     )
+    return out.reset_index(drop=True), after
 
 
-class ActorLinker(StatefulProcessor):
-    """The last acts of one actor of a session, each in a state variable of its own."""
+def link_actor(rows: pd.DataFrame, last: dict[str, tuple | None]) -> pd.DataFrame:
+    """Link the rows of one actor of a session, in any order; ``last`` has the acts before them and then those after them."""
+    actor = rows["actor"].iloc[0]
+    out, after = link_actors(rows, [(actor, act, *told) for act, told in last.items() if told])
+    last.clear()
+    last.update({act: told for _, act, *told in after})
+    return out
 
-    ACTS = {"armed": "id long", "cast": "id long, value string", "aimed": "id long, value string"}
+
+class ActorLinker(StatefulProcessor):
+    """The last acts of a part of a session's actors, as one list that is read and written at once."""
 
     def __init__(self, columns: list[str]):
         self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = {name: handle.getValueState(name, schema) for name, schema in self.ACTS.items()}
+        self.held = handle.getListState("held", "actor string, act string, id long, value string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        before = {name: (tuple(state.get()) + (None,))[:2] if state.exists() else None for name, state in self.held.items()}
-        last = dict(before)
-        # batches of a key come in no order of their own; a micro-batch's rows of one actor are put in order here
-        yield link_actor(pd.concat(list(rows)), last)[self.columns]
-        for name, state in self.held.items():
-            if last[name] is None and before[name] is not None:
-                state.clear()
-            elif last[name] != before[name]:
-                state.update(last[name][: 1 if name == "armed" else 2])
+        before = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        # batches of a key come in no order of their own; a micro-batch's rows of a part are put in order here
+        linked, after = link_actors(pd.concat(list(rows)), before)
+        yield linked[self.columns]
+        if after and sorted(after) != sorted(before):
+            self.held.put(after)
+        elif before and not after:
+            self.held.clear()
 
     def close(self) -> None:
         pass
 
 
 def link_stream(events: DataFrame) -> DataFrame:
-    """The linker over a stream of classified events that comes in order, with state by session and actor.
+    """The linker over a stream of classified events that comes in order, with state by session and part of its actors.
 
-    Rows without an actor link with nothing and pass by.
+    Rows without an actor go along, spread over the parts, so that the stream is read and
+    classified once.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kept = [f for f in events.schema.fields if f.name not in _LINKS]
     names = [*(f.name for f in kept), *_LINKS]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} {kind}" for c, kind in _LINKS.items())])
-    named = events.where("actor is not null").groupBy("session", "actor").transformWithStateInPandas(ActorLinker(names), schema, "Append", "None")
-    nothing = F.lit(None).cast("string")
-    rest = events.where("actor is null").select(*[f.name for f in kept], "target", F.lit(0).alias("critical"), nothing.alias("spell"), nothing.alias("spell_candidate"))
-    return named.union(rest)
+    part = F.pmod(F.hash(F.coalesce("actor", F.col("ord").cast("string"))), F.lit(ACTOR_PARTS))
+    return events.withColumn("_part", part).groupBy("session", "_part").transformWithStateInPandas(ActorLinker(names), schema, "Append", "None")

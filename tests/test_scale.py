@@ -13,7 +13,7 @@ from strandline.plans import api, chains, reports, search
 from strandline.sources import live, logs
 from strandline.operators.upsert import last_write_wins
 from strandline.streaming import settle
-from strandline.streaming.live import derive, link_stream
+from strandline.streaming.live import ACTOR_PARTS, derive, link_actors, link_stream
 
 EVENT = "session string, ord long, id long, kind string, actor string, target string, detail string"
 
@@ -115,6 +115,18 @@ def test_stream_keeps_links_over_batches(spark, tmp_path):
     assert told(spark.read.parquet(str(tmp_path / "out"))) == whole
 
 
+def test_stream_links_many_actors_at_once(spark):
+    rnd = random.Random(13)
+    rows = [("s", o, i, k, a and f"{a}{rnd.randrange(40)}", t, d) for _, o, i, k, a, t, d in acts(13, 4000, 6, gap=1)]
+    events = spark.createDataFrame(rows, EVENT)
+    whole, flat, held, parts = told(link_events(events, size=None)), events.toPandas(), [], []
+    for i in range(0, 4000, 900):
+        linked, held = link_actors(flat.iloc[i : i + 900].sample(frac=1, random_state=1), held)
+        parts += linked[["session", "ord", "target", "critical", "spell", "spell_candidate"]].itertuples(index=False, name=None)
+    assert sorted((*r[:2], r[2] or "-", r[3], r[4] or "-", r[5] or "-") for r in parts) == whole
+    assert len({r[4] for r in rows}) > 3 * ACTOR_PARTS  # more actors than calls
+
+
 def fights(seed, sessions, names, n):
     rnd = random.Random(seed)
     rows = []
