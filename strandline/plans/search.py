@@ -1,9 +1,9 @@
 """Substring search through a table of trigrams.
 
-Events are laid out by session and span of ids.  Beside them stands, for each run of
+Events are laid out by session and block of spans of ids, sorted by span.  Beside them stands, for each run of
 three characters that occurs in a searched column, in which spans it does.  A pattern's
-pieces between wildcards give its trigrams; only spans that have all of them are read,
-and there the exact comparison decides.  A pattern without a piece of three characters
+pieces between wildcards give its trigrams; only blocks with spans that have all of them
+are read, and in those spans the exact comparison decides.  A pattern without a piece of three characters
 reads everything.
 """
 
@@ -20,17 +20,21 @@ from strandline.functions.text import contains_folded
 from strandline.plans.api import SEARCHED
 
 SPAN = 1 << 12
-PLACE = ["session", "span"]
+PLACE = ["session", "block", "span"]
+#: Ids whose spans share a folder, so that folders do not become as many as spans.
+BLOCK = 1 << 18
 
 
 def with_span(events: DataFrame, span: int = SPAN) -> DataFrame:
     return events.withColumn("span", F.call_function("div", F.col("id") - F.pmod("id", F.lit(span)), F.lit(span)))
 
 
-def lay_out(events: DataFrame, path: str, span: int = SPAN) -> DataFrame:
-    """Write events by session and span, and read them back; a span is one folder, which a search reads or leaves out."""
-    with_span(events, span).repartition(*PLACE).sortWithinPartitions(*PLACE, "id").write.partitionBy(*PLACE).parquet(path)
-    return events.sparkSession.read.schema(with_span(events, span).schema).parquet(path)
+def lay_out(events: DataFrame, path: str, span: int = SPAN, block: int = BLOCK) -> DataFrame:
+    """Write events by session and block of spans, and read them back; a block is one folder, which a search reads or leaves out."""
+    ids = max(span, block)
+    placed = with_span(events, span).withColumn("block", F.call_function("div", F.col("id") - F.pmod("id", F.lit(ids)), F.lit(ids)))
+    placed.repartition("session", "block").sortWithinPartitions("session", "block", "span", "id").write.partitionBy("session", "block").parquet(path)
+    return events.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def _trigrams(text: Column) -> Column:
@@ -40,9 +44,12 @@ def _trigrams(text: Column) -> Column:
 
 
 def postings(events: DataFrame, columns: tuple[str, ...] = SEARCHED) -> DataFrame:
-    """gram, session, span of laid out events, once each; each column's distinct texts of a span are cut up once."""
+    """gram, session, block, span of laid out events, once each; each column's distinct texts of a span are cut up once.
+
+    Texts are dealt by span, so grams need no deal of their own.
+    """
     text = F.explode(F.array_distinct(F.array(*[F.col(c) for c in columns])))
-    texts = events.select(*PLACE, text.alias("text")).where("text is not null").distinct()
+    texts = events.select(*PLACE, text.alias("text")).where("text is not null").repartition(*PLACE).distinct()
     return texts.select(*PLACE, F.explode(_trigrams(F.col("text"))).alias("gram")).distinct().select("gram", *PLACE)
 
 
@@ -53,7 +60,7 @@ def grams_of(pattern: str) -> set[str]:
 
 
 def candidates(posted: DataFrame, pattern: str) -> DataFrame | None:
-    """session, span of the spans that have all trigrams of the pattern; None where it has none."""
+    """session, block, span of the spans that have all trigrams of the pattern; None where it has none."""
     grams = grams_of(pattern)
     if not grams:
         return None
