@@ -16,15 +16,15 @@ RANGE = 4096
 _ACTS = ("critical", "damage", "spell", "attack")
 
 
-def _ranged(named: DataFrame, reach: int, size: int) -> DataFrame:
+def _ranged(events: DataFrame, reach: int, size: int) -> DataFrame:
     """Rows with the range of their id; acts within ``reach`` of a range's end come in the next one too, where ``_own`` is false."""
     ids = max(size, reach)
     # the quotient is rounded down, for ids below zero too
     own = F.call_function("div", F.col("id") - F.pmod("id", F.lit(ids)), F.lit(ids))
-    near = F.col("kind").isin(*_ACTS) & (F.pmod("id", F.lit(ids)) >= ids - reach)
-    placed = named.withColumn("_at", own)
+    near = F.col("actor").isNotNull() & F.col("kind").isin(*_ACTS) & (F.pmod("id", F.lit(ids)) >= ids - reach)
+    placed = events.withColumn("_at", own)
     both = F.when(near, F.array("_at", F.col("_at") + 1)).otherwise(F.array("_at"))
-    return placed.withColumn("_range", F.explode(both)).withColumn("_own", F.col("_range") == F.col("_at")).drop("_at")
+    return placed.withColumn("_range", F.explode(both)).withColumn("_own", F.col("_range").eqNullSafe(F.col("_at"))).drop("_at")
 
 
 def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE, critical_within: int = CRITICAL_WITHIN, spell_within: int = SPELL_WITHIN, target_within: int = TARGET_WITHIN, size: int | None = RANGE) -> DataFrame:
@@ -40,20 +40,21 @@ def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE,
     range sees the acts of the one before that are so near its own start, the damage that
     uses up a critical hit among them; an actor with any number of rows spreads over
     tasks.  Ranges rest on ids that rise along a session, as those of a log do; with
-    ``size`` None there are no ranges, and ids may fall.  Rows without an actor link with
-    nothing and are not shuffled for it.
+    ``size`` None there are no ranges, and ids may fall.  Rows without an actor go the
+    same way, so that what makes the events is done once, and link with nothing.
     """
-    named, nameless = events.where("actor is not null"), events.where("actor is null")
     if size is None:
-        spread = named.withColumn("_range", F.lit(0)).withColumn("_own", F.lit(True))
+        # rows without an actor need no place of their own, so they are spread in any case
+        spread = events.withColumn("_range", F.when(F.col("actor").isNull(), F.call_function("div", "id", F.lit(RANGE))).otherwise(F.lit(0))).withColumn("_own", F.lit(True))
     else:
-        spread = _ranged(named, max(critical_within, spell_within, target_within), size)
+        spread = _ranged(events, max(critical_within, spell_within, target_within), size)
     before = Window.partitionBy("session", "actor", "_range").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
 
     def last(when: Column, value: str | Column = "id") -> Column:
         return F.last(F.when(when, value if isinstance(value, Column) else F.col(value)), True).over(before)
 
-    damage = F.col("kind") == "damage"
+    acting = F.col("actor").isNotNull()
+    damage = acting & (F.col("kind") == "damage")
     armed = (F.col("kind") == "critical") & (F.lower("detail") == "hit")
     cast = (F.col("kind") == "spell") & F.col("detail").isNotNull()
     aimed = (F.col("kind") == "attack") & F.col("target").isNotNull()
@@ -66,17 +67,15 @@ def link_events(events: DataFrame, spell_damage: tuple[str, ...] = SPELL_DAMAGE,
     ).where("_own")
     critical = damage & (F.col("id") - F.col("_armed.id") <= critical_within) & (F.col("_damage").isNull() | (F.col("_damage") < F.col("_armed.ord")))
     candidate = F.when(damage & (F.col("id") - F.col("_cast.id") <= spell_within), F.col("_cast.detail"))
-    probed = (F.col("kind") == "immune") & F.col("target").isNull() & (F.col("id") - F.col("_aimed.id") <= target_within)
+    probed = acting & (F.col("kind") == "immune") & F.col("target").isNull() & (F.col("id") - F.col("_aimed.id") <= target_within)
     kept = [F.col(c) for c in events.columns if c not in ("target", "critical", "spell", "spell_candidate")]
-    linked = seen.select(
+    return seen.select(
         *kept,
         F.when(probed, F.col("_aimed.target")).otherwise(F.col("target")).alias("target"),
         F.coalesce(critical, F.lit(False)).cast("int").alias("critical"),
         F.when(F.lower("detail").isin(*spell_damage), candidate).alias("spell"),
         candidate.alias("spell_candidate"),
     )
-    rest = nameless.select(*kept, "target", F.lit(0).alias("critical"), F.lit(None).cast("string").alias("spell"), F.lit(None).cast("string").alias("spell_candidate"))
-    return linked.unionByName(rest)
 
 
 def save_targets(events: DataFrame, stats: DataFrame) -> DataFrame:

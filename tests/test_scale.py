@@ -241,6 +241,21 @@ def test_search_reads_spans_with_all_trigrams(spark, tmp_path):
     assert search.candidates(posted, "a%b_") is None
 
 
+def test_spans_share_folders(spark, tmp_path):
+    events = spark.createDataFrame([("s", i, i, "status", "Ann", None, f"x{i}") for i in range(-64, 192)], EVENT)
+    laid = search.lay_out(events, str(tmp_path / "e"), span=16, block=128)
+    assert len(list((tmp_path / "e" / "session=s").glob("block=*"))) == 3 and laid.select("span").distinct().count() == 16
+    assert [r.id for r in search.search(laid, search.postings(laid, ("detail",)), "x100", ("detail",)).collect()] == [100]
+
+
+def test_linking_reads_events_once(spark):
+    events = spark.createDataFrame(acts(6, 300, 3), EVENT)
+    for size in (None, 64):
+        linked = link_events(events, size=size)
+        assert linked._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+        assert linked.count() == 300 and {r[0] for r in linked.where("actor is null").select("critical").collect()} == {0}
+
+
 def test_live_lines_are_settled(spark, tmp_path):
     rnd = random.Random(4)
     names = ["Hero", "Orca", "Orcb", "Wolf", "Ann"]
