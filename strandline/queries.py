@@ -28,7 +28,7 @@ from strandline.sources import archives, binary
 from strandline.sources.binary import resolved as resolve_sources
 from strandline.sources.logs import events as parse_events
 from strandline.sources.logs import read_live_lines, roster, stats
-from strandline.sources.tables import derived, dropped, materialised, shared_folder, spread
+from strandline.sources.tables import Work, derived, dropped, materialised, shared_folder, spread
 from strandline.streaming.live import derive, link_stream
 
 #: Link windows of the queries; the table's acts are further apart than those of a real log.
@@ -155,6 +155,15 @@ def _events(spark: SparkSession, sf_dir: str, sql: str = FIGHT, within: tuple[in
     return derived(f"{sql}{within}", f"{sf_dir}/events.parquet", make, spark)
 
 
+def _sided(spark: SparkSession, sf_dir: str, name: str, sql: str, verdicts: bool = False) -> DataFrame:
+    """The event table of these lines with sides, derived once for all queries on it."""
+    work = Work(spark)
+    try:
+        return derived(name, f"{sf_dir}/events.parquet", lambda: derive(_lines(spark, sf_dir, sql), verdicts, work), spark)
+    finally:
+        work.drop()
+
+
 def damage_by_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage dealt by actor, over all events: the flagship query."""
     matched = _events(spark, sf_dir).where(api.predicate(api.Query(equals={"kind": "damage"})))
@@ -346,7 +355,7 @@ RANGE_FROM, RANGE_TO = 20, 320
 
 def fold_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded state of a range of the newest session: all sides, ages, observations, saves and who may have been summoned."""
-    found = derived(f"{RANGED} labelled", f"{sf_dir}/events.parquet", lambda: derive(_lines(spark, sf_dir, RANGED)), spark)
+    found = _sided(spark, sf_dir, f"{RANGED} labelled", RANGED)
     summons = spark.sql("SELECT DISTINCT 'haste' AS key, 'U' || translate(CAST(user_id AS string), '0123456789', 'abcdefghij') AS creature FROM {events} WHERE user_id % 4 = 0", events=_table(spark, sf_dir, "events"))
     told = api.combatants(found, known_effects(spark), back_from=RANGE_FROM, back_to=RANGE_TO, summons=summons)
     rows = reduce(DataFrame.union, [told[side].withColumn("view", F.lit(side)) for side in ("opponents", "party", "neutral")])
@@ -387,7 +396,7 @@ def groups_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _party(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(f"{PARTY} verdicts", f"{sf_dir}/events.parquet", lambda: derive(_lines(spark, sf_dir, PARTY), verdicts=True), spark)
+    return _sided(spark, sf_dir, f"{PARTY} verdicts", PARTY, verdicts=True)
 
 
 def side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

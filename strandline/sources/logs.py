@@ -89,20 +89,21 @@ def roster(lines: DataFrame) -> DataFrame:
 PART_BITS = 20
 
 
-def stats(lines: DataFrame, labels: dict[str, str] | None = None, part_bits: int = PART_BITS) -> DataFrame:
+def stats(lines: DataFrame, labels: dict[str, str] | None = None, part_bits: int = PART_BITS, marks: DataFrame | None = None) -> DataFrame:
     """session, ord, as_of_id, name, targets of every stats line.
 
     ``as_of_id`` is the id of the last event line before it in the session, 0 before any.
     It is looked for among the lines of the same part of the session; each part's last id
     is carried over the parts, of which a session has few, so no task needs a whole one.
-    ``targets`` maps save categories to numbers; unknown labels are left out.
+    ``targets`` maps save categories to numbers; unknown labels are left out.  ``marks`` are
+    the events of ``lines`` where they have been made already.
     """
     known = F.create_map(*[F.lit(x) for pair in (labels or SAVE_LABELS).items() for x in pair])
     parts = F.split(F.col("fields")[2], r"\|")
     pair = lambda p: F.struct(known[name_key(F.regexp_extract(p, _STAT, 1))].alias("k"), F.regexp_extract(p, _STAT, 2).try_cast("bigint").alias("v"))
     good = F.filter(F.transform(parts, pair), lambda s: s["k"].isNotNull() & s["v"].isNotNull())
     found = _marked(lines, STATS_MARK).where(F.size("fields") >= 3).select("session", "ord", clean(F.col("fields")[1]).alias("name"), F.map_from_entries(good).alias("targets"))
-    marks = events(lines).select("session", "ord", "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,bigint>").alias("targets"))
+    marks = (events(lines) if marks is None else marks).select("session", "ord", "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,bigint>").alias("targets"))
     both = marks.unionByName(found.where("name is not null"), allowMissingColumns=True).withColumn("_part", F.shiftright("ord", part_bits))
     inside = Window.partitionBy("session", "_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     told = both.withColumn("_near", F.last("id", True).over(inside)).where("targets is not null and size(targets) > 0")

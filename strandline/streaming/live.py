@@ -24,19 +24,24 @@ from strandline.operators.sides import label, resolve_sides
 from strandline.operators.upsert import import_sessions
 from strandline.schema import conform
 from strandline.sources.logs import events, read_session_logs, roster, stats
+from strandline.sources.tables import Work
 
 
-def derive(lines: DataFrame, verdicts: bool = False) -> DataFrame:
+def derive(lines: DataFrame, verdicts: bool = False, work: Work | None = None) -> DataFrame:
     """Events of whole sessions, from lines (session, ord, line) to labelled rows; ``ord`` stays for ordering.
 
     ``saved`` is null unless ``verdicts`` are asked for: then it tells whether a save met
-    the number that its actor needed by the stats lines known up to it.
+    the number that its actor needed by the stats lines known up to it.  Sides, labels and
+    verdicts all read the linked events; with ``work`` these are written once for them, and
+    the result is good until it is dropped.
     """
     linked = link_events(classify(events(lines)))
+    if work is not None:
+        linked = work.stored(linked)
     labelled = label(linked, resolve_sides(linked, roster(lines)))
     if not verdicts:
         return labelled.withColumn("saved", F.lit(None).cast("int"))
-    return save_targets(labelled, stats(lines)).withColumnRenamed("made", "saved").drop("save_target")
+    return save_targets(labelled, stats(lines, marks=linked)).withColumnRenamed("made", "saved").drop("save_target")
 
 
 def capture_raw(lines: DataFrame, path: str, checkpoint: str, home: str | None = None) -> StreamingQuery:
@@ -47,8 +52,13 @@ def capture_raw(lines: DataFrame, path: str, checkpoint: str, home: str | None =
 
 def refresh(spark: SparkSession, files: list[str], path: str, verdicts: bool = False) -> None:
     """Derive the sessions of the given log files and replace them in the table; other files are not read."""
-    if files:
-        import_sessions(conform_with_order(derive(read_session_logs(spark, files), verdicts)), path)
+    if not files:
+        return
+    work = Work(spark)
+    try:
+        import_sessions(conform_with_order(derive(read_session_logs(spark, files), verdicts, work)), path)
+    finally:
+        work.drop()
 
 
 def conform_with_order(rows: DataFrame) -> DataFrame:

@@ -223,3 +223,26 @@ def test_verdicts(spark):
     lines = spark.createDataFrame([("s", i, x) for i, x in enumerate(["A7STATS\tA\tSpell: 12 (3)", "A7LOG\t1\t1\t1\t\t\tA: Save vs. Spell : 9", "A7LOG\t2\t1\t1\t\t\tB: Save vs. Spell : 9", "A7LOG\t3\t1\t1\t\t\tA: Save vs. Spell : 12"])], "session string, ord int, line string")
     assert [r.saved for r in derive(lines, verdicts=True).orderBy("id").collect()] == [0, None, 1]
     assert [r.saved for r in derive(lines).collect()] == [None] * 3
+
+
+def test_linked_events_are_written_once_for_sides_and_verdicts(spark):
+    from strandline.sources.tables import Work
+
+    lines = log(spark, ["Orc: Takes 1 slashing damage from Hero", "Hero: Save vs. Spell : 9", "no speaker"], extra=[("s1", 99, "A7ROSTER\tHero\t")])
+    work = Work(spark)
+    try:
+        kept = derive(lines, verdicts=True, work=work)
+        assert "A7LOG" not in kept._jdf.queryExecution().optimizedPlan().toString().replace("A7STATS", "")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, derive(lines, verdicts=True).collect()))
+    finally:
+        work.drop()
+
+
+def test_votes_without_an_item_are_derived_by_category(spark):
+    from strandline.operators import opcodes
+
+    rows = [(i, "ab"[i % 2], [i % 2, 7]) for i in range(40)]
+    tested = opcodes.leave_one_out(spark.createDataFrame(rows, "label long, category string, opcodes array<int>"))
+    plan = tested._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [mine" in plan and "Aggregate [item#" in plan and ", mine#" not in plan.split("Aggregate [item#")[1].split("]")[0]
+    assert [tuple(r) for r in opcodes.accuracy(tested).collect()] == [(40, 0, 0)]
