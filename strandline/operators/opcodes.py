@@ -56,21 +56,23 @@ def classify(items: DataFrame, voted: DataFrame, confidence: float = CONFIDENCE)
 def leave_one_out(labelled: DataFrame, support: int = SUPPORT, purity: float = PURITY, confidence: float = CONFIDENCE) -> DataFrame:
     """label, category, predicted: each label classified by the votes of all others.
 
-    An item's own share is taken off the counts of its opcodes, so votes are never derived
-    once for each item; the work is the number of (item, opcode, category) triples.
+    An item's own share is taken off the counts of its opcodes.  What is left depends on
+    the item's category and the opcode alone, so votes are derived once for each such pair,
+    not for each item; items are dealt by label and only add up votes.
     """
-    own = _exploded(labelled)
+    dealt = labelled.repartition("label")
     counts = vote_counts(labelled)
-    minus = own.select(F.col("label").alias("item"), F.col("category").alias("mine"), "opcode").join(counts, "opcode")
+    minus = _exploded(labelled).select(F.col("category").alias("mine"), "opcode").distinct().join(counts, "opcode")
     same = F.col("mine") == F.col("category")
     n, size = F.col("n") - same.cast("int"), F.col("size") - same.cast("int")
-    rated = minus.select("item", "mine", "opcode", "category", n.alias("n"), F.when(size > 0, n / size).otherwise(F.lit(0.0)).alias("rate")).where("n > 0")
-    best = rated.groupBy("item", "mine", "opcode").agg(F.sum("n").alias("support"), F.sum("rate").alias("rates"), F.max("rate").alias("top"), F.min(F.struct((-F.col("rate")).alias("r"), "category")).alias("b"))
-    voted = best.select("item", "mine", F.col("b.category").alias("category"), (F.col("top") / F.col("rates")).alias("p"), "support").where((F.col("support") >= support) & (F.col("p") >= purity))
+    rated = minus.select("mine", "opcode", "category", n.alias("n"), F.when(size > 0, n / size).otherwise(F.lit(0.0)).alias("rate")).where("n > 0")
+    best = rated.groupBy("mine", "opcode").agg(F.sum("n").alias("support"), F.sum("rate").alias("rates"), F.max("rate").alias("top"), F.min(F.struct((-F.col("rate")).alias("r"), "category")).alias("b"))
+    votes = best.select("mine", "opcode", F.col("b.category").alias("category"), (F.col("top") / F.col("rates")).alias("p"), "support").where((F.col("support") >= support) & (F.col("p") >= purity))
+    voted = _exploded(dealt).select(F.col("label").alias("item"), F.col("category").alias("mine"), "opcode").join(votes, ["mine", "opcode"])
     summed = voted.groupBy("item", "category").agg(F.sum("p").alias("weight"))
     top = summed.groupBy("item").agg(F.sum("weight").alias("total"), F.max("weight").alias("top"), F.min(F.struct((-F.col("weight")).alias("w"), "category")).alias("b"))
     sure = top.select(F.col("item").alias("label"), F.when(F.col("top") / F.col("total") >= confidence, F.col("b.category")).alias("predicted"))
-    return labelled.select("label", "category").join(sure, "label", "left")
+    return dealt.select("label", "category").join(sure, "label", "left")
 
 
 def accuracy(tested: DataFrame) -> DataFrame:
