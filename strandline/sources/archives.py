@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from strandline.sources.binary import BIF_ENTRY, KEY_ARCHIVE, KEY_ENTRY, bif_entries, key_archives, key_entries
+from strandline.sources.tables import Work
 
 NAME = "strandline_archives"
 #: Ranges of an archive that lie so close together are read at once; entries that one task reads, and that an archive can have.
@@ -171,12 +172,14 @@ def index_bytes(archives: list[str], entries: list[tuple[str, int, int, int]]) -
 def pack(resources: DataFrame, folder: str, per_archive: int = 4096) -> str:
     """Write resources (resref of at most eight characters, type, content) as archives below ``folder``; the path of their index.
 
-    Each archive is built and written by one task.  The index is one file by its format,
-    which has room for 4,096 archives of 16,384 files.
+    Each archive is built and written by one task, all archives beside each other.  The
+    index is one file by its format, which has room for 4,096 archives of 16,384 files;
+    archives get more than ``per_archive`` resources rather than be more than that.
     """
-    n = max(1, -(-resources.count() // min(per_archive, MOST_FILES // 2)))
-    if n > MOST_ARCHIVES:
-        raise ValueError(f"{n} archives are more than an index can list")
+    count = resources.count()
+    n = max(1, min(-(-count // min(per_archive, MOST_FILES // 2)), MOST_ARCHIVES))
+    if count > n * (MOST_FILES // 2):
+        raise ValueError(f"{count} resources are more than an index can list")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(["resref", "type"]).reset_index(drop=True)
@@ -187,8 +190,13 @@ def pack(resources: DataFrame, folder: str, per_archive: int = 4096) -> str:
         return ordered.assign(file=np.arange(len(ordered)))[["resref", "type", "biff", "file"]]
 
     dealt = resources.select("resref", F.col("type").cast("int").alias("type"), F.pmod(F.xxhash64("resref", "type"), F.lit(n)).cast("int").alias("biff"), "content")
-    written = dealt.groupBy("biff").applyInPandas(write, "resref string, type int, biff int, file int")
-    entries = [(r.resref, r.type, r.biff, r.file) for r in written.toLocalIterator()]
+    work = Work(resources.sparkSession)
+    try:
+        # what goes to the driver goes there part by part, so the archives are written in a job before
+        written = work.stored(dealt.groupBy("biff").applyInPandas(write, "resref string, type int, biff int, file int"))
+        entries = [(r.resref, r.type, r.biff, r.file) for r in written.toLocalIterator()]
+    finally:
+        work.drop()
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/index.key") as out:

@@ -121,14 +121,24 @@ def creature(content: bytes) -> dict:
     }
 
 
+#: Bytes of files whose rows are given out at once.
+BATCH_BYTES = 4 << 20
+
+
 def _decoded(files: DataFrame, schema: str, rows: Callable[[str, bytes], list[tuple]]) -> DataFrame:
-    """Rows that a decoder makes of each file (resref, content)."""
+    """Rows that a decoder makes of each file (resref, content), many files to a batch."""
     names = [c.strip().split(" ")[0] for c in _split_schema(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, size = [], 0
             for resref, content in zip(batch["resref"], batch["content"]):
-                yield pd.DataFrame(rows(resref, bytes(content)), columns=names)
+                held += rows(resref, bytes(content))
+                size += len(content)
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(held, columns=names)
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=names)
 
     return files.select("resref", "content").mapInPandas(run, schema)
 
@@ -167,13 +177,13 @@ def strings_by_file(files: DataFrame) -> DataFrame:
 
 def spells(files: DataFrame) -> DataFrame:
     schema = f"resref string, name_strref bigint, identified_strref bigint, type string, school string, level bigint, features array<{FEATURE_TYPE}>, ability_count int, feature_reads int"
-    return _decoded(files, schema, lambda name, b: [(name, *[spell(b)[k] for k in ("name_strref", "identified_strref", "type", "school", "level", "features", "ability_count", "feature_reads")])])
+    return _decoded(files, schema, lambda name, b: [(name, *[told[k] for told in [spell(b)] for k in ("name_strref", "identified_strref", "type", "school", "level", "features", "ability_count", "feature_reads")])])
 
 
 def creatures(files: DataFrame) -> DataFrame:
     fields = ("name_strref", "short_name_strref", "xp", "hp", "max_hp", "ac_natural", "ac_effective", "thac0", "attacks", "saves", "resistances", "levels", "race", "class")
     schema = "resref string, name_strref bigint, short_name_strref bigint, xp bigint, hp int, max_hp int, ac_natural int, ac_effective int, thac0 int, attacks int, saves map<string,int>, resistances map<string,int>, levels array<int>, race int, class int"
-    return _decoded(files, schema, lambda name, b: [(name, *[creature(b)[k] for k in fields])])
+    return _decoded(files, schema, lambda name, b: [(name, *[told[k] for told in [creature(b)] for k in fields])])
 
 
 def resolved(sources: list[tuple[str, DataFrame]], key: str = "resref") -> DataFrame:

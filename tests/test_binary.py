@@ -142,3 +142,22 @@ def test_pushed_filters_reach_the_index(spark, tmp_path):
     reader = archives.ArchiveReader({"path": index})
     assert len(list(reader.pushFilters([EqualTo(("type",), 2), In(("resref",), ("r2", "r5", "r6"))]))) == 2
     assert sorted(e[1] for p in reader.partitions() for e in p.entries) == ["r2", "r5"]
+
+
+def test_files_are_decoded_once_and_many_to_a_batch(spark, monkeypatch):
+    from strandline.sources import binary
+
+    calls = []
+    monkeypatch.setattr(binary, "creature", lambda b: calls.append(b) or {k: None for k in ("name_strref", "short_name_strref", "xp", "hp", "max_hp", "ac_natural", "ac_effective", "thac0", "attacks", "saves", "resistances", "levels", "race", "class")})
+    made = []
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            pd = __import__("pandas")
+            made.extend(run(iter([pd.DataFrame({"resref": ["a", "b", "c"], "content": [b"1", b"2", b"3"]})])))
+
+    binary.creatures(Files())
+    assert calls == [b"1", b"2", b"3"] and [len(m) for m in made] == [3]
