@@ -68,7 +68,7 @@ def leave_one_out(labelled: DataFrame, support: int = SUPPORT, purity: float = P
     rated = minus.select("mine", "opcode", "category", n.alias("n"), F.when(size > 0, n / size).otherwise(F.lit(0.0)).alias("rate")).where("n > 0")
     best = rated.groupBy("mine", "opcode").agg(F.sum("n").alias("support"), F.sum("rate").alias("rates"), F.max("rate").alias("top"), F.min(F.struct((-F.col("rate")).alias("r"), "category")).alias("b"))
     votes = best.select("mine", "opcode", F.col("b.category").alias("category"), (F.col("top") / F.col("rates")).alias("p"), "support").where((F.col("support") >= support) & (F.col("p") >= purity))
-    voted = _exploded(dealt).select(F.col("label").alias("item"), F.col("category").alias("mine"), "opcode").join(votes, ["mine", "opcode"])
+    voted = _exploded(dealt).select(F.col("label").alias("item"), F.col("category").alias("mine"), "opcode").join(F.broadcast(votes), ["mine", "opcode"])
     summed = voted.groupBy("item", "category").agg(F.sum("p").alias("weight"))
     top = summed.groupBy("item").agg(F.sum("weight").alias("total"), F.max("weight").alias("top"), F.min(F.struct((-F.col("weight")).alias("w"), "category")).alias("b"))
     sure = top.select(F.col("item").alias("label"), F.when(F.col("top") / F.col("total") >= confidence, F.col("b.category")).alias("predicted"))
