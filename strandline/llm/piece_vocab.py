@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -85,6 +86,31 @@ class PieceVocab:
                 out[ord(p)] = i
         return out
 
+    @functools.cached_property
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each code point, and for two numbers whether a piece holds such characters side by side.
+
+        Characters that no piece holds beside another have the number 0; a space has that of the space mark.
+        """
+        sides = np.array(sorted({(ord(a), ord(b)) for p in self.ids for a, b in zip(p, p[1:])}), dtype=np.int64).reshape(-1, 2)
+        known = np.unique(sides)
+        kinds = np.zeros(0x110000, dtype=np.int32)
+        kinds[known] = np.arange(1, len(known) + 1)
+        beside = np.zeros((len(known) + 1, len(known) + 1), dtype=bool)
+        beside[kinds[sides[:, 0]], kinds[sides[:, 1]]] = True
+        kinds[ord(" ")] = kinds[ord(SPACE)]
+        return kinds, beside
+
+    @functools.cached_property
+    def decimals(self) -> pa.Array:
+        """Each id as a decimal with a comma behind."""
+        return pa.array([f"{i}," for i in range(len(self.pieces))], pa.large_binary())
+
+    @functools.cached_property
+    def raw(self) -> pa.Array:
+        """The bytes of text that each id stands for."""
+        return pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)], pa.large_binary())
+
 
 #: A space between two characters that are neither a space nor the space mark.
 _CUT = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")

@@ -2,9 +2,10 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by the score of the
 piece they would form, then by position; it takes the best, joins the two symbols
-and puts the new neighbours on the agenda.  Since no piece of the vocabulary runs
-from a non-space into a space, a text falls into chunks (spaces and what follows)
-that are encoded apart; a bounded cache per worker keeps the chunks seen lately.
+and puts the new neighbours on the agenda.  Two characters that no piece of the
+vocabulary holds side by side are never joined, so a text falls into chunks there,
+which are encoded apart; each worker remembers a bounded number of them, and chunks
+and ids of a batch are found by whole-array operations.
 Short chunks are encoded many at once: their agendas are the rows of a matrix, and the
 best entry of each is an array minimum instead of the top of a heap.
 Of each Arrow batch all ids and decoded texts, whole, are checked against the
@@ -18,9 +19,10 @@ one row each, empty tables an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -29,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import by_bytes, text_column
+from strandline.llm.common import by_bytes, byte_view, text_column
 from strandline.llm.piece_vocab import SPACE, PieceVocab, processor, segments, vocabulary
 
 BATCH_BYTES = 1 << 20
-#: Most chunks, and characters in them, of one generation of the cache.
+#: Characters of texts that are encoded at once.
+SEGMENT_CHARS = 1 << 20
+#: Most chunks, and characters in them, that a worker remembers.
 CACHE_CHUNKS, CACHE_CHARS = 400_000, 1 << 23
 #: Characters of a text that the library gets at once.
 CHECK_CHARS = 1 << 16
@@ -177,69 +181,96 @@ def decode_ids(ids: list[int], vocab: PieceVocab) -> str:
     return "".join(out).replace(SPACE, " ")
 
 
-#: A chunk begins with spaces, or with a line feed, which the vocabulary has only as a byte.
-_CHUNK = re.compile(" +[^ \n]*|\n[^ \n]*")
+def chunk_starts(points: np.ndarray, texts: np.ndarray, vocab: PieceVocab) -> np.ndarray:
+    """Where chunks start, in the code points of texts put together; ``texts`` are those of the texts."""
+    kinds, beside = vocab.neighbours
+    kind = kinds[points]
+    opens = np.ones(len(points), dtype=bool)
+    opens[1:] = ~beside.ravel()[kind[:-1] * len(beside) + kind[1:]]
+    opens[texts] = True
+    return np.flatnonzero(opens)
 
 
-def chunks(text: str) -> list[str]:
-    """Chunks of a text with one more space before it, as the library puts it; joined they are that text."""
-    if not text:
-        return []
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    return _CHUNK.findall(" " + text)
+def _put_together(parts: pa.Array, ids: np.ndarray, ends: np.ndarray, head: int, tail: int) -> list[str]:
+    """For the ids between two ends each, their ``parts`` one after another, without so many bytes in front and behind."""
+    data, at = byte_view(parts.take(pa.array(ids)))
+    view, bounds = memoryview(data), at[ends].tolist()
+    return [str(view[a + head : b - tail], "utf-8") if a < b else "" for a, b in zip(bounds, bounds[1:])]
 
 
 class Codec:
-    """Encodes and decodes batches of texts; keeps two generations of chunks."""
+    """Encodes and decodes batches of texts; remembers the ids of chunks and starts anew when they are many."""
 
     def __init__(self, model: str, most: int = CACHE_CHUNKS, most_chars: int = CACHE_CHARS, verify: bool = True, check_chars: int = CHECK_CHARS):
         self.vocab, self.library, self.verify, self.check_chars = vocabulary(model), processor(model), verify, check_chars
-        self.most, self.most_chars, self.chars = most, most_chars, 0
-        if not self.vocab.separable or any("\n" in p for p in self.vocab.ids):
+        self.most, self.most_chars = most, most_chars
+        if not self.vocab.separable:
             raise ValueError(f"{model}: not a merge-type vocabulary whose pieces stop at spaces")
-        self.new: dict[str, str] = {}
-        self.old: dict[str, str] = {}
-        self.other: dict[str, str] = {}  # decoded texts of chunks that do not come back as they were
-
-    def learn(self, missing: list[str]) -> None:
-        found = agenda_encode_many([c.replace(" ", SPACE) for c in missing], self.vocab)
-        for c, ids in zip(missing, found, strict=True):
-            self.new[c] = ",".join(map(str, ids))
-            if (text := decode_ids(ids, self.vocab)) != c:
-                self.other[c] = text
-        self.chars += sum(map(len, missing))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.ids, self.starts, self.lengths, self.chars = array("i"), array("q"), array("q"), 0
+
+    def _codes(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks, all different, among those remembered; new ones are encoded."""
+        if len(self.codes) > self.most or self.chars > self.most_chars:
+            self._forget()
+        codes = np.fromiter([self.codes.get(c, -1) for c in chunks], np.int64, len(chunks))
+        if (fresh := np.flatnonzero(codes < 0)).size:
+            new = [chunks[i] for i in fresh.tolist()]
+            found = agenda_encode_many([c.replace(" ", SPACE) for c in new], self.vocab)
+            codes[fresh] = np.arange(len(self.codes), len(self.codes) + len(new))
+            self.codes.update(zip(new, codes[fresh].tolist(), strict=True))
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts.frombytes((len(self.ids) + np.cumsum(lengths) - lengths).tobytes())
+            self.lengths.frombytes(lengths.tobytes())
+            self.ids.extend(chain.from_iterable(found))
+            self.chars += sum(map(len, new))
+        return codes
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, and how many each has."""
+        # the library puts one more space before each text
+        whole = "".join([" " + t if t else "" for t in texts]).replace(SPACE, " ")
+        lengths = np.fromiter([len(t) + 1 if t else 0 for t in texts], np.int64, len(texts))
+        begins = np.cumsum(lengths) - lengths
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        starts = chunk_starts(points, begins[lengths > 0], self.vocab)
+        data = whole.encode()
+        at = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)  # all bytes but those inside of a character
+        bounds = np.append(at[starts], len(data))
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        codes = self._codes(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        first, size = np.array(self.starts, np.int64)[codes], np.array(self.lengths, np.int64)[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+        return np.array(self.ids, np.int32)[place], np.diff(ends[np.append(np.searchsorted(starts, begins), len(starts))])
 
     def check(self, texts: list[str], found: list[tuple[str, str]]) -> None:
         """Compare ids and decoded texts with the library's; long texts go in segments that no piece crosses."""
         cut = [segments(t, self.check_chars) for t in texts]
-        theirs = self.library.encode([s for parts in cut for s in parts], num_threads=1)
-        back = iter(zip(theirs, self.library.decode(theirs)))
-        for text, parts, (ids, decoded) in zip(texts, cut, found, strict=True):
-            rows = [next(back) for _ in parts]
-            if ids != ",".join([",".join(map(str, r)) for r, _ in rows if r]):
+        theirs = self.library.encode([s for parts in cut for s in parts], num_threads=1, return_type="numpy")
+        back = iter(self.library.decode(theirs, num_threads=1))
+        sizes = np.concatenate([[0], np.cumsum([len(r) for r in theirs])])[np.cumsum([0, *map(len, cut)])]
+        joined = _put_together(self.vocab.decimals, np.concatenate(theirs), sizes, 0, 1) if theirs else []
+        for text, parts, own, (ids, decoded) in zip(texts, cut, joined, found, strict=True):
+            if ids != own:
                 raise ValueError(f"{text[:80]!r}: the library has other ids than the agenda")
-            if decoded != " ".join([t for _, t in rows]):
+            if decoded != " ".join([next(back) for _ in parts]):
                 raise ValueError(f"{text[:80]!r}: the library decodes another text")
 
     def batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids as decimals joined by commas, and the text decoded from them."""
-        if len(self.new) > self.most or self.chars > self.most_chars:
-            self.old, self.new, self.chars = self.new, {}, 0
-            self.other = {c: t for c, t in self.other.items() if c in self.old}
-        new, old = self.new, self.old
-        cut = [chunks(t) for t in texts]
-        ids = [list(map(new.get, parts)) for parts in cut]
-        missing = {c for parts, values in zip(cut, ids) if None in values for c, v in zip(parts, values) if v is None}
-        if missing:
-            kept = [c for c in missing if c in old]
-            new.update((c, old[c]) for c in kept)
-            self.chars += sum(map(len, kept))
-            missing.difference_update(kept)
-            self.learn(list(missing))
-            ids = [list(map(new.get, parts)) if None in values else values for parts, values in zip(cut, ids)]
-        other = self.other.get
-        out = [(",".join(values), "".join([other(c, c) for c in parts] if self.other else parts)[1:]) for parts, values in zip(cut, ids)]
+        cut = [segments(t, SEGMENT_CHARS) for t in texts]
+        parts = [s for own in cut for s in own]
+        runs = np.cumsum([len(s) for s in parts]) // SEGMENT_CHARS
+        stops = [*(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(parts)]
+        found = [self._encoded(parts[a:b]) for a, b in zip([0, *stops], stops)]
+        ids = np.concatenate([i for i, _ in found])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in found]))])[np.cumsum([0, *map(len, cut)])]
+        # the first id of a text begins with the space that encoding adds
+        out = list(zip(_put_together(self.vocab.decimals, ids, ends, 0, 1), _put_together(self.vocab.raw, ids, ends, 1, 0), strict=True))
         if self.verify:
             self.check(texts, out)
         return out

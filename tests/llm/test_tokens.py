@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from strandline.llm import pieces
 from strandline.llm.piece_vocab import processor, segments, vocabulary
 from strandline.llm.pieces import Codec, agenda_encode, agenda_encode_many, encode_documents
 from strandline.llm.token_counts import token_counts
@@ -63,3 +64,24 @@ def test_json_vocabulary(make):
     texts = ["hello <|endoftext|> world", "", "été"]
     got = {r.doc_id: r.n_tokens for r in token_counts(make(list(enumerate(texts))), "byte_bpe_50k.json").collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+def test_chunks_end_where_no_piece_goes_on(monkeypatch):
+    sp, given, real = processor(MODEL), [], pieces.agenda_encode_many
+    monkeypatch.setattr(pieces, "agenda_encode_many", lambda texts, vocab: given.extend(texts) or real(texts, vocab))
+    texts = [f"No. {n},{n + 7};漢{n}字 ({n}).\n\n" for n in range(3000)]
+    codec = Codec(MODEL)
+    assert [[int(i) for i in ids.split(",")] for ids, _ in codec.batch(texts)] == sp.encode(texts)
+    assert [text for _, text in codec.batch(texts)] == texts
+    assert len(given) < 100  # a chunk for each number made thousands
+    kinds, beside = codec.vocab.neighbours
+    for p in codec.vocab.ids:
+        assert all(beside[kinds[ord(a)], kinds[ord(b)]] for a, b in zip(p, p[1:]))
+
+
+def test_long_texts_in_parts(monkeypatch, odd):
+    monkeypatch.setattr(pieces, "SEGMENT_CHARS", 40)
+    sp, texts = processor(MODEL), [t or "" for _, t in odd] + ["one 漢字 two\x00 é " * 60, " ", "▁", "▁▁ x", ""]
+    assert [[int(i) for i in ids.split(",") if i] for ids, _ in Codec(MODEL).batch(texts)] == sp.encode(texts)
+    assert [text for _, text in Codec(MODEL, most=5).batch(texts)] == sp.decode(sp.encode(texts))
+    assert Codec(MODEL).batch([]) == []
