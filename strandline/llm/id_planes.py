@@ -35,6 +35,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,11 @@ class Encoder:
         self.by_pieces = bool(known and told["normalizer"] is None and told["model"]["type"] == "BPE" and not told["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in told["added_tokens"]))
         self.wide = np.uint16 if max(self.library.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
         self.kinds = np.zeros(0x110000, dtype=np.uint8)
+        vocab = self.library.get_vocab()
+        #: how many bytes each id stands for, where the vocabulary writes each byte as a character; none for tokens of another kind
+        self.id_bytes = np.zeros(1 + max(vocab.values(), default=0), dtype=np.int64)
+        for token, i in vocab.items():
+            self.id_bytes[i] = 0 if token in self.specials or token == told["model"].get("unk_token") else len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -148,16 +154,33 @@ class Encoder:
         """Numbers of pieces, all different, among those remembered; new ones are encoded."""
         if len(self.codes) > REMEMBERED:
             self._forget()
-        codes = [self.codes.get(p, -1) for p in pieces]
-        if fresh := [i for i, c in enumerate(codes) if c < 0]:
-            found = self.library.encode_batch_fast([pieces[i] for i in fresh], add_special_tokens=False)
-            for i, own in zip(fresh, found, strict=True):
-                codes[i] = self.codes[pieces[i]] = len(self.starts)
-                ids = own.ids
-                self.starts.append(len(self.ids))
-                self.lengths.append(len(ids))
-                self.ids.extend(ids)
-        return np.array(codes, dtype=np.int64)
+        codes = np.fromiter([self.codes.get(p, -1) for p in pieces], np.int64, len(pieces))
+        if (fresh := np.flatnonzero(codes < 0)).size:
+            new = [pieces[i] for i in fresh.tolist()]
+            ids, lengths = self._of_pieces(new)
+            codes[fresh] = np.arange(len(self.codes), len(self.codes) + len(new))
+            self.codes.update(zip(new, codes[fresh].tolist(), strict=True))
+            self.starts.frombytes((len(self.ids) + np.cumsum(lengths) - lengths).tobytes())
+            self.lengths.frombytes(lengths.tobytes())
+            self.ids.frombytes(ids.tobytes())
+        return codes
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces, and how many each has.
+
+        The library gets them as one text that is cut already; ids stand for bytes, so a
+        piece's last id is where their bytes add up to those of the pieces so far.  Where
+        they do not, each piece is encoded apart.
+        """
+        own = self.library.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(own.ids, np.uint32)
+        bytes_at = np.cumsum(self.id_bytes[ids])
+        ends = np.cumsum(np.fromiter([len(p.encode()) for p in pieces], np.int64, len(pieces)))
+        last = np.searchsorted(bytes_at, ends)
+        if len(ids) and last[-1] == len(ids) - 1 and np.array_equal(bytes_at[last], ends):
+            return ids, np.diff(last, prepend=-1)
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of texts, how many each has, and which texts have strange characters (they get none)."""
@@ -167,22 +190,22 @@ class Encoder:
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = self._classified(points)
         starts = piece_starts(points, kinds, begins[lengths > 0])
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        bounds = np.concatenate([[0], np.cumsum(width)])[np.append(starts, len(points))] if len(points) else np.zeros(1, np.int64)
-        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(whole.encode())).dictionary_encode()
-        of = np.searchsorted(begins, starts, side="right") - 1  # the last text that begins there, which is not empty
+        data = whole.encode()
+        byte_at = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)  # all bytes but those inside of a character
+        bounds = np.append(byte_at[starts], len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
         odd = np.zeros(len(texts), dtype=bool)
         odd[np.searchsorted(begins, np.flatnonzero(kinds == STRANGE), side="right") - 1] = True
-        at = pieces.indices.to_numpy().astype(np.int64)
+        at = pieces.indices.to_numpy()
         if odd.any():
-            kept = ~odd[of]
-            at, of = at[kept], of[kept]
+            kept = ~odd[np.searchsorted(begins, starts, side="right") - 1]  # the last text that begins there, which is not empty
+            at, starts = at[kept], starts[kept]
         codes = self._codes(pieces.dictionary.to_pylist())[at]
         first, size = np.array(self.starts, np.int64)[codes], np.array(self.lengths, np.int64)[codes]
-        ends = np.cumsum(size)
-        place = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
         ids = np.array(self.ids, np.uint32)[place].astype(self.wide)
-        return ids, np.bincount(of, weights=size, minlength=len(texts)).astype(np.int64), odd
+        return ids, np.diff(ends[np.append(np.searchsorted(starts, begins), len(starts))]), odd
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's with the end id, one after another, and the n + 1 offsets of the texts."""

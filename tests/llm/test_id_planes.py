@@ -98,3 +98,31 @@ def test_nothing_is_left_behind(make, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda spark: folders.append(real(spark)) or folders[-1])
     assert op.token_files(make([(1, "a b")]), MODEL).count() == 1
     assert [os.path.exists(f.replace("file:", "")) for f in folders].count(True) == 1
+
+
+class Counting:
+    """A library that counts the texts or lists of pieces it encodes apart."""
+
+    def __init__(self, library):
+        self.library, self.n = library, 0
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.n += len(texts)
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def test_new_pieces_are_encoded_together():
+    own = op.Encoder(MODEL, 0)
+    own.library = Counting(own.library)
+    texts = [f"word{i} {i * 7919} é漢{i} it's\n\n 😀{i}" for i in range(2000)]
+    want = [library_ids(t) for t in texts]
+    ids, offsets = own.batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+    assert own.library.n < 10  # one for each new piece made thousands
+    own._forget()
+    own.id_bytes[ids[len(ids) // 2]] += 1  # bytes do not add up: each piece apart
+    ids, offsets = own.batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want and own.library.n > 1000
